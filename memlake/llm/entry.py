@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import decontaminate as op7
+from memlake.llm import kd_shards as op4
 from memlake.llm import quality_rules as op8
+from memlake.llm import secret_scan as op2
 from memlake.llm import sentencepiece_codec as op9
 from memlake.llm import token_counts as op10
 
@@ -32,6 +34,18 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op2.scan_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"].isin([r.kind for r in op2.RULES if r.base]))
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(op2.span_list(base), 256).alias("base_sha256"), op2.span_list(F.col("secrets")).alias("spans"))
+
+
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = op4.kd_shards(table(spark, sf_dir, "documents"), leaves=8, text_dims=("lang", "source"))
+    return shards.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op7.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

@@ -22,3 +22,30 @@ select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
   coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join hw using (doc_id) left join hi using (doc_id)
 """
+
+
+def _secrets_sql() -> str:
+    """Each rule's spans from the matches and the gaps between them."""
+    from memlake.llm.secret_scan import RULES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found, spans = [], []
+    for k, r in enumerate(RULES):
+        found.append(f"regexp_extract_all(t, {quoted(r.regex)}, 0) as m{k}, string_split_regex(t, {quoted(r.regex)}) as g{k}, regexp_extract_all(t, {quoted(r.regex)}, {r.group}) as p{k}")
+        end = f"(list_sum(list_transform(g{k}[1:i], lambda x: length(x))) + list_sum(list_transform(m{k}[1:i], lambda x: length(x))))"
+        every = f"list_transform(range(1, len(m{k}) + 1), lambda i: {{'s': ({end} - length(m{k}[i]))::bigint, 'k': {k}, 'e': {end}::bigint, 'n': '{r.kind}', 'l': length(p{k}[i])}})"
+        spans.append(f"list_filter({every}, lambda x: x.l >= {r.least})")
+    base = ", ".join(f"'{r.kind}'" for r in RULES if r.base)
+    text = "array_to_string(list_transform({}, lambda x: x.n || ':' || x.s || ':' || x.e), ',')"
+    count = "len(list_filter(a, lambda x: x.n = '{0}'))::bigint as n_{0}"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+f as (select doc_id, {", ".join(found)} from d),
+s as (select doc_id, list_sort({" || ".join(spans)}) as a from f)
+select doc_id, {count.format("assign")}, {count.format("access")}, {count.format("hex")},
+  sha256({text.format(f"list_filter(a, lambda x: x.n in ({base}))")}) as base_sha256, {text.format("a")} as spans
+from s
+"""
+
+
+ORACLES["op2_secret_scan"] = _secrets_sql()
