@@ -8,12 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.llm import chat_format as op5
+from memlake.llm import common as C
 from memlake.llm import decontaminate as op7
 from memlake.llm import kd_shards as op4
 from memlake.llm import quality_rules as op8
 from memlake.llm import secret_scan as op2
 from memlake.llm import sentencepiece_codec as op9
 from memlake.llm import token_counts as op10
+from memlake.llm import warc as op6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +49,19 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    return op5.digests(op5.format_chats(op5.events_of_rows(rows)))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = op6.write_warc(table(spark, sf_dir, "pages"), C.shared_folder(spark, "warc"))
+    read = op6.read_warc(written.select("path", "length"), payload=False)
+    return read.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op7.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
