@@ -12,6 +12,7 @@ from memlake.llm import chat_format as op5
 from memlake.llm import common as C
 from memlake.llm import decontaminate as op7
 from memlake.llm import kd_shards as op4
+from memlake.llm import ordinal_quality as op3
 from memlake.llm import quality_rules as op8
 from memlake.llm import secret_scan as op2
 from memlake.llm import sentencepiece_codec as op9
@@ -44,6 +45,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(op2.span_list(base), 256).alias("base_sha256"), op2.span_list(F.col("secrets")).alias("spans"))
 
 
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 rated bad, 1 rated good but toxic, 2 rated good."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    return table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.ordinal_quality(table(spark, sf_dir, "documents"), ratings(spark, sf_dir), n_grades=3, cut=2, carry=["doc_id"])
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = op4.kd_shards(table(spark, sf_dir, "documents"), leaves=8, text_dims=("lang", "source"))
     return shards.withColumn("grown_shard", F.lit(None).cast("int"))
