@@ -12,6 +12,7 @@ from memlake.llm import chat_format as op5
 from memlake.llm import common as C
 from memlake.llm import decontaminate as op7
 from memlake.llm import kd_shards as op4
+from memlake.llm import ngram_join as op1
 from memlake.llm import ordinal_quality as op3
 from memlake.llm import quality_rules as op8
 from memlake.llm import secret_scan as op2
@@ -38,6 +39,10 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.similar_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op2.scan_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
