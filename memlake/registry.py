@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memlake import plans
+from memlake.plans import actions, graph, hygiene, memory, retrieval, streams, texts  # noqa: F401  they register their queries
+
 FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans.SQL)
