@@ -1 +1,39 @@
-"""Queries."""
+"""Streams over the events table. Each equals the batch query over the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memlake.plans import query
+from memlake.sources.tables import load
+from memlake.streaming import jobs
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.event_stream(spark, sf_dir, load(spark, sf_dir, "events").schema)
+
+
+@query("select ts::date as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def stream_daily_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jobs.run_available(jobs.daily_counts(_events(spark, sf_dir)), "complete")
+    last = out.groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "__batch").alias("x"))
+    return last.select(F.to_date("window.start").alias("day"), "event_type", F.col("x.n").alias("n"), F.round("x.total", 4).alias("total"))
+
+
+@query("select event_id, event_type from events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table, delivered twice, without repetitions."""
+    twice = _events(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return jobs.run_available(jobs.deduplicated(twice, ["event_id"]), "append").select("event_id", "event_type")
+
+
+@query("""
+with g as (select user_id, ts, case when lag(ts) over w is null or ts - lag(ts) over w > interval 30 minutes then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts, fresh desc rows unbounded preceding) as k from g)
+select user_id, count(*) as sessions, max(n) as longest from (select user_id, k, count(*) as n from s group by 1, 2) group by 1
+""")
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jobs.run_available(jobs.sessions(_events(spark, sf_dir)), "complete")
+    last = out.groupBy("session_window", "user_id").agg(F.max_by("n", "__batch").alias("n"))
+    return last.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
