@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlake.session import ship
+
 MAX_CHARS, OVERLAP_WORDS = 1800, 50
 
 
@@ -52,6 +54,7 @@ def split_text(text: str | None, max_chars: int = MAX_CHARS, overlap: int = OVER
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, chunk_index, chunk_total, text, content_hash): chunks of every document, batch by batch."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_total", T.IntegerType()), T.StructField("text", T.StringType())])
 

@@ -20,3 +20,24 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
         **conf,
     }
     return builder.config(map=settings).getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once, wherever the driver was started from."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    here = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="memlake-"), "memlake.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(here.rglob("*.py")):
+            z.write(path, path.relative_to(here.parent))
+    context.addPyFile(str(archive))
