@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlake.session import ship
+
 #: Rows of one Arrow batch. Texts of 100 kB then need 50 MB a batch, whatever the table's size.
 ARROW_ROWS = 512
 
@@ -55,7 +57,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a task's memory does not depend on how long the texts are."""
+    """Keep Arrow batches small, so that a task's memory does not depend on how long the texts are; send the package along."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
