@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlake.session import ship
+
 BAD = "_corrupt_record"
 
 
@@ -53,6 +55,7 @@ _MAIL = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "messag
 
 def mail_files(spark: SparkSession, path: str) -> DataFrame:
     """RFC 822 files: headers, the plain text (or the HTML where there is no plain part), names of attachments."""
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import email
