@@ -37,3 +37,8 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jobs.run_available(jobs.sessions(_events(spark, sf_dir)), "complete")
     last = out.groupBy("session_window", "user_id").agg(F.max_by("n", "__batch").alias("n"))
     return last.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("select a.event_id as asked_id, c.event_id as cleared_id, a.user_id from events a join events c on a.user_id = c.user_id and a.event_type = 'error' and c.event_type = 'signup' and c.ts > a.ts and c.ts <= a.ts + interval 1 day")
+def stream_cleared_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.run_available(jobs.cleared_waits(_events(spark, sf_dir), "error", "signup"), "append")

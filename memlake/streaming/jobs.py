@@ -61,3 +61,10 @@ def deduplicated(events: DataFrame, key: list[str], late: str = "2 days") -> Dat
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+
+
+def cleared_waits(events: DataFrame, asked: str, cleared: str, within: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Requests and the signals that clear them: a join of two streams within an interval, so that state is bounded."""
+    left = events.where(F.col("event_type") == asked).withWatermark("ts", late).select(F.col("event_id").alias("asked_id"), "user_id", F.col("ts").alias("asked_at"))
+    right = events.where(F.col("event_type") == cleared).withWatermark("ts", late).select(F.col("event_id").alias("cleared_id"), F.col("user_id").alias("__user"), F.col("ts").alias("cleared_at"))
+    return left.join(right, F.expr(f"user_id = __user and cleared_at > asked_at and cleared_at <= asked_at + interval {within}")).select("asked_id", "cleared_id", "user_id")
