@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake import plans
-from memlake.plans import actions, graph, hygiene, lifecycle, memory, retrieval, streams, texts  # noqa: F401  they register their queries
+from memlake.plans import actions, graph, hygiene, lifecycle, memory, retrieval, streams, texts, upkeep  # noqa: F401  they register their queries
 
 FLAGSHIP = "hybrid_search"
 
