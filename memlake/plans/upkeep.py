@@ -82,7 +82,7 @@ def topic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with recursive n as (select s_suppkey as id, s_suppkey // 2 as up, s_name as name from supplier), r(id, top, path, k) as (select id, up, name, 1 from n union all select r.id, n.up, n.name || '/' || r.path, k + 1 from r join n on r.top = n.id where r.k < 8)
+with recursive n as (select s_suppkey as id, case when s_suppkey // 2 <> s_suppkey then s_suppkey // 2 end as up, s_name as name from supplier), r(id, top, path, k) as (select id, up, name, 1 from n union all select r.id, n.up, n.name || '/' || r.path, k + 1 from r join n on r.top = n.id where r.k < 8)
 select id, arg_max(r.path, r.k) as path from r group by 1
 """)
 def folder_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
