@@ -18,6 +18,7 @@ from memlake.session import ship
 ARROW_ROWS = 512
 
 _made: dict[str, str] = {}
+_folders: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,7 +42,16 @@ def _remove_local(uri: str) -> None:
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared one."""
-    return f"{shared_root(spark)}/memlake/{label}-{uuid.uuid4().hex}"
+    _folders.append(f"{shared_root(spark)}/memlake/{label}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Delete what this process has put into the shared folder: to be called when no result is read any more."""
+    n = len(_folders)
+    while _folders:
+        delete_folder(spark, _folders.pop())
+    return n
 
 
 def delete_folder(spark: SparkSession, uri: str) -> None:
