@@ -7,11 +7,14 @@ is one; without words it is empty and linked with nothing. Two documents link wh
 1. Documents with equal sets are one node. Very frequent shingles (in a thousandth of all documents or
    more) are found as in two-pass frequent-item counting and put last in the global order.
 2. A set of n shingles has the prefix of n - ceil(0.75 n) + k in that order, k = 1 + n // 10: similar sets
-   share k shingles of their prefixes. Prefixes are dealt out by shingle and counted; a shingle of one
-   prefix alone can't be shared. Documents left with fewer than k have no partner.
-3. The rest of the prefix is ordered by count and filtered once more: rare shingles are indexed one by
-   one, frequent ones in pairs. Pairs are formed within groups of shingles, and the prefix is extended by
-   as many shingles as there are groups: so one more common shingle than groups makes a common pair.
+   share k shingles of their prefixes at least. Prefixes are dealt out by shingle and counted; a shingle
+   of one prefix alone can't be shared.
+3. The rest of the prefix is indexed once for each band of sizes that a partner may have (bands are an
+   eighth of a power of two wide). Two sizes fix the least overlap, and so how many shingles the prefixes
+   must share at least: a document with fewer that others have is left out, and of the others all but that
+   many less one, the rarest first, are indexed. Rare shingles are indexed one by one, frequent ones in
+   pairs. Pairs are formed within groups of shingles, and the prefix is extended by as many shingles as
+   there are groups: so one more common shingle than groups makes a common pair.
 4. Each round verifies one candidate per node, of another class, on the whole sets, and joins the
    classes; then all pairs that share an index key and are still of different classes are verified. Pairs
    within a class need no test. So a group of copies costs as many tests as it has members, and no link
@@ -24,7 +27,9 @@ columns are not carried, unless asked for.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +49,7 @@ FREQUENT = 64
 HELD, GROUP_TOKENS = 2_000_000, 1_000_000
 #: Node ids are broadcast up to this number (16 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
-ROUNDS = 6
+ROUNDS = 5
 _MAX_WORDS = 400_000
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _ALL = np.iinfo(np.int32).max
@@ -88,9 +93,39 @@ def extra(n: int) -> int:
     return 1 + n // 10
 
 
-def least_shared(n: int, percent: int = PERCENT) -> int:
-    """Prefix shingles that a set of n shares with any similar one."""
-    return extra(least_common(n, percent))
+def prefix_length(n: int) -> int:
+    return n - least_common(n) + extra(n)
+
+
+#: Least sizes of the bands.
+BANDS = sorted({int(np.ceil(2 ** (k / 8))) for k in range(8 * 40)})
+
+
+def band_of(n: int) -> int:
+    return bisect_right(BANDS, n) - 1
+
+
+def _shared(x, y):
+    """Prefix shingles that similar sets of sizes x and y share at least."""
+    overlap = -(-PERCENT * (x + y) // (100 + PERCENT))
+    return np.minimum(overlap - least_common(x) + 1 + x // 10, overlap - least_common(y) + 1 + y // 10)
+
+
+@lru_cache(maxsize=1 << 16)
+def least_shared(n: int, band: int) -> int:
+    """The same for a set of n and any similar one of a band; 0 where there is none."""
+    low, high = max(BANDS[band], least_common(n)), min(BANDS[band + 1] - 1, 100 * n // PERCENT)
+    return int(_shared(n, np.arange(low, high + 1)).min()) if low <= high else 0
+
+
+@lru_cache(maxsize=1 << 14)
+def groups_of(first: int, second: int) -> int:
+    """Groups within which pairs of shingles are formed, for sets of two bands: one less than any two similar ones share. 0: no pairs."""
+    sizes = [np.unique(np.linspace(BANDS[b], BANDS[b + 1] - 1, 257).astype(np.int64)) for b in (first, second)]
+    x, y = np.meshgrid(*sizes)
+    fits = (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y))
+    slack = 1 if BANDS[max(first, second) + 1] - BANDS[max(first, second)] <= 257 else 2 + (BANDS[max(first, second) + 1] - BANDS[max(first, second)]) // 256
+    return max(0, int(_shared(x, y)[fits].min()) - slack) if fits.any() else 0
 
 
 # -- nodes and very frequent shingles ---------------------------------------------------------------
@@ -192,7 +227,7 @@ def _prefixes(docs: DataFrame, heavy, n_parts: int, text_col: str) -> DataFrame:
                     continue
                 seen.add(node)
                 n = len(t)
-                length = n - least_common(n) + extra(n)
+                length = prefix_length(n)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, t), len(often) - 1)
                     is_heavy = often[at] == t
@@ -249,47 +284,45 @@ def _shared_tokens(n_parts: int):
     return run
 
 
-def scheme_of(n: int) -> int:
-    return n.bit_length() - 1
-
-
-def groups_of(scheme: int) -> int:
-    """Groups within which pairs are formed, for sets that may meet under a scheme; 0: no pairs."""
-    smallest = least_common(1 << scheme)
-    return max(0, least_shared(smallest) - 1)
-
-
-def index_keys(token: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
-    """Keys of one document: token and times are its shared prefix shingles in the order of (times, shingle)."""
-    r, k = len(token), least_shared(n)
-    if r < k:
-        return token[:0]
-    needed, out = r - k + 1, []
+def index_keys(token: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one document, and the side it takes in each: token and times are its shared prefix shingles in
+    the order of (times, shingle). Side 2: both partners are of one band; 0 and 1: of the lower and the higher."""
+    keys, sides, own = [], [], band_of(n)
     rare = int(np.searchsorted(times, FREQUENT, side="right"))
-    for scheme in range(scheme_of(n), scheme_of(100 * n // PERCENT) + 1):
-        groups = groups_of(scheme)
-        if not groups or rare >= needed:
-            out.append(token[:needed])
+    for band in range(band_of(least_common(n)), band_of(100 * n // PERCENT) + 1):
+        least = least_shared(n, band)
+        if not least or len(token) < least:
             continue
-        out.append(token[:rare])
-        often = token[rare:]
-        group = (_mixed(often) % np.uint64(groups)).astype(np.int64)
-        later = np.ones(len(often), bool)
-        later[np.unique(group, return_index=True)[1]] = False
-        length = int(np.searchsorted(np.cumsum(later), needed - rare)) + 1
-        often, group = often[:length], group[:length]
-        order = np.lexsort((often, group))
-        often, group = often[order], group[order]
-        ends = np.searchsorted(group, group, side="right")
-        reps = ends - np.arange(len(group)) - 1
-        first = np.repeat(np.arange(len(group)), reps)
-        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(reps) - reps, reps)
-        out.append(_mixed(often[first] * _M[0] + often[second] * _M[1] + np.uint64(scheme)))
-    return np.unique(np.concatenate(out))
+        needed = len(token) - least + 1
+        low, high = min(own, band), max(own, band)
+        tag = np.uint64(low * 1000 + high)
+        groups = min(groups_of(low, high), groups_of(high, low))
+        found = [_mixed(token[: needed if not groups else min(needed, rare)] * _M[0] + tag)]
+        if groups and needed > rare:
+            found.append(_pairs(token[rare:], needed - rare, groups, tag))
+        found = np.unique(np.concatenate(found))
+        keys.append(found)
+        sides.append(np.full(len(found), 2 if own == band else int(own > band)))
+    return (np.concatenate(keys), np.concatenate(sides)) if keys else (token[:0], np.empty(0, np.int64))
+
+
+def _pairs(often: np.ndarray, needed: int, groups: int, tag: np.uint64) -> np.ndarray:
+    """Pairs within groups, of the first shingles that leave `needed` besides one of each group."""
+    group = (_mixed(often) % np.uint64(groups)).astype(np.int64)
+    later = np.ones(len(often), bool)
+    later[np.unique(group, return_index=True)[1]] = False
+    length = int(np.searchsorted(np.cumsum(later), needed)) + 1
+    often, group = often[:length], group[:length]
+    order = np.lexsort((often, group))
+    often, group = often[order], group[order]
+    reps = np.searchsorted(group, group, side="right") - np.arange(len(group)) - 1
+    first = np.repeat(np.arange(len(group)), reps)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(reps) - reps, reps)
+    return _mixed(often[first] * _M[1] + often[second] * _M[2] + tag)
 
 
 def _index(table: pa.Table) -> pa.Table:
-    """(key, node, n) of the documents of one part."""
+    """(key, side, node, n) of the documents of one part."""
     token, node, times = _unpacked(table, 0, np.uint64, np.int64, np.int32)
     h_node, h_n, h_token = _unpacked(table, 1, np.int64, np.int64, np.uint64)
     size = dict(zip(h_node.tolist(), h_n.tolist(), strict=True))
@@ -304,16 +337,17 @@ def _index(table: pa.Table) -> pa.Table:
     token, node, times = token[new], node[new], times[new]
     starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
     ends = np.concatenate([starts[1:], [len(node)]]) if len(node) else starts
-    keys, nodes, sizes = [], [], []
+    keys, sides, nodes, sizes = [], [], [], []
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         n = size[int(node[a])]
-        got = index_keys(token[a:b], times[a:b], n)
+        got, side = index_keys(token[a:b], times[a:b], n)
         if len(got):
             keys.append(got)
+            sides.append(side)
             nodes.append(np.full(len(got), node[a]))
             sizes.append(np.full(len(got), n))
-    made = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, nodes, sizes)]
-    return pa.Table.from_arrays([pa.array(made[0].view(np.int64)), pa.array(made[1].astype(np.int64)), pa.array(made[2].astype(np.int64))], names=["key", "node", "n"])
+    made = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, sides, nodes, sizes)]
+    return pa.Table.from_arrays([pa.array(made[0].view(np.int64)), *(pa.array(x.astype(np.int64)) for x in made[1:])], names=["key", "side", "node", "n"])
 
 
 # -- verification and classes -----------------------------------------------------------------------
@@ -336,10 +370,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> Dat
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those that link."""
-    left = sets.toDF("a", "__left")
-    right = sets.toDF("b", "__right")
-    both = pairs.join(left, "a").join(right, "b")
+    """Of the pairs (a, b, la, lb) those that link."""
+    both = pairs.join(sets.toDF("a", "__left"), "a").join(sets.toDF("b", "__right"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,9 +382,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     p, q = q, p
                 common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if 100 * len(p) >= PERCENT * len(q) else 0
                 keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["la", "lb"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "__left", "__right").mapInArrow(run, "a long, b long")
+    return both.select("la", "lb", "__left", "__right").mapInArrow(run, "la long, lb long")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -380,8 +412,9 @@ def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     heavy = spark.sparkContext.broadcast(_heavy(found, n_docs))
     n_parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int((total or 0) * 0.35 / GROUP_TOKENS) + 1)
     blobs = _prefixes(docs, heavy, n_parts, text_col).groupBy("part").applyInArrow(_shared_tokens(n_parts), _BLOB)
-    index = C.stored(blobs.groupBy("part").applyInArrow(_index, "key long, node long, n long"), "index")
-    shared = index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    index = C.stored(blobs.groupBy("part").applyInArrow(_index, "key long, side long, node long, n long"), "index")
+    sides = [F.count_if(F.col("side") == k) for k in range(3)]
+    shared = index.groupBy("key").agg(((sides[2] > 1) | ((sides[0] > 0) & (sides[1] > 0))).alias("met")).where("met").select("key")
     index = C.stored(index.join(shared, "key"), "index")
     labels = _linked(docs, index, reps, text_col, id_col)
     comp = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -394,30 +427,46 @@ def _linked(docs: DataFrame, index: DataFrame, reps: DataFrame, text_col: str, i
     """(node, label) of the nodes that have links."""
     spark = docs.sparkSession
     sets = _sets(docs, reps.join(index.select("node").distinct(), "node").select("__doc"), text_col, id_col)
-    links, labels = None, spark.createDataFrame([], "node long, label long")
+    labels = spark.createDataFrame([], "node long, label long")
+    fits = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+    before = None
     for turn in range(ROUNDS + 1):
-        # keys whose documents are not all of one class yet
+        # keys whose documents are not all of one class yet, with a member of either side
         own = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_keys = own.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label", "n")).alias("hub")).where("l1 != l2")
-        live = C.stored(own.join(open_keys.select("key", "c", "hub"), "key"), "live")
-        if not live.head(1):
+        member = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label", "n")
+        at = [F.min(F.when(F.col("side") != 1 - k, member)).alias(f"hub{k}") for k in (0, 1)]
+        open_keys = own.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), *at).where("l1 != l2").drop("l1", "l2")
+        live = C.stored(own.join(open_keys, "key"), "live")
+        hub = F.when(F.col("side") == 0, F.col("hub1")).otherwise(F.col("hub0"))
+        met = live.withColumn("hub", hub).where((F.col("label") != F.col("hub.label")) & fits(F.col("n"), F.col("hub.n")))
+        left = met.count()
+        if not left and not live.head(1):
             break
-        n_rows, pairs_left = live.agg(F.count("*"), F.sum((F.col("c") - 1) / 2)).first()
-        last = turn == ROUNDS or pairs_left <= 4 * n_rows
-        fits = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+        last = turn == ROUNDS or not left or (before is not None and left > 0.8 * before)
+        before = left
         if last:
-            other = live.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-            met = live.select("key", F.col("node").alias("a"), "label", "n").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")) & fits(F.col("n"), F.col("nb")))
-            pairs = met.select("a", "b").distinct()
+            pairs = _open_pairs(live, hub, fits)
         else:
-            met = live.where((F.col("label") != F.col("hub.label")) & fits(F.col("n"), F.col("hub.n")))
-            best = met.groupBy("node").agg(F.min("hub").alias("hub"))
-            pairs = best.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        new = C.stored(_verified(pairs, sets), "links")
-        any_new = bool(new.head(1))
-        if any_new:
-            links = new if links is None else links.union(new)
-            labels = classes(links)
+            best = met.groupBy("node", "label").agg(F.min("hub").alias("hub"))
+            pairs = best.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("label").alias("la"), F.col("hub.label").alias("lb"))
+        new = C.stored(_verified(pairs, sets).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+        if new.head(1):
+            step = classes(new).toDF("label", "__label")
+            known = labels.join(step, "label", "left").select("node", F.coalesce("__label", "label").alias("label"))
+            fresh = step.join(labels.select(F.col("node").alias("label")), "label", "left_anti").toDF("node", "label")
+            labels = C.stored(known.unionByName(fresh), "labels")
         if last:
             break
     return labels
+
+
+def _open_pairs(live: DataFrame, hub, fits) -> DataFrame:
+    """All pairs of a key that may link and are of different classes. Of each key, one member's class is taken as
+    the main one: its own members are not paired with one another."""
+    rows = live.withColumn("main", F.when(F.col("side") == 2, F.col("hub0.label")).otherwise(F.least("hub0.label", "hub1.label")))
+    rows = rows.select("key", "side", "node", "n", "label", (F.col("label") == F.col("main")).alias("main"))
+    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("side", "node", "n", "label", "main")])
+    sides = ((F.col("side") == 2) & (F.col("main_") | (F.col("node") < F.col("node_")))) | (F.col("side") + F.col("side_") == 1)
+    once = (F.col("side") == 2) | F.col("main_") | (F.col("side") == 0)
+    met = rows.where("not main").join(other, "key").where(sides & once & (F.col("label") != F.col("label_")) & fits(F.col("n"), F.col("n_")))
+    return met.select(F.col("node").alias("a"), F.col("node_").alias("b"), F.col("label").alias("la"), F.col("label_").alias("lb")).distinct()
