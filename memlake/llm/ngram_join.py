@@ -18,7 +18,8 @@ is one; without words it is empty and linked with nothing. Two documents link wh
 4. Each round verifies one candidate per node, of another class, on the whole sets, and joins the
    classes; then all pairs that share an index key and are still of different classes are verified. Pairs
    within a class need no test. So a group of copies costs as many tests as it has members, and no link
-   between classes is lost.
+   between classes is lost. Before the sets are compared, their bitmaps are: each shingle sets one of BITS
+   bits, so that the bits in which two bitmaps differ are no more than the shingles in which the sets do.
 
 Defined results: null and empty texts have n_shingles 0 and are their own component. Rows with equal ids
 are separate documents that may fall into different classes. An empty table gives an empty result. Other
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,13 @@ HEAVY_SHARE = 1000
 #: Shingles in more prefixes than this are indexed in pairs.
 FREQUENT = 64
 #: Tokens that a task holds before it passes them on, and that a group of the shuffle has at most, about.
-HELD, GROUP_TOKENS = 2_000_000, 1_000_000
+HELD, GROUP_TOKENS = 1_000_000, 750_000
 #: Node ids are broadcast up to this number (16 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
-ROUNDS = 5
-_MAX_WORDS = 400_000
+ROUNDS = 6
+#: Bits of a bitmap.
+BITS = 1024
+_MAX_WORDS = 200_000
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _ALL = np.iinfo(np.int32).max
 
@@ -354,7 +357,7 @@ def _index(table: pa.Table) -> pa.Table:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(node, tokens) of the documents wanted (__doc, one per node)."""
+    """(node, tokens, bitmap) of the documents wanted (__doc, one per node)."""
     if wanted.count() <= MAX_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(wanted, "__doc", "left_semi")
@@ -364,14 +367,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> Dat
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
             sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+            bits = [bitmap(s).tolist() for s in sets]
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens", "bits"])
 
-    return C.stored(texts.select("text").mapInArrow(run, "node long, tokens binary"), "sets")
+    return C.stored(texts.select("text").mapInArrow(run, "node long, tokens binary, bits array<long>"), "sets")
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit integers."""
+    set_bits = np.zeros(BITS, bool)
+    set_bits[(tokens % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(set_bits).view(np.int64)
+
+
+def _may_link(n, m, a: list, b: list):
+    """Whether sets of n and m shingles with bitmaps a and b may link: they differ in (100 - PERCENT) / (100 + PERCENT) of n + m shingles at most."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)])
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b, la, lb) those that link."""
-    both = pairs.join(sets.toDF("a", "__left"), "a").join(sets.toDF("b", "__right"), "b")
+    of = lambda side, name: sets.select(F.col("node").alias(side), F.col("tokens").alias(name))
+    both = pairs.join(of("a", "__left"), "a").join(of("b", "__right"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,7 +448,7 @@ def _linked(docs: DataFrame, index: DataFrame, reps: DataFrame, text_col: str, i
     sets = _sets(docs, reps.join(index.select("node").distinct(), "node").select("__doc"), text_col, id_col)
     labels = spark.createDataFrame([], "node long, label long")
     fits = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
-    before = None
+    before, joined = None, 0
     for turn in range(ROUNDS + 1):
         # keys whose documents are not all of one class yet, with a member of either side
         own = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -442,15 +461,17 @@ def _linked(docs: DataFrame, index: DataFrame, reps: DataFrame, text_col: str, i
         left = met.count()
         if not left and not live.head(1):
             break
-        last = turn == ROUNDS or not left or (before is not None and left > 0.8 * before)
-        before = left
+        last = turn == ROUNDS or not left or (before is not None and joined <= before / 200)
         if last:
-            pairs = _open_pairs(live, hub, fits)
+            pairs = _open_pairs(live, sets, fits)
         else:
-            best = met.groupBy("node", "label").agg(F.min("hub").alias("hub"))
+            # of the hubs that a node meets, the one it shares most keys with
+            often = met.groupBy("node", "label", "hub").agg(F.count("*").alias("c"))
+            best = often.groupBy("node", "label").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
             pairs = best.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("label").alias("la"), F.col("hub.label").alias("lb"))
         new = C.stored(_verified(pairs, sets).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
-        if new.head(1):
+        before, joined = best.count() if not last else 0, new.count()
+        if joined:
             step = classes(new).toDF("label", "__label")
             known = labels.join(step, "label", "left").select("node", F.coalesce("__label", "label").alias("label"))
             fresh = step.join(labels.select(F.col("node").alias("label")), "label", "left_anti").toDF("node", "label")
@@ -460,13 +481,17 @@ def _linked(docs: DataFrame, index: DataFrame, reps: DataFrame, text_col: str, i
     return labels
 
 
-def _open_pairs(live: DataFrame, hub, fits) -> DataFrame:
+def _open_pairs(live: DataFrame, sets: DataFrame, fits) -> DataFrame:
     """All pairs of a key that may link and are of different classes. Of each key, one member's class is taken as
     the main one: its own members are not paired with one another."""
-    rows = live.withColumn("main", F.when(F.col("side") == 2, F.col("hub0.label")).otherwise(F.least("hub0.label", "hub1.label")))
-    rows = rows.select("key", "side", "node", "n", "label", (F.col("label") == F.col("main")).alias("main"))
-    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("side", "node", "n", "label", "main")])
+    words = BITS // 64
+    maps = sets.select("node", *[F.col("bits")[i].alias(f"w{i}") for i in range(words)]).dropDuplicates(["node"])
+    main = F.when(F.col("side") == 2, F.col("hub0.label")).otherwise(F.least("hub0.label", "hub1.label"))
+    rows = live.select("key", "side", "node", "n", "label", (F.col("label") == main).alias("main")).join(maps, "node")
+    names = [f"w{i}" for i in range(words)]
+    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("side", "node", "n", "label", "main", *names)])
     sides = ((F.col("side") == 2) & (F.col("main_") | (F.col("node") < F.col("node_")))) | (F.col("side") + F.col("side_") == 1)
     once = (F.col("side") == 2) | F.col("main_") | (F.col("side") == 0)
-    met = rows.where("not main").join(other, "key").where(sides & once & (F.col("label") != F.col("label_")) & fits(F.col("n"), F.col("n_")))
+    near = _may_link(F.col("n"), F.col("n_"), [F.col(w) for w in names], [F.col(f"{w}_") for w in names])
+    met = rows.where("not main").join(other, "key").where(sides & once & (F.col("label") != F.col("label_")) & fits(F.col("n"), F.col("n_")) & near)
     return met.select(F.col("node").alias("a"), F.col("node_").alias("b"), F.col("label").alias("la"), F.col("label_").alias("lb")).distinct()
