@@ -1,12 +1,18 @@
 """Quality rules: plain counts of each document, and a log-likelihood ratio of hashed n-grams.
 
 Two multinomials over BUCKETS hash buckets are counted over *all* documents: one of the raw corpus, one
-of the trusted target (documents that carry a flag). Every document's score is the mean, over its
-hashed unigrams and bigrams, of log p_target - log p_raw; it is kept at or above a fixed threshold.
+of the trusted target (documents that carry a flag). Every document's score, mean_log_ratio, is the mean,
+over its hashed unigrams and bigrams, of log p_target - log p_raw, with PRIOR pseudo-counts.
+
+The verdict must not depend on how large the corpus is, so it is taken on a mean of its own: each distinct
+text counts once, as a target if one of its rows is; the text's own n-grams are left out of both
+multinomials; and the pseudo-counts are SHARE of what is left of the target. A document is kept if that
+mean is at or above a fixed threshold. Repeating every row leaves each verdict as it was.
 
 Defined results: a null or empty text has no words, hence zero counts, no score (null) and base_failed
-true. Without target documents every score is 0. Repeated rows count and are scored as often as they
-stand there. An empty table gives an empty result. Input columns named like a result are replaced.
+true. Without target documents every score is 0. Repeated rows are scored as often as they stand there,
+and count as often in mean_log_ratio. A bucket that no other text has says nothing in the verdict. An empty
+table gives an empty result. Input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +31,13 @@ from memlake.llm import common as C
 BUCKETS = 1 << 16
 #: Pseudo-counts drawn from the raw multinomial: a bucket without evidence has a ratio near 1.
 PRIOR = 4.0 * BUCKETS
-#: Mean log ratio (nats per n-gram) below which a document is rejected.
+#: Pseudo-counts of the verdict, drawn from the raw multinomial too, as a share of the target's n-grams.
+SHARE = 0.25
+#: Mean log ratio of the verdict (nats per n-gram) below which a document is rejected.
 THRESHOLD = -0.12
 #: Fewest words of a document, and the largest percentage of its words in repeated 5-word windows.
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
-#: Trusted ids are broadcast up to this number (16 bytes each); beyond it they are joined by a shuffle.
+#: Trusted ids and digests of repeated texts are broadcast up to this number (some 16 and 60 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
 _MIX, _PAIR = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -109,38 +117,79 @@ def ngram_counts(docs: DataFrame, text_col: str = "text", target_col: str = "is_
     return part.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw of each bucket. The table has BUCKETS rows at most, whatever the corpus."""
+def bucket_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(raw, target) by bucket. The table has BUCKETS rows at most, whatever the corpus."""
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, a, b in counts.toLocalIterator():
         raw[bucket], target[bucket] = a, b
+    return raw, target
+
+
+def log_ratios(counts: DataFrame) -> np.ndarray:
+    """log p_target - log p_raw of each bucket."""
+    raw, target = bucket_counts(counts)
     p_raw = (raw + 1) / (raw.sum() + BUCKETS)
     return np.log((target + PRIOR * p_raw) / (target.sum() + PRIOR)) - np.log(p_raw)
 
 
-def flag_targets(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def others_ratio(grams: np.ndarray, is_target: bool, raw: np.ndarray, target: np.ndarray, n_raw: float, n_target: float) -> float:
+    """The verdict's mean: raw and target hold the text itself once (target only if is_target), which is taken out."""
+    at, own = np.unique(grams, return_counts=True)
+    n = len(grams)
+    r, t = raw[at] - own, target[at] - own * is_target
+    n_raw, n_target = n_raw - n, n_target - n * is_target
+    known = r > 0
+    if n_target <= 0 or not known.any():
+        return 0.0
+    r, t, own = r[known], t[known], own[known]
+    ratio = np.log((t * n_raw / (r * n_target) + SHARE) / (1 + SHARE))
+    return float((ratio * own).sum() / n)
+
+
+def flag_targets(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", name: str = "is_target") -> DataFrame:
     """docs with is_target: whether id_col is among target_ids (one column; nulls match nothing)."""
-    ids = target_ids.toDF("__id").where("__id is not null").distinct().withColumn("is_target", F.lit(True))
+    ids = target_ids.toDF("__id").where("__id is not null").distinct().withColumn(name, F.lit(True))
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
-    docs = C.without(docs, ["is_target"])
-    return docs.join(ids, docs[id_col] == ids["__id"], "left").drop("__id").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    docs = C.without(docs, [name])
+    return docs.join(ids, docs[id_col] == ids["__id"], "left").drop("__id").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
-    """Add the counts, mean_log_ratio, base_failed and kept to each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+def by_text(flagged: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """flagged (with __flag) where __flag says whether any row of the same text is a target; and (text, is_target) of each distinct text.
+
+    Only texts that repeat are shuffled, and of them one a task.
+    """
+    keyed = flagged.withColumn("__key", F.sha2(F.col(text_col), 256))
+    seen = keyed.where("__key is not null").groupBy("__key").agg(F.count("*").alias("n"), F.max("__flag").alias("__any"))
+    repeated = C.stored(seen.where("n > 1").select(F.col("__key").alias("__again"), "__any"), "repeated")
+    joined = F.broadcast(repeated) if repeated.count() <= MAX_BROADCAST_IDS else repeated
+    marked = keyed.join(joined, F.col("__key") == F.col("__again"), "left")
+    texts = marked.select(F.col(text_col).alias("text"), F.coalesce("__any", "__flag").alias("is_target"), "__again")
+    one = texts.where("__again is not null").groupBy("__again").agg(F.first("text").alias("text"), F.first("is_target").alias("is_target"))
+    once = texts.where("__again is null").drop("__again").unionByName(one.drop("__again"))
+    return marked.withColumn("__flag", F.coalesce("__any", "__flag")).drop("__key", "__again", "__any"), once
+
+
+def score(docs: DataFrame, ratios: np.ndarray, once: tuple[np.ndarray, np.ndarray], text_col: str = "text", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
+    """Add the counts, mean_log_ratio, base_failed and kept to each document of by_text; once: the (raw, target) counts of its distinct texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((ratios, *once))
+    carry = [c for c in docs.columns if c != "__flag"] if carry is None else carry
+    docs = docs.withColumn("__pair", F.struct(F.col(text_col).alias("text"), F.col("__flag").alias("flag")))
 
     def make():
-        table = shared.value
+        table, raw, target = shared.value
+        n_raw, n_target = raw.sum(), target.sum()
 
-        def work(texts: list) -> list[pa.Array]:
+        def work(pairs: list) -> list[pa.Array]:
             rows = []
-            for text in texts:
-                *counts, u = base_counts(text)
-                mean = round(float(table[buckets_of(u)].mean()), 9) if len(u) else None
+            for pair in pairs:
+                *counts, u = base_counts(pair["text"])
+                grams = buckets_of(u)
+                mean = round(float(table[grams].mean()), 9) if len(u) else None
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEATED_PERCENT * counts[0]
-                rows.append((*counts, mean, failed, not failed and mean >= threshold))
+                kept = not failed and others_ratio(grams, pair["flag"], raw, target, n_raw, n_target) >= threshold
+                rows.append((*counts, mean, failed, kept))
             kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
             return [pa.array(col, kind) for col, kind in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)]
 
@@ -148,10 +197,12 @@ def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", threshold
 
     long, names = T.LongType(), ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fields = [C.field(n, long) for n in names] + [C.field("mean_log_ratio", T.DoubleType()), C.field("base_failed", T.BooleanType()), C.field("kept", T.BooleanType())]
-    return C.map_rows(docs, text_col, make, fields, carry)
+    return C.map_rows(docs, "__pair", make, fields, carry)
 
 
 def quality_rules(docs: DataFrame, target_ids: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
-    """Count both multinomials over all documents, then score every document."""
-    ratios = log_ratios(ngram_counts(flag_targets(docs, target_ids, id_col), text_col))
-    return score(docs, ratios, text_col, threshold, carry)
+    """Count the multinomials over all documents and over all distinct texts, then score every document."""
+    flagged = flag_targets(docs, target_ids, id_col, "__flag")
+    marked, once = by_text(flagged, text_col)
+    ratios = log_ratios(ngram_counts(flagged, text_col, "__flag"))
+    return score(marked, ratios, bucket_counts(ngram_counts(once)), text_col, threshold, carry)

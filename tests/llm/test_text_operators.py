@@ -88,6 +88,22 @@ def test_quality_counts_and_scores(spark):
     assert quality_rules.quality_rules(docs.limit(0), spark.createDataFrame([], "i long")).count() == 0
 
 
+def test_quality_verdicts_do_not_depend_on_the_corpus_size(spark):
+    """A small corpus has verdicts on the n-grams too, and repeating its rows changes none of them."""
+    rng = np.random.default_rng(2)
+    plain, odd = [f"w{k}" for k in range(15)], [f"x{k}" for k in range(15)]
+    texts = [" ".join(rng.choice(odd if i % 5 == 4 else plain, 50)) for i in range(60)]
+    targets = spark.createDataFrame([(i,) for i in range(0, 60, 2) if i % 5 != 4], "i long")
+    verdicts = []
+    for k in (1, 30):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * k, "doc_id long, text string").repartition(3)
+        got = quality_rules.quality_rules(docs, targets).collect()
+        assert len(got) == 60 * k and not any(r.base_failed for r in got)
+        verdicts.append({(r.doc_id, r.kept) for r in got})
+    assert verdicts[0] == verdicts[1]
+    assert verdicts[0] == {(i, i % 5 != 4) for i in range(60)}
+
+
 def plain_secrets(text):
     out = []
     for k, r in enumerate(secret_scan.RULES):
