@@ -4,8 +4,8 @@ Writing: each task writes archives of at most ARCHIVE_BYTES, under names that fo
 way of a temporary name; a task that runs again writes the same files. Of records with equal payloads of
 at least MIN_SHARED bytes, that with the smallest id is a response, the others are revisits of it.
 
-Reading: a task scans a byte range for the gzip magic, decodes the head of each candidate, and takes it
-for a record if it says WARC. It owns the records that start inside its range, and reads the last one
+Reading: a task scans a byte range for the gzip magic, decodes each candidate, and takes it for a record
+if it says WARC and has a head that ends, however long the head is. It owns the records that start inside its range, and reads the last one
 past the range's end. A member inside another one (an archive stored in an archive) is left out.
 
 Defined results: a null html is an empty payload. A null id is written as 'null' and read back as null;
@@ -36,8 +36,6 @@ MAGIC = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile("[^!-~]")
-#: The most bytes of a record's head.
-MAX_HEAD = 1 << 16
 
 
 def with_types(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -132,7 +130,7 @@ class _Range:
         return False
 
 
-def _member_at(r: _Range, i: int, validate_only: int = MAX_HEAD) -> tuple[bytes, int] | None:
+def _member_at(r: _Range, i: int) -> tuple[bytes, int] | None:
     """The decoded member at offset i of the range and the offset after it, or None if it isn't a WARC record."""
     z, out, at, size = zlib.decompressobj(31), [], i, 0
     checked = False
@@ -152,7 +150,7 @@ def _member_at(r: _Range, i: int, validate_only: int = MAX_HEAD) -> tuple[bytes,
     except zlib.error:
         return None
     data = b"".join(out)
-    return (data, at - len(z.unused_data)) if b"\r\n\r\n" in data[:validate_only] else None
+    return (data, at - len(z.unused_data)) if b"\r\n\r\n" in data else None
 
 
 def records_in(file, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:

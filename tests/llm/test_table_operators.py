@@ -5,6 +5,7 @@ import io
 import random
 import zlib
 from collections import defaultdict
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -136,6 +137,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(pages.limit(0), f"file://{tmp_path}/e").select("path", "length")).count() == 0
 
 
+def test_warc_urls_of_any_length(spark, tmp_path):
+    """Heads of more than 64 KiB: the pages come back, with the responses that revisits refer to."""
+    urls = ["http://a/" + "u" * 66_000, "http://b/" + "é" * 11_000, "http://c/" + "漢" * 7_300, "short"]
+    pages = spark.createDataFrame([(i, u, "p" * 200) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    written = warc.write_warc(pages, f"file://{tmp_path}/w")
+    got = {r.page_id: r for r in warc.read_warc(written.select("path", "length"), split_bytes=1000).collect()}
+    assert set(got) == {"0", "1", "2", "3"}
+    assert got["0"].record_type == "response" and got["0"].payload == b"p" * 200 and {got[k].refers_to for k in "123"} == {"0"}
+    assert all(unquote(got[str(i)].url) == u for i, u in enumerate(urls))
+
+
 def test_warc_candidates_inside_members():
     """False magic in between, and a member inside a stored block, which a range that starts behind its head must not own."""
     inner = warc.member(warc.record(2, "u", b"inner", "d", None))
