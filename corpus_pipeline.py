@@ -3,7 +3,7 @@
 Stages take (spark, docs, sf_dir). All but the last return the columns of documents.
 
 quality          documents that the rules reject go
-near_duplicates  of each class of linked documents the one with the smallest id stays
+near_duplicates  of each class of linked documents one row stays, that with the smallest id
 decontaminate    documents that hold a benchmark window go
 secrets          every span found is masked in the text; n_chars follows
 sentencepiece    ids of the text, with the end id, and their number
@@ -29,14 +29,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows equal in id and class are one document; of them one row stays."""
-    found = C.stored(ngram_join.similar_classes(docs), "classes")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    if gone.count() <= MAX_BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*COLUMNS)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return left.dropDuplicates(["doc_id"]) if repeated.head(1) else left
+    """Of each class one row stays, of null ids too: that with the smallest id (nulls last), then by its text's hash. Rows without words all stay."""
+    found = C.stored(ngram_join.row_classes(docs).where("label is not null").select("doc", "key", "label"), "classes")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key")).alias("first")
+    stays = C.stored(found.groupBy("label").agg(first).select("first.doc", "first.key"), "stays")
+    rows = found.groupBy("doc", "key").agg(F.count("*").alias("n"))
+    gone = C.stored(rows.join(stays.toDF("d", "k"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_anti").select("doc", "key"), "gone")
+    # of rows that stay but are repeated, in id and text, one is left
+    repeated = C.stored(rows.where("n > 1").select("doc", "key"), "repeated")
+    left = _by_row(docs, gone, "left_anti")
+    if not repeated.head(1):
+        return left.select(*COLUMNS)
+    one = _by_row(left, repeated, "left_semi").withColumn("__key", ngram_join.text_key("text")).dropDuplicates(["doc_id", "__key"])
+    return _by_row(left, repeated, "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
+
+
+def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs joined to rows (doc, key) by id, null or not, and text."""
+    if rows.count() <= MAX_BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col("doc")) & (ngram_join.text_key("text") == F.col("key")), how)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

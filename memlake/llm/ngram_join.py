@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import common as C
@@ -134,8 +134,13 @@ def groups_of(first: int, second: int) -> int:
 # -- nodes and very frequent shingles ---------------------------------------------------------------
 
 
+def text_key(text_col: str) -> Column:
+    """A hash of the text: with the id it tells rows apart whose ids are equal or null."""
+    return F.xxhash64(F.col(text_col))
+
+
 def _nodes(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Rows (doc, n, node) for each document, and (shingle, times) for what is frequent in a task's documents."""
+    """Rows (doc, key, n, node) for each document, and (shingle, times) for what is frequent in a task's documents."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +152,7 @@ def _nodes(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
             at = n >= max(3, docs_held / (4 * HEAVY_SHARE))
             h, n = h[at].view(np.int64), n[at]
             held, size, docs_held = [], 0, 0
-            return _batch([pa.nulls(len(h), ids), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(h), pa.array(n, pa.int64())])
+            return _batch([pa.nulls(len(h), ids), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(h), pa.array(n, pa.int64())])
 
         ids = None
         for batch in batches:
@@ -161,7 +166,7 @@ def _nodes(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                     seen.add(node[-1])
                     held.append(t)
                     size, docs_held = size + len(t), docs_held + 1
-            yield _batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())])
+            yield _batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())])
             if size > HELD:
                 yield frequent()
                 if len(seen) > 1_000_000:
@@ -170,9 +175,9 @@ def _nodes(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
             yield frequent()
 
     def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "node", "shingle", "times"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "key", "n", "node", "shingle", "times"])
 
-    return C.stored(docs.select(id_col, text_col).mapInArrow(run, f"doc {kind}, n long, node long, shingle long, times long"), "nodes")
+    return C.stored(docs.select(id_col, text_col, text_key(text_col).alias("key")).mapInArrow(run, f"doc {kind}, key long, n long, node long, shingle long, times long"), "nodes")
 
 
 def _heavy(found: DataFrame, n_docs: int) -> np.ndarray:
@@ -357,10 +362,12 @@ def _index(table: pa.Table) -> pa.Table:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(node, tokens, bitmap) of the documents wanted (__doc, one per node)."""
+    """(node, tokens, bitmap) of the documents wanted (__doc, __key; one per node)."""
     if wanted.count() <= MAX_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(wanted, "__doc", "left_semi")
+    wanted = wanted.toDF("__wanted", "__of")
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"), text_key(text_col).alias("__key"))
+    texts = rows.join(wanted, F.col("__doc").eqNullSafe(F.col("__wanted")) & (F.col("__key") == F.col("__of")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -371,7 +378,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> Dat
             columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens", "bits"])
 
-    return C.stored(texts.select("text").mapInArrow(run, "node long, tokens binary, bits array<long>"), "sets")
+    sets = C.stored(texts.select("text").mapInArrow(run, "node long, tokens binary, bits array<long>"), "sets")
+    # rows equal in id and text each give the set
+    return C.stored(sets.dropDuplicates(["node"]), "sets") if sets.groupBy("node").count().where("count > 1").head(1) else sets
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -422,12 +431,17 @@ def classes(links: DataFrame) -> DataFrame:
 
 def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id) of every document; component_id is the smallest id reachable by links."""
+    return row_classes(docs, text_col, id_col).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def row_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc, key, n, label, component_id) of every document. Classes that hold the same id, or none but null ids, differ in label; it is null without words."""
     spark = docs.sparkSession
     C.small_batches(spark)
     found = _nodes(docs, text_col, id_col)
-    rows = found.where("shingle is null").select("doc", "n", "node")
+    rows = found.where("shingle is null").select("doc", "key", "n", "node")
     total, n_docs = rows.agg(F.sum("n"), F.count("*")).first()
-    reps = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("__doc"))
+    reps = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("__doc"), F.coalesce(F.min_by("key", "doc"), F.min("key")).alias("__key"))
     heavy = spark.sparkContext.broadcast(_heavy(found, n_docs))
     n_parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int((total or 0) * 0.35 / GROUP_TOKENS) + 1)
     blobs = _prefixes(docs, heavy, n_parts, text_col).groupBy("part").applyInArrow(_shared_tokens(n_parts), _BLOB)
@@ -438,14 +452,14 @@ def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     labels = _linked(docs, index, reps, text_col, id_col)
     comp = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = comp.groupBy("label").agg(F.min("__doc").alias("component_id"))
-    comp = comp.join(least, "label").select("node", "component_id")
-    return rows.join(comp, "node", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    comp = comp.join(least, "label").select("node", "label", "component_id")
+    return rows.join(comp, "node", "left").select("doc", "key", "n", "label", F.coalesce("component_id", "doc").alias("component_id"))
 
 
 def _linked(docs: DataFrame, index: DataFrame, reps: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(node, label) of the nodes that have links."""
     spark = docs.sparkSession
-    sets = _sets(docs, reps.join(index.select("node").distinct(), "node").select("__doc"), text_col, id_col)
+    sets = _sets(docs, reps.join(index.select("node").distinct(), "node").select("__doc", "__key"), text_col, id_col)
     labels = spark.createDataFrame([], "node long, label long")
     fits = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
     before, joined = None, 0

@@ -71,6 +71,19 @@ def test_ngram_join_of_empty_tables_and_repeated_ids(spark):
     assert ngram_join.similar_classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Each class keeps one row, whatever ids it shares with others; rows with null ids link and bridge."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    words = lambda p, a, b: " ".join(f"{p}{k}" for k in range(a, b))
+    rows = [(3, words("a", 0, 60)), (7, words("a", 0, 60)), (7, words("b", 0, 60)), (8, words("b", 0, 60)), (9, words("c", 0, 60)), (9, words("d", 0, 60)), (1, words("e", 0, 60)), (1, words("e", 0, 60))]
+    rows += [(None, words("f", 0, 60)), (None, words("g", 0, 60)), (None, words("g", 0, 60)), (None, words("h", 0, 100)), (None, words("h", 10, 110)), (4, words("i", 0, 100)), (None, words("i", 10, 110)), (5, words("i", 20, 120))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    left = sorted(((r.doc_id, r.text[0], len(r.text.split())) for r in pipeline.near_duplicates(spark, docs, "").collect()), key=lambda r: r[1])
+    assert [(i, p) for i, p, _ in left] == [(3, "a"), (7, "b"), (9, "c"), (9, "d"), (1, "e"), (None, "f"), (None, "g"), (None, "h"), (4, "i")]
+    same = {(r.doc_id, r.component_id) for r in ngram_join.similar_classes(docs).collect()}
+    assert {(4, 4), (5, 4), (None, 4)} <= same
+
+
 def test_index_keys_meet():
     """Any two similar sets share a key, whatever the counts of their shingles."""
     rng = np.random.default_rng(1)
