@@ -110,7 +110,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def community_label_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.label_propagation(_heavy(spark, sf_dir))
+    return G.label_propagation(G.edge_weights(relations(spark, sf_dir)))
 
 
 @query(f"""

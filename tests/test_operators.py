@@ -1,11 +1,13 @@
 """Edge cases of the operators: nulls, empty tables, ties."""
 
 import random
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from memlake.functions import text as X
 from memlake.operators import actions, chunking, graph, hygiene, memory, retrieval
+from memlake.plans import graph as graph_queries
 
 
 def one(spark, **columns):
@@ -85,3 +87,12 @@ def test_findings(spark):
     old = spark.createDataFrame([(1, None), (2, None), (3, "kept")], "ref_id long, verdict string")
     got = {r.ref_id: r.state for r in hygiene.record_findings(old, spark.createDataFrame([(1,), (4,), (4,)], "ref_id long")).collect()}
     assert got == {1: "open", 2: "resolved", 3: "closed", 4: "new"}
+
+
+def test_communities_are_of_all_edges(spark, tmp_path):
+    """Light edges count too: every node of the relations has a community."""
+    rows = [(k, k, date(1998, 1, 1), 1.0, "N") for k in range(1, 6)] + [(1, 9, date(1998, 1, 1), 200.0, "N"), (2, 1, date(1998, 1, 1), 2.0, "N")]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_shipdate date, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.node: r.community for r in graph_queries.community_label_prop(spark, str(tmp_path)).collect()}
+    assert set(got) == {f"s{r[0]}" for r in rows} | {f"p{r[1]}" for r in rows}
+    assert all(got[f"s{k}"] in {f"s{k}", f"p{k}"} for k in (3, 4, 5))
