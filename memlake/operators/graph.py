@@ -82,6 +82,27 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return now
 
 
+def text_clusters(texts: DataFrame, least: float = 0.12, size: int = 3) -> DataFrame:
+    """(id, cluster) of the texts (id, text) in single-link clusters of at least `size`: two link where the Jaccard of their words of four letters and more is `least`.
+
+    Equal sets are one first. Similar sets share a word of their prefixes, in the order of how many sets have a word; the cluster is its smallest id.
+    """
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{4,}(?![\p{L}\p{N}_])"), F.lit(0))))
+    rows = written(texts.select("id", words.alias("w")).where(F.size("w") > 0), "words")
+    sets = written(rows.groupBy("w").agg(F.min("id").alias("key")), "sets")
+    held = sets.select("key", F.size("w").alias("n"), F.explode("w").alias("word"))
+    counted = held.join(held.groupBy("word").agg(F.count("*").alias("times")), "word")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("times", "word"))
+    prefix = written(counted.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("key", "word"), "prefixes")
+    met = prefix.toDF("a", "word").join(prefix.toDF("b", "word"), "word").where("a < b").select("a", "b").distinct()
+    of = lambda side, name: sets.select(F.col("key").alias(side), F.col("w").alias(name))
+    edges = met.join(of("a", "x"), "a").join(of("b", "y"), "b").where(X.jaccard(F.col("x"), F.col("y")) >= least).select("a", "b")
+    linked = components(edges).toDF("key", "component")
+    members = rows.join(sets, "w").select("id", "key").join(linked, "key", "left").select("id", F.coalesce("component", "key").alias("cluster"))
+    large = members.groupBy("cluster").agg(F.count("*").alias("members")).where(F.col("members") >= size).select("cluster")
+    return written(members.join(large, "cluster").select("id", "cluster"), "clusters")
+
+
 def extend_communities(edges: DataFrame, known: DataFrame) -> DataFrame:
     """(node, community) of nodes not yet in known: that of the heaviest known neighbour."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("y"), "weight").union(edges.select("b", "a", "weight"))

@@ -96,3 +96,19 @@ def test_communities_are_of_all_edges(spark, tmp_path):
     got = {r.node: r.community for r in graph_queries.community_label_prop(spark, str(tmp_path)).collect()}
     assert set(got) == {f"s{r[0]}" for r in rows} | {f"p{r[1]}" for r in rows}
     assert all(got[f"s{k}"] in {f"s{k}", f"p{k}"} for k in (3, 4, 5))
+
+
+def test_text_clusters_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{'abcdefghijkl'[i % 12]}{rng.choice(['word', 'term', 'note', 'line'])}{rng.choice('xyz')}" for _ in range(rng.randrange(2, 9))) + " the of éwordé") for i in range(150)]
+    rows += [(200, None), (201, "a b"), (202, "Solo text"), (203, "solo, text!"), (204, "lone pair"), (205, "lone pair"), (206, "lone pair")]
+    sets = {i: {w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split() if len(w) > 3 and w.isascii()} for i, t in rows}
+    label = {i: i for i, _ in rows}
+    for i in label:
+        for j in label:
+            if j < i and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.3 and label[i] != label[j]:
+                new, old = sorted((label[i], label[j]))
+                label = {k: new if v == old else v for k, v in label.items()}
+    want = {(i, v) for i, v in label.items() if sets[i] and sum(x == v for x in label.values()) > 2}
+    got = graph.text_clusters(spark.createDataFrame(rows, "id long, text string"), least=0.3).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and {(204, 204), (206, 204)} <= want and len({v for _, v in want}) > 2
