@@ -5,32 +5,11 @@ Iterative operators cut their lineage with written tables in the session's share
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as X
-
-_made: dict[str, str] = {}
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written to spark.checkpoint.dir (a temporary folder where that is unset) and read again."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _made:
-            _made[app] = tempfile.mkdtemp(prefix="memlake-")
-            atexit.register(shutil.rmtree, _made[app], True)
-        root = "file://" + _made[app]
-    uri = f"{root.rstrip('/')}/memlake/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+from memlake.shared import stored as written
 
 
 def edge_weights(relations: DataFrame) -> DataFrame:

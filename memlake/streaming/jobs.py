@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.operators.graph import written
+from memlake.shared import shared_folder
 
 
 def event_stream(spark: SparkSession, root: str, schema: T.StructType, name: str = "events") -> DataFrame:
@@ -25,7 +24,7 @@ def run_available(stream: DataFrame, mode: str, then: Callable[[DataFrame], Data
     key winning.
     """
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = shared_folder(spark, "stream")
     if mode == "append":
         done = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     else:
@@ -38,17 +37,6 @@ def run_available(stream: DataFrame, mode: str, then: Callable[[DataFrame], Data
     return then(spark.read.schema(schema).parquet(f"{folder}/out"))
 
 
-def _folder(spark: SparkSession) -> str:
-    marker = written(spark.range(0), "stream")  # names the shared folder
-    del marker
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        from memlake.operators.graph import _made
-
-        root = "file://" + _made[spark.sparkContext.applicationId]
-    return f"{root.rstrip('/')}/memlake/stream-{uuid.uuid4().hex}"
-
-
 def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
     day = F.window("ts", "1 day")
     return events.withWatermark("ts", late).groupBy(day, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
