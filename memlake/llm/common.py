@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,59 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memlake.session import ship
+from memlake.shared import delete_folder, remove_stored, shared_folder, shared_root, stored  # noqa: F401
 
 #: Rows of one Arrow batch. Texts of 100 kB then need 50 MB a batch, whatever the table's size.
 ARROW_ROWS = 512
 
-_made: dict[str, str] = {}
-_folders: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _made:
-        _made[app] = "file://" + tempfile.mkdtemp(prefix="memlake-")
-        spark.sparkContext.setCheckpointDir(_made[app])
-        atexit.register(_remove_local, _made[app])
-    return _made[app]
-
-
-def _remove_local(uri: str) -> None:
-    import shutil
-
-    shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared one."""
-    _folders.append(f"{shared_root(spark)}/memlake/{label}-{uuid.uuid4().hex}")
-    return _folders[-1]
-
-
-def remove_stored(spark: SparkSession) -> int:
-    """Delete what this process has put into the shared folder: to be called when no result is read any more."""
-    n = len(_folders)
-    while _folders:
-        delete_folder(spark, _folders.pop())
-    return n
-
-
-def delete_folder(spark: SparkSession, uri: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    uri = shared_folder(df.sparkSession, label)
-    df.write.parquet(uri)
-    return df.sparkSession.read.schema(df.schema).parquet(uri)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a task's memory does not depend on how long the texts are; send the package along."""
     ship(spark)
@@ -82,31 +31,33 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def map_rows(
     df: DataFrame,
     text_col: str,
-    make: Callable[[], Callable[[list], Sequence[pa.Array]]],
+    make: Callable[[], Callable[..., Sequence[pa.Array]]],
     fields: Sequence[T.StructField],
     carry: Sequence[str] | None = None,
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Add columns that a Python function makes of text_col, batch by batch.
+    """Add columns that a Python function makes of text_col and of the columns in also, batch by batch.
 
-    make() runs once per task and returns a function from a list of texts (None for null) to one Arrow
-    array per field. carry names the columns that go along (None: all). Columns named like a field are
-    replaced.
+    make() runs once per task and returns a function from lists of values (None for null), one list per
+    column, to one Arrow array per field. carry names the columns that go along (None: all); a text that
+    goes along is sent once. Columns named like a field are replaced.
     """
     small_batches(df.sparkSession)
     names = [f.name for f in fields]
-    base = df if carry is None else df.select(*carry)
-    base = without(base, names)
-    kept = len(base.columns)
-    fed = base.select("*", df[text_col].alias("__text")) if carry is None else without(df.select(*carry, F.col(text_col).alias("__text")), names)
+    base = without(df if carry is None else df.select(*carry), names)
+    kept = base.columns
+    fed = [c for c in (text_col, *also) if c not in kept]
+    at = [kept.index(c) if c in kept else len(kept) + fed.index(c) for c in (text_col, *also)]
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__fed{k}") for k, c in enumerate(fed)])
     schema = T.StructType([*base.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            made = work(batch.column(kept).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *made], names=[*batch.schema.names[:kept], *names])
+            made = work(*[batch.column(k).to_pylist() for k in at])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=[*kept, *names])
 
-    return fed.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def field(name: str, kind: T.DataType) -> T.StructField:

@@ -15,11 +15,14 @@ is one; without words it is empty and linked with nothing. Two documents link wh
    many less one, the rarest first, are indexed. Rare shingles are indexed one by one, frequent ones in
    pairs. Pairs are formed within groups of shingles, and the prefix is extended by as many shingles as
    there are groups: so one more common shingle than groups makes a common pair.
-4. Each round verifies one candidate per node, of another class, on the whole sets, and joins the
-   classes; then all pairs that share an index key and are still of different classes are verified. Pairs
-   within a class need no test. So a group of copies costs as many tests as it has members, and no link
-   between classes is lost. Before the sets are compared, their bitmaps are: each shingle sets one of BITS
-   bits, so that the bits in which two bitmaps differ are no more than the shingles in which the sets do.
+4. Keys that hold much the same documents are merged: a key's representative is the least node hash among its
+   documents, and the documents of all keys with one representative make a group. Groups are cut into blocks of
+   BLOCK_DOCS documents and BLOCK_TOKENS shingles. A task holds the whole sets of a few blocks and emits links
+   between classes, never pairs: less than one for each document. Sets that are in one class already are not
+   compared, others only if their bitmaps allow it.
+5. Groups of one block are done then. Larger ones are dealt to blocks SALTED times at random, which costs as much
+   as they have documents and joins what is similar to many; at last each block of those documents that aren't
+   in the group's largest class meets every other block, so that no link is lost.
 
 Defined results: null and empty texts have n_shingles 0 and are their own component. Rows with equal ids
 are separate documents that may fall into different classes. An empty table gives an empty result. Other
@@ -28,9 +31,10 @@ columns are not carried, unless asked for.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,44 +44,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import common as C
+from memlake.operators.graph import components
 
 WORDS, PERCENT = 5, 75
 #: Shingles in one document of this many are very frequent.
 HEAVY_SHARE = 1000
 #: Shingles in more prefixes than this are indexed in pairs.
 FREQUENT = 64
-#: Tokens that a task holds before it passes them on, and that a group of the shuffle has at most, about.
-HELD, GROUP_TOKENS = 1_000_000, 750_000
-#: Node ids are broadcast up to this number (16 bytes each); beyond it they are joined by a shuffle.
+#: Tokens (8 bytes each) that a task holds before it counts them, that it holds before it deals them out, and that a group of the shuffle has at most, about.
+COUNTED, HELD, GROUP_TOKENS = 1_000_000, 300_000, 500_000
+#: Documents and tokens of a block that is compared at once, and tokens of the blocks that a task holds at once.
+BLOCK_DOCS, BLOCK_TOKENS, PART_TOKENS = 1024, 1_000_000, 1_000_000
+#: Times that large groups are dealt to blocks at random.
+SALTED = 2
+#: Node ids are broadcast up to this number (some 30 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
-ROUNDS = 6
 #: Bits of a bitmap.
-BITS = 1024
-_MAX_WORDS = 200_000
+LEAST_BITS, MOST_BITS = 1024, 1 << 16
+#: Bytes of words, with some 150 a word for the table, whose hashes a task keeps; longer words than this are not kept; bytes of text cut into words at once; nodes that a task remembers.
+WORDS_BYTES, LONG_WORD, PIECE, SEEN = 16 << 20, 64, 1 << 20, 200_000
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _ALL = np.iinfo(np.int32).max
 
 
 class _Words(dict):
+    """Hashes of words."""
+
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _MAX_WORDS:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            self.held += len(word) + 150
+            if self.held > WORDS_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = got
         return got
 
 
+class _Seen(set):
+    """Nodes that a task has met lately: repeats that it lets pass cost work, not results."""
+
+    def new(self, node: int) -> bool:
+        if node in self:
+            return False
+        if len(self) >= SEEN:
+            self.clear()
+        self.add(node)
+        return True
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _hashed(text: str, words: dict) -> np.ndarray:
+    """The words' hashes; the text is cut at spaces into pieces, so that few words are held at once."""
+    raw, made, at = text.encode().lower(), [], 0
+    while at < len(raw):
+        end = _SPACE.search(raw, at + PIECE) if len(raw) - at > PIECE else None
+        end = end.end() if end else len(raw)
+        found = raw[at:end].split()
+        made.append(np.fromiter(map(words.__getitem__, found), np.uint64, len(found)))
+        at = end
+    return np.concatenate(made) if len(made) > 1 else made[0] if made else np.empty(0, np.uint64)
+
+
 def shingles(text: str | None, words: dict | None = None, width: int = WORDS) -> np.ndarray:
     """The sorted hashes of the text's set."""
-    found = (text or "").encode().lower().split()
-    if not found:
+    w = _hashed(text or "", words if words is not None else _Words())
+    if not len(w):
         return np.empty(0, np.uint64)
-    w = np.fromiter(map((words if words is not None else _Words()).__getitem__, found), np.uint64, len(found))
     if len(w) < width:
         return _mixed(np.array([(w * _M[: len(w)]).sum() + np.uint64(len(w))], np.uint64))
     n = len(w) - width + 1
@@ -144,7 +187,7 @@ def _nodes(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, held, size, docs_held = _Words(), set(), [], 0, 0
+        words, seen, held, size, docs_held = _Words(), _Seen(), [], 0, 0
 
         def frequent() -> pa.RecordBatch:
             nonlocal held, size, docs_held
@@ -158,19 +201,16 @@ def _nodes(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).type
             n, node = [], []
-            for text in batch.column(1).to_pylist():
-                t = shingles(text, words)
+            for text in batch.column(1):
+                t = shingles(text.as_py(), words)
                 n.append(len(t))
                 node.append(node_of(t) if len(t) else None)
-                if len(t) and node[-1] not in seen:
-                    seen.add(node[-1])
+                if len(t) and seen.new(node[-1]):
                     held.append(t)
                     size, docs_held = size + len(t), docs_held + 1
+                    if size > COUNTED:
+                        yield frequent()
             yield _batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())])
-            if size > HELD:
-                yield frequent()
-                if len(seen) > 1_000_000:
-                    seen.clear()
         if held:
             yield frequent()
 
@@ -216,7 +256,7 @@ def _prefixes(docs: DataFrame, heavy, n_parts: int, text_col: str) -> DataFrame:
     """Blobs of (shingle, node) of the prefixes by shingle, and of (node, n, shingle) of the very frequent ones by node (shingle 0: just n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, words, seen = heavy.value, _Words(), set()
+        often, words, seen = heavy.value, _Words(), _Seen()
         tokens, nodes, h_node, h_n, h_token, size = [], [], [], [], [], 0
 
         def passed_on() -> Iterator[pa.RecordBatch]:
@@ -229,11 +269,10 @@ def _prefixes(docs: DataFrame, heavy, n_parts: int, text_col: str) -> DataFrame:
             yield from _blobs(rows).to_batches()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                t = shingles(text, words)
-                if not len(t) or (node := node_of(t)) in seen:
+            for text in batch.column(0):
+                t = shingles(text.as_py(), words)
+                if not len(t) or not seen.new(node := node_of(t)):
                     continue
-                seen.add(node)
                 n = len(t)
                 length = prefix_length(n)
                 if len(often):
@@ -249,11 +288,9 @@ def _prefixes(docs: DataFrame, heavy, n_parts: int, text_col: str) -> DataFrame:
                 h_n.append(np.full(1 + len(hot), n, np.int64))
                 h_token.append(np.concatenate([np.zeros(1, np.uint64), hot]))
                 size += length
-            if size > HELD:
-                yield from passed_on()
-                size = 0
-                if len(seen) > 1_000_000:
-                    seen.clear()
+                if size > HELD:
+                    yield from passed_on()
+                    size = 0
         if h_node:
             yield from passed_on()
 
@@ -358,11 +395,11 @@ def _index(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(made[0].view(np.int64)), *(pa.array(x.astype(np.int64)) for x in made[1:])], names=["key", "side", "node", "n"])
 
 
-# -- verification and classes -----------------------------------------------------------------------
+# -- groups, verification and classes ---------------------------------------------------------------
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(node, tokens, bitmap) of the documents wanted (__doc, __key; one per node)."""
+    """(node, tokens) of the documents wanted (__doc, __key; one per node). Rows equal in id and text each give the set."""
     if wanted.count() <= MAX_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     wanted = wanted.toDF("__wanted", "__of")
@@ -370,63 +407,145 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> Dat
     texts = rows.join(wanted, F.col("__doc").eqNullSafe(F.col("__wanted")) & (F.col("__key") == F.col("__of")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, seen = _Words(), _Seen()
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
-            sets = [s for s in sets if len(s)]
-            bits = [bitmap(s).tolist() for s in sets]
-            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens", "bits"])
-
-    sets = C.stored(texts.select("text").mapInArrow(run, "node long, tokens binary, bits array<long>"), "sets")
-    # rows equal in id and text each give the set
-    return C.stored(sets.dropDuplicates(["node"]), "sets") if sets.groupBy("node").count().where("count > 1").head(1) else sets
-
-
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """BITS bits as 64-bit integers."""
-    set_bits = np.zeros(BITS, bool)
-    set_bits[(tokens % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(set_bits).view(np.int64)
-
-
-def _may_link(n, m, a: list, b: list):
-    """Whether sets of n and m shingles with bitmaps a and b may link: they differ in (100 - PERCENT) / (100 + PERCENT) of n + m shingles at most."""
-    differ = reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)])
-    return (100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)
-
+            nodes, sets = [], []
+            for text in batch.column(0):
+                t = shingles(text.as_py(), words)
+                if len(t) and seen.new(node := node_of(t)):
+                    nodes.append(node)
+                    sets.append(t.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
+
+    return C.stored(texts.select("text").mapInArrow(run, "node long, tokens binary"), "sets")
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, as 64-bit integers: about eight bits for a shingle of the largest set, within bounds."""
+    bits = 1 << min(max(8 * max(map(len, sets)), LEAST_BITS).bit_length(), MOST_BITS.bit_length() - 1)
+    made = np.empty((len(sets), bits // 8), np.uint8)
+    for row, s in zip(made, sets, strict=True):
+        of = np.zeros(bits, bool)
+        of[(s % np.uint64(bits)).astype(np.int64)] = True
+        row[:] = np.packbits(of)
+    return made.view(np.uint64)
+
+
+def linked_labels(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the labels of one block: (larger, smallest of its class) for each label that joins another.
+
+    Sets of different sides are compared, those of side 2 with all; sets whose classes are one already are
+    not. Of a set's possible partners, the one with the most similar bitmap comes first: the bits in which
+    two bitmaps differ are no more than the shingles in which the sets do.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, side = [sets[k] for k in order], side[order]
+    n = np.array([len(s) for s in sets])
+    names, cls = np.unique(label[order], return_inverse=True)
+    start = cls.copy()
+    bits = bitmaps(sets) if len(sets) > 2 else None
+    for i in range(1, len(sets)):
+        low = int(np.searchsorted(n[:i], least_common(int(n[i]))))
+        may = (cls[low:i] != cls[i]) & ((side[low:i] != side[i]) | (side[i] == 2))
+        if not may.any():
+            continue
+        others = low + np.flatnonzero(may)
+        if bits is not None:
+            differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = (100 + PERCENT) * differ <= (100 - PERCENT) * (n[others] + n[i])
+            others = others[near][np.argsort(differ[near], kind="stable")]
+        for j in others.tolist():
+            if cls[j] != cls[i] and links(sets[j], sets[i]):
+                a, b = sorted((cls[i], cls[j]))
+                cls[cls == b] = a
+    joined = np.unique(np.stack([start, cls]), axis=1)
+    return [(int(names[s]), int(names[c])) for s, c in joined.T if s != c]
+
+
+def links(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets link; p is the smaller."""
+    common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * common >= PERCENT * (len(p) + len(q) - common)
+
+
+def _closed(table: pa.Table) -> pa.Table:
+    """Links (a, b) between labels, of the blocks of one part."""
+    block, node, label, side = (table.column(c).to_numpy() for c in ("block", "node", "label", "side"))
+    tokens = table.column("tokens").combine_chunks()
+    order = np.lexsort((node, side, block))
+    same = np.zeros(len(order), bool)
+    same[1:] = (block[order][1:] == block[order][:-1]) & (side[order][1:] == side[order][:-1]) & (node[order][1:] == node[order][:-1])
+    order = order[~same]
+    starts = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]])) if len(order) else np.empty(0, np.int64)
+    found = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        at = order[a:b]
+        if b - a > 1 and (label[at] != label[at[0]]).any():
+            found += linked_labels([np.frombuffer(tokens[int(k)].as_buffer(), np.uint64) for k in at], label[at], side[at])
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+
+def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between labels, of rows (block, node, n, label, side): the blocks are dealt out to parts of bounded size."""
+    spark = blocks.sparkSession
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_TOKENS + 1)
+    rows = blocks.join(sets, "node").select(F.pmod("block", F.lit(n_parts)).cast("int").alias("part"), "block", "node", "label", "side", "tokens")
+    return C.stored(rows.groupBy("part").applyInArrow(_closed, "a long, b long").distinct(), "links")
+
+
+def _relabelled(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(node, label) after new links between labels."""
+    step = components(new).toDF("label", "__label")
+    if labels is None:
+        return step.toDF("node", "label")
+    known = labels.join(step, "label", "left").select("node", F.coalesce("__label", "label").alias("label"))
+    fresh = step.join(labels.select(F.col("node").alias("label")), "label", "left_anti").toDF("node", "label")
+    return C.stored(known.unionByName(fresh), "labels")
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b, la, lb) those that link."""
-    of = lambda side, name: sets.select(F.col("node").alias(side), F.col("tokens").alias(name))
-    both = pairs.join(of("a", "__left"), "a").join(of("b", "__right"), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if 100 * len(p) >= PERCENT * len(q) else 0
-                keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["la", "lb"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("la", "lb", "__left", "__right").mapInArrow(run, "la long, lb long")
-
-
-def classes(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable, by repeated minima over neighbours and pointer jumps."""
-    edges = C.stored(links.union(links.select("b", "a")).distinct(), "edges")
-    now = C.stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = edges.join(now.toDF("b", "l"), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
-        step = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        jump = step.join(now.toDF("label", "__further"), "label", "left").select("node", "old", F.coalesce(F.least("label", "__further"), "label").alias("label"))
-        done = C.stored(jump, "labels")
-        now = done.select("node", "label")
-        if not done.where("old != label").head(1):
-            return now
+def _linked(docs: DataFrame, index: DataFrame, reps: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(node, label) of the nodes that have links; index has (key, node, n, rep)."""
+    # keys with the same representative hold much the same documents: they make one group
+    groups = index.select("rep", "node", "n").distinct()
+    sizes = groups.groupBy("rep").agg(F.count("*").alias("__m"), F.sum("n").alias("__tokens"))
+    n_blocks = F.greatest(F.ceil(F.col("__m") / BLOCK_DOCS), F.ceil(F.col("__tokens") / BLOCK_TOKENS)).cast("long")
+    groups = C.stored(groups.join(sizes.select("rep", n_blocks.alias("n_blocks")), "rep"), "groups")
+    sets = _sets(docs, reps.join(groups.select("node").distinct(), "node").select("__doc", "__key"), text_col, id_col)
+    labels, rows = None, groups.withColumn("label", F.col("node"))
+    for turn in range(SALTED):
+        salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n_blocks"))
+        blocks = rows.select(F.xxhash64("rep", salt).alias("block"), "node", "n", "label", F.lit(2).alias("side"))
+        labels = _relabelled(labels, _links(blocks, sets))
+        # groups of one block have been compared in full; of the others those go on that have several classes
+        large = groups.where("n_blocks > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = large.groupBy("rep").agg((F.min("label") != F.max("label")).alias("__several")).where("__several").select("rep")
+        rows = C.stored(large.join(several, "rep"), "open")
+        if not rows.head(1):
+            return labels
+    return _relabelled(labels, _links(_block_pairs(rows), sets))
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows (block, node, n, label, side) that bring together any two nodes of a group but those of its largest class.
+
+    The nodes of the largest class and the others are dealt to blocks of half the size; each block of the
+    others meets each of them, its own included, once."""
+    held = rows.groupBy("rep", "label").agg(F.count("*").alias("__m"), F.sum("n").alias("__tokens"))
+    halves = lambda m, tokens: F.greatest(F.ceil(2 * m / BLOCK_DOCS), F.ceil(2 * tokens / BLOCK_TOKENS)).cast("int")
+    of = held.groupBy("rep").agg(F.max_by("label", "__m").alias("__main"), F.max("__m").alias("__most"), F.max_by("__tokens", "__m").alias("__held"), F.sum("__m").alias("__all"), F.sum("__tokens").alias("__total"))
+    of = C.stored(of.select("rep", "__main", halves(F.col("__most"), F.col("__held")).alias("__q"), halves(F.col("__all") - F.col("__most"), F.col("__total") - F.col("__held")).alias("__o")), "largest")
+    main, own = F.col("label") == F.col("__main"), F.xxhash64("node", F.lit(SALTED))
+    at = F.when(main, F.pmod(own, F.col("__q"))).otherwise(F.pmod(own, F.col("__o"))).cast("int")
+    dealt = rows.join(of, "rep").withColumn("__is_main", main).withColumn("__at", at)
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # (i, j): block i of the others with block j of them, or with block j - o of the largest class
+    with_others = F.transform(each(F.col("__o")), lambda j: F.struct(F.least("__at", j).alias("i"), F.greatest("__at", j).alias("j"), F.when(F.col("__at") == j, 2).when(F.col("__at") < j, 0).otherwise(1).alias("side")))
+    with_main = F.transform(each(F.col("__q")), lambda j: F.struct(F.col("__at").alias("i"), (F.col("__o") + j).alias("j"), F.lit(0).alias("side")))
+    of_main = F.transform(each(F.col("__o")), lambda i: F.struct(i.alias("i"), (F.col("__o") + F.col("__at")).alias("j"), F.lit(1).alias("side")))
+    meets = F.when(F.col("__is_main"), of_main).otherwise(F.concat(with_others, with_main))
+    met = dealt.select("rep", "node", "n", "label", F.explode(meets).alias("m"))
+    return C.stored(met.select(F.xxhash64("rep", "m.i", "m.j").alias("block"), "node", "n", "label", F.col("m.side").alias("side")), "blocks")
 
 
 def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -447,65 +566,10 @@ def row_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     blobs = _prefixes(docs, heavy, n_parts, text_col).groupBy("part").applyInArrow(_shared_tokens(n_parts), _BLOB)
     index = C.stored(blobs.groupBy("part").applyInArrow(_index, "key long, side long, node long, n long"), "index")
     sides = [F.count_if(F.col("side") == k) for k in range(3)]
-    shared = index.groupBy("key").agg(((sides[2] > 1) | ((sides[0] > 0) & (sides[1] > 0))).alias("met")).where("met").select("key")
-    index = C.stored(index.join(shared, "key"), "index")
-    labels = _linked(docs, index, reps, text_col, id_col)
+    met = (sides[2] > 1) | ((sides[0] > 0) & (sides[1] > 0))
+    shared = index.groupBy("key").agg(met.alias("met"), F.min(F.xxhash64("node")).alias("rep")).where("met").select("key", "rep")
+    labels = _linked(docs, index.join(shared, "key"), reps, text_col, id_col)
     comp = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = comp.groupBy("label").agg(F.min("__doc").alias("component_id"))
     comp = comp.join(least, "label").select("node", "label", "component_id")
     return rows.join(comp, "node", "left").select("doc", "key", "n", "label", F.coalesce("component_id", "doc").alias("component_id"))
-
-
-def _linked(docs: DataFrame, index: DataFrame, reps: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(node, label) of the nodes that have links."""
-    spark = docs.sparkSession
-    sets = _sets(docs, reps.join(index.select("node").distinct(), "node").select("__doc", "__key"), text_col, id_col)
-    labels = spark.createDataFrame([], "node long, label long")
-    fits = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
-    before, joined = None, 0
-    for turn in range(ROUNDS + 1):
-        # keys whose documents are not all of one class yet, with a member of either side
-        own = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        member = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label", "n")
-        at = [F.min(F.when(F.col("side") != 1 - k, member)).alias(f"hub{k}") for k in (0, 1)]
-        open_keys = own.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), *at).where("l1 != l2").drop("l1", "l2")
-        live = C.stored(own.join(open_keys, "key"), "live")
-        hub = F.when(F.col("side") == 0, F.col("hub1")).otherwise(F.col("hub0"))
-        met = live.withColumn("hub", hub).where((F.col("label") != F.col("hub.label")) & fits(F.col("n"), F.col("hub.n")))
-        left = met.count()
-        if not left and not live.head(1):
-            break
-        last = turn == ROUNDS or not left or (before is not None and joined <= before / 200)
-        if last:
-            pairs = _open_pairs(live, sets, fits)
-        else:
-            # of the hubs that a node meets, the one it shares most keys with
-            often = met.groupBy("node", "label", "hub").agg(F.count("*").alias("c"))
-            best = often.groupBy("node", "label").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-            pairs = best.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("label").alias("la"), F.col("hub.label").alias("lb"))
-        new = C.stored(_verified(pairs, sets).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
-        before, joined = best.count() if not last else 0, new.count()
-        if joined:
-            step = classes(new).toDF("label", "__label")
-            known = labels.join(step, "label", "left").select("node", F.coalesce("__label", "label").alias("label"))
-            fresh = step.join(labels.select(F.col("node").alias("label")), "label", "left_anti").toDF("node", "label")
-            labels = C.stored(known.unionByName(fresh), "labels")
-        if last:
-            break
-    return labels
-
-
-def _open_pairs(live: DataFrame, sets: DataFrame, fits) -> DataFrame:
-    """All pairs of a key that may link and are of different classes. Of each key, one member's class is taken as
-    the main one: its own members are not paired with one another."""
-    words = BITS // 64
-    maps = sets.select("node", *[F.col("bits")[i].alias(f"w{i}") for i in range(words)]).dropDuplicates(["node"])
-    main = F.when(F.col("side") == 2, F.col("hub0.label")).otherwise(F.least("hub0.label", "hub1.label"))
-    rows = live.select("key", "side", "node", "n", "label", (F.col("label") == main).alias("main")).join(maps, "node")
-    names = [f"w{i}" for i in range(words)]
-    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("side", "node", "n", "label", "main", *names)])
-    sides = ((F.col("side") == 2) & (F.col("main_") | (F.col("node") < F.col("node_")))) | (F.col("side") + F.col("side_") == 1)
-    once = (F.col("side") == 2) | F.col("main_") | (F.col("side") == 0)
-    near = _may_link(F.col("n"), F.col("n_"), [F.col(w) for w in names], [F.col(f"{w}_") for w in names])
-    met = rows.where("not main").join(other, "key").where(sides & once & (F.col("label") != F.col("label_")) & fits(F.col("n"), F.col("n_")) & near)
-    return met.select(F.col("node").alias("a"), F.col("node_").alias("b"), F.col("label").alias("la"), F.col("label_").alias("lb")).distinct()

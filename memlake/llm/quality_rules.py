@@ -175,20 +175,18 @@ def score(docs: DataFrame, ratios: np.ndarray, once: tuple[np.ndarray, np.ndarra
     """Add the counts, mean_log_ratio, base_failed and kept to each document of by_text; once: the (raw, target) counts of its distinct texts."""
     shared = docs.sparkSession.sparkContext.broadcast((ratios, *once))
     carry = [c for c in docs.columns if c != "__flag"] if carry is None else carry
-    docs = docs.withColumn("__pair", F.struct(F.col(text_col).alias("text"), F.col("__flag").alias("flag")))
-
     def make():
         table, raw, target = shared.value
         n_raw, n_target = raw.sum(), target.sum()
 
-        def work(pairs: list) -> list[pa.Array]:
+        def work(texts: list, flags: list) -> list[pa.Array]:
             rows = []
-            for pair in pairs:
-                *counts, u = base_counts(pair["text"])
+            for text, flag in zip(texts, flags, strict=True):
+                *counts, u = base_counts(text)
                 grams = buckets_of(u)
                 mean = round(float(table[grams].mean()), 9) if len(u) else None
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEATED_PERCENT * counts[0]
-                kept = not failed and others_ratio(grams, pair["flag"], raw, target, n_raw, n_target) >= threshold
+                kept = not failed and others_ratio(grams, flag, raw, target, n_raw, n_target) >= threshold
                 rows.append((*counts, mean, failed, kept))
             kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
             return [pa.array(col, kind) for col, kind in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)]
@@ -197,7 +195,7 @@ def score(docs: DataFrame, ratios: np.ndarray, once: tuple[np.ndarray, np.ndarra
 
     long, names = T.LongType(), ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fields = [C.field(n, long) for n in names] + [C.field("mean_log_ratio", T.DoubleType()), C.field("base_failed", T.BooleanType()), C.field("kept", T.BooleanType())]
-    return C.map_rows(docs, "__pair", make, fields, carry)
+    return C.map_rows(docs, text_col, make, fields, carry, also=["__flag"])
 
 
 def quality_rules(docs: DataFrame, target_ids: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:

@@ -54,16 +54,56 @@ def corpus(seed, groups, size, noise):
     return [(i * 3, t) for i, t in enumerate([*rows, None, "", " \n", "one", "one", "a b c d", "A  b c d"])]
 
 
-@pytest.mark.parametrize(("groups", "size", "noise", "frequent"), [(40, 6, 0.02, 64), (6, 60, 0.02, 3)])
-def test_ngram_join_is_exact(spark, monkeypatch, groups, size, noise, frequent):
-    """With few copies, and with large groups where shingles are indexed in pairs and rounds of representatives run."""
+@pytest.mark.parametrize(("groups", "size", "noise", "frequent", "block"), [(40, 6, 0.02, 64, 1024), (6, 60, 0.02, 3, 1024), (6, 60, 0.03, 3, 6)])
+def test_ngram_join_is_exact(spark, monkeypatch, groups, size, noise, frequent, block):
+    """With few copies; with large groups where shingles are indexed in pairs; with groups of many blocks."""
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
     rows = corpus(groups, groups, size, noise)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string").repartition(3)
     got = sorted(tuple(r) for r in ngram_join.similar_classes(docs).collect())
     assert got == brute_classes(rows)
 
 
+def test_ngram_join_of_one_large_group_of_near_copies(spark, monkeypatch):
+    """Chains of copies on either side of the line, and copies of one text that link with few of each other; no join makes pairs of them."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 16)
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for i in range(220):
+        words = list(base)
+        for at in rng.sample(range(90), rng.choice([0, 1, 2, 3, 4])):
+            words[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"c{k}" for k in range(4 * i, 4 * i + 60))) for i in range(40)]
+    got = sorted(tuple(r) for r in ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == brute_classes(rows)
+    assert len({c for _, _, c in got}) > 10
+
+
+def test_block_pairs_meet_once(spark, monkeypatch):
+    """Every two nodes of a group meet in one block, but those of its largest class."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 8)
+    rows = [(g, node, 10, 1 if node < 40 else node) for g in (1, 2) for node in range(30 * g)]
+    held = ngram_join._block_pairs(spark.createDataFrame(rows, "rep long, node long, n long, label long")).collect()
+    met = set()
+    for block in {r.block for r in held}:
+        inside = [r for r in held if r.block == block]
+        assert len(inside) < 40
+        met |= {(block, a.node, b.node) for a in inside for b in inside if a.node < b.node and (a.side != b.side or a.side == 2)}
+    want = [(a, b) for b in range(60) for a in range(b) if a >= 40 or b >= 40]
+    assert sorted((a, b) for _, a, b in met) == sorted(want, key=lambda p: p)
+
+
+def test_words_of_long_texts(monkeypatch):
+    text = " ".join(f"Wörter{k % 97}\t{k}" for k in range(3000)) + " "
+    whole = ngram_join.shingles(text)
+    monkeypatch.setattr(ngram_join, "PIECE", 100)
+    assert (ngram_join.shingles(text) == whole).all() and len(whole) == 5996
+    assert len(ngram_join.shingles("x" * 5000)) == 1 and len(ngram_join.shingles(" \n" * 500)) == 0
+
+
 def test_ngram_join_of_empty_tables_and_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, None), (2, "A b c d e f"), (None, "q r s")], "doc_id long, text string")
     got = {tuple(r) for r in ngram_join.similar_classes(docs).collect()}
