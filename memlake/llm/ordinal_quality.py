@@ -5,12 +5,15 @@ thresholds. A document gets its expected grade and the tail probability P(grade
 selected. Features: words (letters and digits, A-Z lower-cased), what is left of words without letters
 (digits as 9), and the length's order of magnitude; each bucket has log(1 + count) / log(2 + words).
 
-The fit takes at most `max_rows` rated documents, those of the smallest id hashes, so that the sample is
-the same on every run and its features (not texts) fit the driver. All documents are scored.
+The fit takes at most `max_rows` rated documents, those of the smallest id hashes, and of each at most
+`max_features` features, those of the largest values; so the sample is the same on every run and its
+features (not texts) fit the driver. All documents are scored, by all their features.
 
 Defined results: a null or empty text has the length feature only. Ratings whose document is missing and
-null ratings are passed over; an id rated more than once counts with its lowest grade. Without ratings
-every grade is equally likely and nothing is rejected. An empty table gives an empty result. Input
+null ratings are passed over; an id rated more than once counts with its lowest grade, and an id of
+several documents with the text of the smallest hash. Where no feature tells the grades apart, all
+documents have the tail probability of the ratings and are kept or rejected by it. Without any ratings
+there is no model: every grade is equally likely and nothing is rejected. An empty table gives an empty result. Input
 columns named like a result are replaced.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 from memlake.llm import common as C
 
 BUCKETS = 1 << 16
-MAX_ROWS = 12_000
+MAX_ROWS, MAX_FEATURES = 12_000, 2048
 STEPS, RATE, SHRINK = 250, 0.08, 1e-4
 #: Buckets take part in the fit if their score statistic at zero weights is this large for some grade, and they occur in this many rated documents.
 LEAST_Z, LEAST_ROWS = 5.0, 5
@@ -55,6 +58,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending; one less than there are grades
+    rated: int = 0
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k, one row per score."""
@@ -96,7 +100,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     theta = np.concatenate([[p[BUCKETS]], p[BUCKETS] + np.cumsum(np.exp(p[BUCKETS + 1 :]))])
-    return OrdinalModel(p[:BUCKETS], theta)
+    return OrdinalModel(p[:BUCKETS], theta, len(rows))
 
 
 def _telling(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, n_grades: int) -> np.ndarray:
@@ -110,15 +114,17 @@ def _telling(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, n
     return (largest >= LEAST_Z) & (np.bincount(col, minlength=BUCKETS) >= LEAST_ROWS)
 
 
-def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, text_col: str = "text", id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> OrdinalModel:
+def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, text_col: str = "text", id_col: str = "doc_id", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """ratings: (id, grade from 0 to n_grades - 1)."""
     rated = ratings.toDF("__id", "__grade").where("__id is not null and __grade is not null").groupBy("__id").agg(F.min("__grade").alias("__grade"))
     sample = rated.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id")
+    rated_docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id")
+    # one text for an id; a task adds up its own rows first
+    texts = rated_docs.groupBy("__id", "__grade").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
 
     def make():
         def work(batch: list) -> list[pa.Array]:
-            got = [features(t) for t in batch]
+            got = [_largest(*features(t), max_features) for t in batch]
             return [pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float64()))]
 
         return work
@@ -129,6 +135,13 @@ def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, text_col: st
     return fit([(np.asarray(a), np.asarray(x)) for a, x in zip(rows["at"], rows["x"], strict=True)], rows["__grade"].to_numpy(dtype=np.int64), n_grades)
 
 
+def _largest(at: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(at) <= most:
+        return at, x
+    keep = np.sort(np.argsort(-x, kind="stable")[:most])
+    return at[keep], x[keep]
+
+
 def classify(docs: DataFrame, model: OrdinalModel, cut: int, text_col: str = "text", keep: float = KEEP, carry: list[str] | None = None) -> DataFrame:
     """Add expected_grade, tail_probability (of a grade of cut at least) and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -150,5 +163,4 @@ def classify(docs: DataFrame, model: OrdinalModel, cut: int, text_col: str = "te
 def ordinal_quality(docs: DataFrame, ratings: DataFrame, n_grades: int, cut: int, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """Fit on the ratings, classify every document."""
     model = fit_ratings(docs, ratings, n_grades, text_col, id_col)
-    keep = KEEP if model.weights.any() else 0.0
-    return classify(docs, model, cut, text_col, keep, carry)
+    return classify(docs, model, cut, text_col, KEEP if model.rated else 0.0, carry)
