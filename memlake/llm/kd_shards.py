@@ -6,18 +6,21 @@ weighted quantile of (value, tie hash): bytes are added up in a bounded number o
 within the range where the sum crosses, until one row is left in it. So a hot value is split by the tie
 hash, and shards differ by about one document. The number of leaves follows from the target bytes.
 
-Law `bytes`: the shards' sizes are nearly equal. Equal texts are not kept together.
+Law `bytes`: the shards' sizes are nearly equal. Equal texts are not kept together: a group of copies may
+hold more bytes than a shard.
 
-Defined results: a null text has no bytes (size 1) and CRC 0; null metadata sort first. Rows equal in id
-and text cannot be told apart and stay together. With fewer rows than leaves, shards stay empty. An empty
+Defined results: a null text has no bytes (size 1) and CRC 0; null metadata sort first. Texts are ranked
+by the seven bytes after what all values of the dimension begin with. Rows equal in id and text are told
+apart by where they stand in the input. With fewer rows than leaves, shards stay empty. An empty
 table gives an empty result. Columns other than id, text and the dimensions are not carried.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import common as C
@@ -29,9 +32,27 @@ SLOT_ROWS = 20_000
 _TIES = 1 << 62
 
 
-def text_rank(column: Column) -> Column:
-    """The first seven bytes as a number, in the order of the strings; null: -1."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1).cast("long"))
+def text_rank(column: Column, skip: int = 0) -> Column:
+    """Seven bytes, after the first `skip`, as a number in the order of the strings; null: -1."""
+    seven = F.substring(F.encode(column, "UTF-8"), skip + 1, 7)
+    return F.coalesce(F.conv(F.rpad(F.hex(seven), 14, "0"), 16, 10).cast("long"), F.lit(-1).cast("long"))
+
+
+def _common_bytes(docs: DataFrame, names: tuple[str, ...]) -> list[int]:
+    """How many bytes all values of each column begin with."""
+    if not names:
+        return []
+    ends = docs.agg(*[f(F.encode(F.col(n), "UTF-8")) for n in names for f in (F.min, F.max)]).first()
+    pairs = [(bytes(ends[2 * k] or b""), bytes(ends[2 * k + 1] or b"")) for k in range(len(names))]
+    return [next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) if a != b else 0 for a, b in pairs]
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table, read by the JVM from one literal."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = ", ".join(f"{n}: {kind}" for n, kind in (part.split() for part in schema.split(", ")))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
 
 
 def number_rank(column: Column) -> Column:
@@ -61,9 +82,11 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, leaves: int | No
     """(id, size, text_crc32, law, shard, slot). Give target_bytes or the number of leaves."""
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")) + 1
-    dims = [number_rank(F.col(id_col)), number_rank(size), *[number_rank(F.col(n)) for n in number_dims], *[text_rank(F.col(n)) for n in text_dims]]
+    dims = [number_rank(F.col(id_col)), number_rank(size), *[number_rank(F.col(n)) for n in number_dims], *[text_rank(F.col(n), skip) for n, skip in zip(text_dims, _common_bytes(docs, text_dims), strict=True)]]
     rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.coalesce(F.crc32(F.encode(text_col, "UTF-8")), F.lit(0).cast("long")).alias("crc"), *[d.alias(f"d{k}") for k, d in enumerate(dims)])
-    rows = rows.withColumns({"tie": F.shiftrightunsigned(F.xxhash64("id", "crc", "size"), 2), "node": F.lit(1).cast("long")})
+    # 40 bits of the row's values, then 22 of its place, which tell equal rows apart; written once, so that they stay
+    tie = F.shiftleft(F.shiftrightunsigned(F.xxhash64("id", "crc", "size"), 24), 22) + F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 42)
+    rows = rows.withColumns({"tie": tie, "node": F.lit(1).cast("long")})
     rows = C.stored(rows, "shards")
     names = [f"d{k}" for k in range(len(dims))]
     stats = _stats(rows, names)
@@ -84,7 +107,7 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, leaves: int | No
                 searches.append(_Search(node, k, dim, s["bytes"] * (k // 2) / k, s[f"d{dim}_min"], s[f"d{dim}_max"]))
         cuts = _cuts(rows, searches, names)
         children = {n: (2 * n, 2 * n + 1) for n, k in plan.items() if k > 1}
-        table = spark.createDataFrame([(s.node, s.dim, v, t) for s, (v, t) in zip(searches, cuts, strict=True)] or [(0, 0, 0, 0)], "node long, dim int, value long, cut long")
+        table = _values(spark, [(s.node, s.dim, v, t) for s, (v, t) in zip(searches, cuts, strict=True)] or [(0, 0, 0, 0)], "node long, dim int, value long, cut long")
         at = _pick(names, F.col("dim"))
         right = (at > F.col("value")) | ((at == F.col("value")) & (F.col("tie") > F.col("cut")))
         moved = rows.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right.cast("long")))
@@ -93,7 +116,7 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, leaves: int | No
             k, f = plan.pop(n), first_leaf.pop(n)
             plan[a], plan[b], first_leaf[a], first_leaf[b] = k // 2, k - k // 2, f, f + k // 2
         stats = _stats(rows, names)
-    shard = spark.createDataFrame([(n, f) for n, f in first_leaf.items()], "node long, shard int")
+    shard = _values(spark, [(n, f) for n, f in first_leaf.items()], "node long, shard int")
     rows = rows.join(F.broadcast(shard), "node")
     numbered = _numbered(rows, max(1, -(-n_rows // (SLOT_ROWS * leaves))))
     return numbered.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot")
@@ -118,7 +141,7 @@ def _cuts(rows: DataFrame, searches: list[_Search], names: list[str]) -> list[tu
     live = list(searches)
     sums = max(8, MAX_SUMS // max(1, len(searches)))
     while live:
-        state = spark.createDataFrame([(s.node, s.dim, s.on_tie, s.value, s.low, s.high, s.step(sums)) for s in live], "node long, dim int, on_tie boolean, value long, low long, high long, step long")
+        state = _values(spark, [(s.node, s.dim, s.on_tie, s.value, s.low, s.high, s.step(sums)) for s in live], "node long, dim int, on_tie boolean, value long, low long, high long, step long")
         at = _pick(names, F.col("dim"))
         key = F.when(F.col("on_tie"), F.col("tie")).otherwise(at)
         inside = (key >= F.col("low")) & (key <= F.col("high")) & (~F.col("on_tie") | (at == F.col("value")))
