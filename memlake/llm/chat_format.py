@@ -1,7 +1,8 @@
 r"""Chat formatting from an event log: conversations are reconstructed, then rendered.
 
-An event is (conv_id, turn, tie, message, part, kind, role, text). The log is partitioned by
-conversation, sorted by the first five, and folded, message by message:
+An event is (conv_id, turn, tie, message, part, kind, role, text). The log is partitioned by ranges of
+conversations and, within a long one, of its messages, sorted by the first five, and folded, message by
+message:
 
     open        begins a message, with its role and its first text
     delta       appends text
@@ -14,8 +15,9 @@ each `###` and each `</turn>`, in the role also before a colon and a line feed,
 exactly. The loss mask covers the texts of assistant turns, without marks.
 
 The fold holds one message at a time and gives a conversation out in segments of whole turns, of about
-SEGMENT_CHARS at most; so a task's memory does not depend on how long a conversation is. Long logs of one
-conversation pass through one task, as their digests are over the turns in order.
+SEGMENT_CHARS at most (a longer turn is a segment); so a task's memory depends on the longest message, not
+on the conversation, and a long conversation is folded by several tasks. Only digests(), whose hashes run
+over a conversation's turns in order, read its segments in one task, one after another.
 
 Defined results: null texts and roles are empty; null turns and conversations sort first, null
 conversations are one. An event for a message that was not opened opens it. Rows equal in every column
@@ -30,6 +32,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +43,8 @@ SEGMENT_CHARS = 1 << 20
 DELTA_CHARS = 1024
 _CONTROL = re.compile(r"\\|###|</turn>")
 _IN_ROLE = re.compile(r"\\|###|</turn>|:|\n")
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+_ROLE_END = re.compile(r"\\.|: ", re.S)
+_TEXT_END = re.compile(r"\\.|</turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 FORMATTED = "conv_id {id}, segment long, n_turns long, formatted string, loss array<struct<start:bigint,end:bigint>>"
@@ -61,17 +65,24 @@ def render(role: str, text: str) -> tuple[str, tuple[int, int]]:
     return f"{head}{body}</turn>\n", (len(head), len(head) + len(body))
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn."""
-    out, at = [], 0
-    for m in _TURN.finditer(formatted):
-        if m.start() != at:
-            break
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
-    if at != len(formatted):
-        raise ValueError(f"no turn at {at}")
-    return out
+def parse(formatted: str) -> Iterator[tuple[str, str]]:
+    """(role, text) of each turn, one at a time: the text is read once, from mark to mark."""
+    at = 0
+    while at < len(formatted):
+        if not formatted.startswith("### ", at):
+            raise ValueError(f"no turn at {at}")
+        role = _marked(_ROLE_END, formatted, at + 4)
+        said = _marked(_TEXT_END, formatted, role.end())
+        yield unescape(formatted[at + 4 : role.start()]), unescape(formatted[role.end() : said.start()])
+        at = said.end()
+
+
+def _marked(mark: re.Pattern, formatted: str, at: int) -> re.Match:
+    """The first mark from here on that isn't escaped."""
+    for m in mark.finditer(formatted, at):
+        if m[0][0] != "\\":
+            return m
+    raise ValueError(f"no mark after {at}")
 
 
 def events_of_rows(rows: DataFrame) -> DataFrame:
@@ -120,15 +131,16 @@ def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str,
 def format_chats(events: DataFrame, segment_chars: int = SEGMENT_CHARS, loss_role: str = "assistant") -> DataFrame:
     """Formatted segments (conv_id, segment, n_turns, formatted, loss spans in code points of the segment).
 
-    A conversation's segments follow one another in one partition; most conversations have one.
+    A conversation's segments follow one another in the order of `segment`; most conversations have one.
     """
     C.small_batches(events.sparkSession)
     id_type = events.schema["conv_id"].dataType.simpleString()
-    log = events.select(*_ORDER, "kind", "role", "text").repartition("conv_id").sortWithinPartitions(*_ORDER)
+    log = events.select(*_ORDER, "kind", "role", "text").repartitionByRange(*_ORDER[:4]).sortWithinPartitions(*_ORDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        conv, segment, turns, texts, loss, size = None, 0, 0, [], [], 0
+        # ranges are numbered in their order
+        conv, segment, turns, texts, loss, size = None, TaskContext.get().partitionId() << 32, 0, [], [], 0
 
         def flush():
             nonlocal turns, texts, loss, size, segment
@@ -147,7 +159,7 @@ def format_chats(events: DataFrame, segment_chars: int = SEGMENT_CHARS, loss_rol
         for c, role, text in _messages(batches):
             if not started or c != conv:
                 flush()
-                conv, segment, started = c, 0, True
+                conv, started = c, True
             turn, (a, b) = render(role, text)
             if size and size + len(turn) > segment_chars:
                 flush()
@@ -179,8 +191,8 @@ def digests(formatted: DataFrame) -> DataFrame:
         state = None
         for batch in batches:
             done = []
-            for conv, segment, text, loss in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "segment", "formatted", "loss")), strict=True):
-                if segment == 0:
+            for conv, text, loss in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "formatted", "loss")), strict=True):
+                if state is None or conv != state[0]:
                     if state:
                         done.append(_closed(state))
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -204,7 +216,8 @@ def digests(formatted: DataFrame) -> DataFrame:
         kinds = [_arrow(id_type), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
-    return formatted.mapInArrow(run, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = formatted.select("conv_id", "segment", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return ordered.mapInArrow(run, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def joined(formatted: DataFrame, conv: Column | str = "conv_id") -> DataFrame:
