@@ -5,8 +5,9 @@ way of a temporary name; a task that runs again writes the same files. Of record
 at least MIN_SHARED bytes, that with the smallest id is a response, the others are revisits of it.
 
 Reading: a task scans a byte range for the gzip magic, decodes each candidate, and takes it for a record
-if it says WARC and has a head that ends, however long the head is. It owns the records that start inside its range, and reads the last one
-past the range's end. A member inside another one (an archive stored in an archive) is left out.
+if it says WARC and has a head that ends, however long the head is. It owns the records that start inside
+its range, and reads the last one past the range's end. A member inside another one (an archive stored in
+an archive) is left out.
 
 Defined results: a null html is an empty payload. A null id is written as 'null' and read back as null;
 rows equal in id and payload are all responses if one is. An empty table gives no archive and no records.
@@ -30,6 +31,8 @@ from memlake.llm import common as C
 MIN_SHARED = 100
 ARCHIVE_BYTES = 1 << 30
 SPLIT_BYTES = 8 << 20
+#: Tasks that read; with more ranges, a task reads several.
+MAX_TASKS = 50_000
 #: Digests of shared payloads are broadcast up to this number (about 100 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST = 200_000
 MAGIC = b"\x1f\x8b\x08"
@@ -190,8 +193,8 @@ SCHEMA = "path string, split long, offset long, after long, page_id string, url
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
     """The records of the archives in files (path, length), by ranges of split_bytes. payload=False leaves payloads out, but for their length and SHA-256."""
     splits = files.where("length > 0").select("path", F.explode(F.expr(f"sequence(0L, length - 1, {split_bytes}L)")).alias("start"), "length")
-    n = max(1, splits.count())
-    splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, F.col("length")).alias("end")).repartition(n, "path", "start")
+    splits = C.stored(splits.select("path", "start", F.least(F.col("start") + split_bytes, F.col("length")).alias("end")), "splits")
+    n = min(MAX_TASKS, max(1, splits.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,9 +211,12 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
                 if rows:
                     yield _batch(rows)
 
-    found = splits.mapInArrow(run, SCHEMA)
-    before = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("__covered", F.max("after").over(before)).where("__covered is null or offset >= __covered").drop("__covered")
+    found = C.stored(splits.repartition(n).mapInArrow(run, SCHEMA), "records")
+    # a range's own records don't overlap; how far those of earlier ranges reach takes one row a range
+    reach = found.groupBy("path", F.col("split").alias("start")).agg(F.max("after").alias("after"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    covered = splits.select("path", "start").join(reach, ["path", "start"], "left").select("path", F.col("start").alias("split"), F.max("after").over(before).alias("__covered"))
+    return found.join(covered.where("__covered > split"), ["path", "split"], "left").where("__covered is null or offset >= __covered").drop("__covered")
 
 
 def _row(path: str, split: int, offset: int, after: int, data: bytes, payload: bool) -> tuple:
