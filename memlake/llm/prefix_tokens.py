@@ -8,12 +8,49 @@ before it. The table takes one pass; ids come out of it backwards, counts forwar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 
 #: Pairs of tokens whose test a worker keeps; it starts anew beyond that.
 MAX_PAIRS = 1_000_000
+#: Longer strings than this have their table in packed integers.
+PACKED = 1 << 16
+#: Code points of a text that are looked at together, about: a long text is cut before a space.
+PIECE = 1 << 18
+#: Bytes of strings that a cache holds in each of its two generations, each with some 150 for its entry; longer strings than LONG are not kept.
+CACHE_BYTES, LONG = 32 << 20, 64
+
+_CUT = re.compile("(?<=[0-9A-Za-z]) ")
+
+
+def cut(text: str) -> Iterator[str]:
+    """The text in pieces that begin with a space after a letter or digit: no word crosses them."""
+    at = 0
+    while len(text) - at > PIECE and (m := _CUT.search(text, at + PIECE)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+class Kept(dict):
+    """What a function gives for short strings, in two generations that are bounded in bytes: those of late, and those before them that come up again."""
+
+    def __init__(self, make: Callable):
+        self.make, self.old, self.held = make, {}, 0
+
+    def __missing__(self, s: str):
+        if (got := self.old.get(s)) is None:
+            got = self.make(s)
+        if len(s) <= LONG:
+            self.held += 4 * len(s) + 150
+            if self.held > CACHE_BYTES:
+                self.old, self.held = dict(self), 4 * len(s) + 150
+                self.clear()
+            self[s] = got
+        return got
 
 
 NEVER = float("inf")
@@ -83,9 +120,10 @@ class PrefixTable:
         self.pairs[a << 20 | b] = fits
         return fits
 
-    def last_tokens(self, s: str) -> tuple[list[int], list[int]]:
+    def last_tokens(self, s: str):
         """Of each prefix s[:i]: its last token, and that token's length (at 0: -1, 0)."""
-        last, size = [-1] * (len(s) + 1), [0] * (len(s) + 1)
+        whole = (lambda x: array("i", [x])) if len(s) > PACKED else (lambda x: [x])
+        last, size = whole(-1) * (len(s) + 1), whole(0) * (len(s) + 1)
         pairs = self.pairs
         for end, (token, n) in self.automaton.iter(s):
             end += 1
@@ -120,10 +158,18 @@ class PrefixTable:
             i -= size[i]
         return ids[::-1]
 
-    def counts(self, s: str) -> list[int]:
+    def count(self, s: str) -> int:
+        """The number of tokens of s."""
+        _, size = self.last_tokens(s)
+        n, i = 0, len(s)
+        while i:
+            n, i = n + 1, i - size[i]
+        return n
+
+    def counts(self, s: str):
         """The number of tokens of every prefix of s, the empty one first."""
         _, size = self.last_tokens(s)
-        out = [0] * (len(s) + 1)
+        out = (array("i", [0]) if len(s) > PACKED else [0]) * (len(s) + 1)
         for i in range(1, len(s) + 1):
             out[i] = out[i - size[i]] + 1
         return out

@@ -3,7 +3,9 @@
 A BPE model file with byte fallback and identity normalisation is loaded; the table of last tokens (see
 prefix_tokens) gives each text's ids, backwards. As no piece holds a space mark after another character
 and none holds a line feed, texts fall into segments that are encoded each for itself; a worker keeps
-the ids of the segments it has met. Decoding joins the pieces of the ids.
+the ids of short segments it has met, within bounds in bytes. Decoding joins the pieces of the ids.
+A segment's table takes 8 bytes a character; long texts are cut before spaces, so only their ids, not
+their segments, are held together.
 
 Defined results: a null or empty text has the end id only (no ids without `add_eos`) and decodes to ''.
 Repeated rows are encoded each for itself. An empty table gives an empty result. Input columns named
@@ -23,11 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memlake.llm import common as C
-from memlake.llm.prefix_tokens import PrefixTable
+from memlake.llm.prefix_tokens import Kept, PrefixTable, cut
 
 SPACE = "▁"
-#: Segments whose ids a worker keeps, twice: those of late, and those before them that come up again.
-MAX_SEGMENTS = 300_000
 _SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _BYTES = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -50,61 +50,57 @@ class PieceModel:
         pieces, unk = self.pieces, self.unk
         priority = lambda a, b: merge.get(pieces[a] + pieces[b]) if a != unk and b != unk else None
         self.table = PrefixTable(normal, lambda s: [normal.get(c, unk) for c in s], priority, unknown=unk)
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.kept = Kept(self.segment)
+        self.texts = ["" if i in self.control else " ⁇ " if i == unk else p.replace(SPACE, " ") for i, p in enumerate(pieces)]
+        self.is_byte = np.array([i in self.id_bytes for i in range(n)])
 
     def segment(self, s: str) -> bytes:
         """The ids of one segment, as packed 32-bit integers."""
-        ids: list[int] = []
+        ids = array("i")
         last, size = self.table.last_tokens(s)
         i = len(s)
         while i:
             if last[i] == self.unk:
-                ids += [self.byte_ids[b] for b in reversed(s[i - 1].encode())]
+                ids.extend([self.byte_ids[b] for b in reversed(s[i - 1].encode())])
             else:
                 ids.append(last[i])
             i -= size[i]
         ids.reverse()
-        return array("i", ids).tobytes()
+        return ids.tobytes()
 
-    def round_trip(self, text: str) -> tuple[bytes, str]:
-        """The packed ids of a text, and the text that they decode to (each segment's ids decode for themselves)."""
+    def encode(self, text: str) -> bytes:
+        """The packed ids of a text."""
         if not text:
-            return b"", ""
-        out, known = [], self.known
-        for s in _SEGMENTS.findall(SPACE + text.replace(" ", SPACE)):
-            if (got := known.get(s)) is None:
-                if (got := self.older.get(s)) is None:
-                    ids = self.segment(s)
-                    got = ids, self._text(ids)
-                if len(known) >= MAX_SEGMENTS:
-                    self.older, self.known = known, (known := {})
-                known[s] = got
-            out.append(got)
-        return b"".join([ids for ids, _ in out]), "".join([t for _, t in out])[1:]
+            return b""
+        out, kept = bytearray(), self.kept.__getitem__
+        for k, part in enumerate(cut(text)):
+            marked = part.replace(" ", SPACE)
+            out += b"".join(map(kept, _SEGMENTS.findall(marked if k else SPACE + marked)))
+        return bytes(out)
 
     def _text(self, packed: bytes) -> str:
         """The text of some ids, with its leading space."""
+        ids = np.frombuffer(packed, np.int32)
+        texts, bytes_at = self.texts, self.is_byte[ids]
+        if not bytes_at.any():
+            return "".join(map(texts.__getitem__, ids.tolist()))
         out, run = [], bytearray()
-        for i in array("i", packed):
-            if i in self.id_bytes:
+        for i, is_byte in zip(ids.tolist(), bytes_at.tolist(), strict=True):
+            if is_byte:
                 run.append(self.id_bytes[i])
                 continue
             if run:
                 out.append(_utf8(run))
                 run.clear()
-            if i == self.unk:
-                out.append(" ⁇ ")
-            elif i not in self.control:
-                out.append(self.pieces[i].replace(SPACE, " "))
+            out.append(texts[i])
         if run:
             out.append(_utf8(run))
         return "".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of any ids: control pieces vanish, runs of byte pieces are read as UTF-8, one leading space goes."""
-        first = next((i for i in ids if i not in self.control), None)
-        text = self._text(array("i", ids).tobytes())
+    def decode(self, packed: bytes) -> str:
+        """The text of any packed ids: control pieces vanish, runs of byte pieces are read as UTF-8, one leading space goes."""
+        first = next((i for i in array("i", packed) if i not in self.control), None)
+        text = self._text(packed)
         return text[1:] if first is not None and first not in self.id_bytes and self.pieces[first].startswith(SPACE) else text
 
 
@@ -130,19 +126,18 @@ def loaded(path: str) -> PieceModel:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", add_eos: bool = True, carry: list[str] | None = None) -> DataFrame:
-    """Add ids (array<int>) and decoded, the text that the ids decode to."""
+    """Add ids (array<int>) and decoded, the text that these ids decode to."""
 
     def make():
         model = loaded(path)
         end = array("i", [model.eos]).tobytes() if add_eos else b""
 
         def work(texts: list) -> list[pa.Array]:
-            done = [model.round_trip(t or "") for t in texts]
-            data = [ids + end for ids, _ in done]
+            data = [model.encode(t or "") + end for t in texts]
             offsets = np.zeros(len(data) + 1, np.int32)
             np.cumsum([len(d) // 4 for d in data], out=offsets[1:])
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(data))])
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array([t for _, t in done], pa.string())]
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(map(model.decode, data), pa.string())]
 
         return work
 
@@ -154,7 +149,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", carry: list[str] | No
 
     def make():
         model = loaded(path)
-        return lambda lists: [pa.array([model.decode([i for i in ids or () if i is not None]) for ids in lists], pa.string())]
+        return lambda lists: [pa.array([model.decode(array("i", [i for i in ids or () if i is not None]).tobytes()) for ids in lists], pa.string())]
 
     return C.map_rows(df, ids_col, make, [C.field("decoded", T.StringType())], carry)
 

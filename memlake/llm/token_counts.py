@@ -2,7 +2,9 @@
 
 A byte-level BPE file (tokenizers' .json with the usual split pattern) is loaded. Each piece of the
 split has a table of token counts at all its prefixes (see prefix_tokens); a text adds its pieces up. So
-`longest(budget)`, `count(i)` and cuts into windows read the table and encode nothing again.
+`longest(budget)`, `count(i)` and cuts into windows read the table and encode nothing again. A worker
+keeps the totals of short pieces within bounds in bytes; a long text is cut before spaces, so that its
+pieces aren't held together.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens. Special strings inside a text are one
 token each, as the tokenizers library takes them by default. Repeated rows are counted each for itself.
@@ -22,15 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from memlake.llm import common as C
-from memlake.llm.prefix_tokens import PrefixTable
+from memlake.llm.prefix_tokens import Kept, PrefixTable, cut
 
 #: The pattern that splits text before the merges. A fixed value of this kind of file.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blocks whose letters and digits the regex and the tokenizers library class alike, whatever Unicode
 #: version each has. Texts with other characters are split by the library.
 _OTHER = re.compile("[^\u0000-ԣ -⁯₠-₵℀-⅏←-⏧ぁ-ゖ゠-ヿ一-龥가-힣]")
-#: Pieces whose totals a worker keeps, twice: those of late, and those before them that come up again.
-MAX_PIECES = 400_000
 
 
 class ByteBpe:
@@ -51,8 +51,7 @@ class ByteBpe:
         self.table = PrefixTable(vocab, lambda s: [vocab[c] for c in s], lambda a, b: rank.get((a, b)))
         self.split = regex.compile(SPLIT)
         self.by_library = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self.totals: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        self.total = Kept(lambda piece: self.table.count(piece.encode().decode("latin-1"))).__getitem__
 
     def pieces(self, text: str) -> list[str]:
         if _OTHER.search(text):
@@ -74,19 +73,11 @@ class ByteBpe:
             out[2] = 2
         return out
 
-    def total(self, piece: str) -> int:
-        if (n := self.totals.get(piece)) is None:
-            if (n := self.older.get(piece)) is None:
-                n = self.table.counts(piece.encode().decode("latin-1"))[-1]
-            if len(self.totals) >= MAX_PIECES:
-                self.older, self.totals = self.totals, {}
-            self.totals[piece] = n
-        return n
-
     def count(self, text: str) -> int:
+        plain = lambda t: sum(sum(map(self.total, self.pieces(part))) for part in cut(t))
         if self.special is None or not (parts := self.special.split(text))[1:]:
-            return sum(map(self.total, self.pieces(text)))
-        return len(parts) - 1 + sum(sum(map(self.total, self.pieces(p))) for p in parts if p)
+            return plain(text)
+        return len(parts) - 1 + sum(plain(p) for p in parts if p)
 
 
 def _byte_letters() -> dict[int, str]:
