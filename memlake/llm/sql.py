@@ -24,18 +24,28 @@ from dw left join hw using (doc_id) left join hi using (doc_id)
 """
 
 
+#: kind, regex, group, least characters of the group: the base kinds, then those that the method adds.
+SECRETS = [
+    ("assign", """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("forge", "gh[opsu]_[A-Za-z0-9]{36,}", 0, 1),
+    ("chat", "xox[abp]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("jwt", "eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 20),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+]
+
+
 def _secrets_sql() -> str:
     """Each rule's spans from the matches and the gaps between them."""
-    from memlake.llm.secret_scan import RULES
-
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     found, spans = [], []
-    for k, r in enumerate(RULES):
-        found.append(f"regexp_extract_all(t, {quoted(r.regex)}, 0) as m{k}, string_split_regex(t, {quoted(r.regex)}) as g{k}, regexp_extract_all(t, {quoted(r.regex)}, {r.group}) as p{k}")
-        end = f"(list_sum(list_transform(g{k}[1:i], lambda x: length(x))) + list_sum(list_transform(m{k}[1:i], lambda x: length(x))))"
-        every = f"list_transform(range(1, len(m{k}) + 1), lambda i: {{'s': ({end} - length(m{k}[i]))::bigint, 'k': {k}, 'e': {end}::bigint, 'n': '{r.kind}', 'l': length(p{k}[i])}})"
-        spans.append(f"list_filter({every}, lambda x: x.l >= {r.least})")
-    base = ", ".join(f"'{r.kind}'" for r in RULES if r.base)
+    for k, (kind, regex, group, least) in enumerate(SECRETS):
+        found.append(f"regexp_extract_all(t, {quoted(regex)}, 0) as m{k}, string_split_regex(t, {quoted(regex)}) as g{k}, regexp_extract_all(t, {quoted(regex)}, {group}) as p{k}")
+        upto = f"list_sum(list_transform(g{k}[1:i], lambda x: length(x))) + list_sum(list_transform(m{k}[1:i], lambda x: length(x)))"
+        kept = f"list_filter(range(1, len(m{k}) + 1), lambda i: length(p{k}[i]) >= {least})"
+        spans.append(f"list_transform({kept}, lambda i: {{'s': ({upto} - length(m{k}[i]))::bigint, 'k': {k}, 'e': ({upto})::bigint, 'n': '{kind}'}})")
+    base = "'assign', 'access', 'hex'"
     text = "array_to_string(list_transform({}, lambda x: x.n || ':' || x.s || ':' || x.e), ',')"
     count = "len(list_filter(a, lambda x: x.n = '{0}'))::bigint as n_{0}"
     return f"""
