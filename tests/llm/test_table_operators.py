@@ -2,9 +2,10 @@
 
 import importlib
 import io
+import os
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from urllib.parse import unquote
 
 import numpy as np
@@ -93,7 +94,7 @@ def test_block_pairs_meet_once(spark, monkeypatch):
         assert len(inside) < 40
         met |= {(block, a.node, b.node) for a in inside for b in inside if a.node < b.node and (a.side != b.side or a.side == 2)}
     want = [(a, b) for b in range(60) for a in range(b) if a >= 40 or b >= 40]
-    assert sorted((a, b) for _, a, b in met) == sorted(want, key=lambda p: p)
+    assert sorted((a, b) for _, a, b in met) == sorted(want)
 
 
 def test_words_of_long_texts(monkeypatch):
@@ -168,8 +169,50 @@ def test_kd_shards(spark):
     total = sum(len((r[1] or "").encode()) + 1 for r in rows)
     assert kd_shards.kd_shards(docs, target_bytes=total // 5 + 1).select("shard").distinct().count() == 5
     assert kd_shards.kd_shards(docs.limit(0), leaves=8, text_dims=("lang",)).count() == 0
-    same = spark.createDataFrame([(7, "same", "en", "s", 1)] * 40, SCHEMA)
-    assert sorted(r.slot for r in kd_shards.kd_shards(same, leaves=4).collect() if r.shard == kd_shards.kd_shards(same, leaves=4).first().shard)
+    # rows equal in id and text are dealt out like others
+    same = kd_shards.kd_shards(spark.createDataFrame([(7, "same", "en", "s", 1)] * 41, SCHEMA), leaves=4).collect()
+    count = Counter(r.shard for r in same)
+    assert sorted(count.values()) == [10, 10, 10, 11]
+    assert all(sorted(r.slot for r in same if r.shard == k) == list(range(n)) for k, n in count.items())
+
+
+def plain_tree(rows, leaves):
+    """{row: shard} of rows (bytes, dimensions...): cut along the widest dimension at the value where the bytes to the left come nearest to their share."""
+    span = [max(r[d] for r in rows) - min(r[d] for r in rows) or 1 for d in range(1, len(rows[0]))]
+    out = {}
+
+    def cut(held, k, first):
+        if k == 1:
+            out.update({r: first for r in held})
+            return
+        widths = [(max(r[d] for r in held) - min(r[d] for r in held)) / span[d - 1] for d in range(1, len(rows[0]))]
+        d = 1 + widths.index(max(widths))
+        held = sorted(held, key=lambda r: r[d])
+        goal, n, at = sum(r[0] for r in held) * (k // 2) / k, 0, 0
+        while n + held[at][0] < goal and at < len(held) - 1:
+            n += held[at][0]
+            at += 1
+        at += abs(n + held[at][0] - goal) <= abs(n - goal)
+        cut(held[:at], k // 2, first)
+        cut(held[at:], k - k // 2, first + k // 2)
+
+    cut(rows, leaves, 0)
+    return out
+
+
+@pytest.mark.parametrize("leaves", [2, 5, 8])
+def test_kd_shards_against_a_plain_tree(spark, leaves):
+    """Values without ties: ids in clusters, sizes all different, sources that differ only after a long common beginning."""
+    rng = random.Random(leaves)
+    sizes = rng.sample(range(3000), 500)
+    names = rng.sample(range(10**6, 10**7), 500)
+    rows = [(i * 7 + 10**6 * (i > 350), "x" * n, "en", f"https://example.org/{name}", 1) for i, (n, name) in enumerate(zip(sizes, names, strict=True))]
+    got = {r.doc_id: r.shard for r in kd_shards.kd_shards(spark.createDataFrame(rows, SCHEMA).repartition(3), leaves=leaves, text_dims=("source",)).collect()}
+    begin = os.path.commonprefix([r[3] for r in rows])
+    rank = lambda name: int.from_bytes(name[len(begin) :].encode()[:7].ljust(7, b"\0"), "big")
+    plain = {(len(t) + 1, i, len(t) + 1, rank(s)): i for i, t, _, s, _ in rows}
+    want = {plain[r]: k for r, k in plain_tree(list(plain), leaves).items()}
+    assert got == want
 
 
 def test_warc_round_trip(spark, tmp_path):

@@ -1,7 +1,10 @@
 """Operators on single texts, against plain versions or the libraries."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import ahocorasick  # noqa: F401
@@ -104,10 +107,23 @@ def test_quality_verdicts_do_not_depend_on_the_corpus_size(spark):
     assert verdicts[0] == {(i, i % 5 != 4) for i in range(60)}
 
 
+#: The contract's kinds, then the added ones.
+PLAIN_RULES = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("forge", "gh[opsu]_[A-Za-z0-9]{36,}", 0, 1),
+    ("chat", "xox[abp]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+]
+
+
 def plain_secrets(text):
     out = []
-    for k, r in enumerate(secret_scan.RULES):
-        out += [(m.start(), k, m.end(), r.kind) for m in re.finditer(r.regex, text or "") if len(m.group(r.group)) >= r.least]
+    for k, (kind, regex, group, least) in enumerate(PLAIN_RULES):
+        # (?a) keeps "ſ", the long s, from matching "s" in either case
+        out += [(m.start(), k, m.end(), kind) for m in re.finditer("(?a)" + regex, text or "") if len(m.group(group)) >= least]
     return sorted(out)
 
 
@@ -168,7 +184,7 @@ def test_chat_round_trip(spark):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert (got[conv].n_turns, got[conv].loss_chars, got[conv].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     texts = {r.conv_id: r.formatted for r in chat_format.joined(out).collect()}
-    assert {c: chat_format.parse(t) for c, t in texts.items()} == want
+    assert {c: list(chat_format.parse(t)) for c, t in texts.items()} == want
     assert chat_format.digests(chat_format.format_chats(chat_format.events_of_rows(df.limit(0)))).count() == 0
 
 
@@ -179,10 +195,103 @@ def test_chat_events_fold(spark):
     ]
     df = spark.createDataFrame(log, "conv_id long, turn long, tie long, message long, part int, kind string, role string, text string")
     row = chat_format.format_chats(df).first()
-    assert chat_format.parse(row.formatted) == [("user", "hello"), ("assistant", "good")]
+    assert list(chat_format.parse(row.formatted)) == [("user", "hello"), ("assistant", "good")]
     assert row.formatted[row.loss[0].start : row.loss[0].end] == "good"
 
 
+def plain_tails(texts, grades, n_grades, scored):
+    """P(grade >= the highest) by plain gradient descent on the cumulative-link likelihood, over the features that the operator's rule picks."""
+    vectors = [dict(zip(*(x.tolist() for x in ordinal_quality.features(t)), strict=True)) for t in texts]
+    picked = []
+    for bucket in {b for v in vectors for b in v}:
+        column = [v.get(bucket, 0.0) for v in vectors]
+        if sum(x > 0 for x in column) < ordinal_quality.LEAST_ROWS:
+            continue
+        for k in range(n_grades - 1):
+            above = [float(g > k) for g in grades]
+            mean = sum(above) / len(above)
+            spread = (mean * (1 - mean)) ** 0.5
+            z = abs(sum(x * (a - mean) for x, a in zip(column, above, strict=True))) / spread / sum(x * x for x in column) ** 0.5 if spread else 0
+            if z >= ordinal_quality.LEAST_Z:
+                picked.append(bucket)
+                break
+    x = np.array([[v.get(b, 0.0) for b in picked] for v in vectors])
+    y, w = np.array(grades), np.zeros(len(picked))
+    theta = np.linspace(-1, 1, n_grades - 1)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(20_000):
+        s = x @ w
+        g_w, g_t = ordinal_quality.SHRINK * w, np.zeros(n_grades - 1)
+        upper = [sigmoid(theta[k] - s) if k < n_grades - 1 else np.ones(len(s)) for k in range(n_grades)]
+        for k in range(n_grades):
+            at = y == k
+            high, low = upper[k], upper[k - 1] if k else np.zeros(len(s))
+            d_high, d_low = (high * (1 - high) / (high - low))[at], (low * (1 - low) / (high - low))[at]
+            g_w = g_w + x[at].T @ (d_high - d_low) / len(y)
+            if k < n_grades - 1:
+                g_t[k] -= d_high.sum() / len(y)
+            if k:
+                g_t[k - 1] += d_low.sum() / len(y)
+        w, theta = w - 0.5 * g_w, theta - 0.5 * g_t
+    new = np.array([[v.get(b, 0.0) for b in picked] for v in (dict(zip(*(z.tolist() for z in ordinal_quality.features(t)), strict=True)) for t in scored)])
+    return sigmoid(new @ w - theta[-1])
+
+
+def test_ordinal_probabilities_against_a_plain_fit(spark):
+    rng = np.random.default_rng(4)
+    vocab, marks = [f"w{i}" for i in range(60)], ["awful", "meh", "fine"]
+    texts, grades = [], []
+    for i in range(240):
+        g = i % 3
+        said = marks[g] if rng.random() < 0.6 else marks[rng.integers(3)]
+        texts.append(" ".join([*rng.choice(vocab, 20), said]))
+        grades.append(g)
+    docs = frame(spark, texts, "kept").repartition(3)
+    ratings = spark.createDataFrame([(i, grades[i]) for i in range(160)], "doc_id long, grade int")
+    got = {r.doc_id: r.tail_probability for r in ordinal_quality.ordinal_quality(docs, ratings, 3, 2).collect()}
+    want = plain_tails(texts[:160], grades[:160], 3, texts)
+    assert np.ptp(want) > 0.3
+    assert max(abs(got[i] - p) for i, p in enumerate(want)) < 0.05
+
+
+def test_ordinal_small_and_repeated(spark):
+    """Few ratings, most of the worst grade: the tail says that none is kept. Repeated and missing documents."""
+    docs = frame(spark, [f"text number {i}" for i in range(40)], "kept")
+    ratings = spark.createDataFrame([(i, 0 if i < 36 else 2) for i in range(40)], "doc_id long, grade int")
+    got = ordinal_quality.ordinal_quality(docs.union(docs), ratings, 3, 2).collect()
+    assert len(got) == 80 and not any(r.kept for r in got) and max(r.tail_probability for r in got) < 0.2
+    assert ordinal_quality.ordinal_quality(docs.limit(0), ratings, 3, 2).count() == 0
+
+
+LONG_TEXTS = """
+import resource, sys
+sys.path.insert(0, sys.argv[1])
+import numpy as np, public_tokenizers
+from memlake.llm import chat_format, decontaminate, ngram_join, ordinal_quality, quality_rules, sentencepiece_codec, token_counts
+words, run = "Ab3dé " * 800_000, "abcdé+9" * 700_000
+pieces, bpe = sentencepiece_codec.loaded(public_tokenizers.path("piece_bpe_32k.model")), token_counts.loaded(public_tokenizers.path("byte_bpe_50k.json"))
+windows = decontaminate.Windows([("1", "one two three")])
+np.ones((300, 300)) @ np.ones((300, 300))
+at = int(open("/proc/self/statm").read().split()[0]) * 4096
+resource.setrlimit(resource.RLIMIT_AS, (at + (700 << 20),) * 2)
+for text in (words, run):
+    assert pieces.decode(pieces.encode(text)) == text
+    assert bpe.count(text) > 0
+    turn, (a, b) = chat_format.render("user", text)
+    assert list(chat_format.parse(turn)) == [("user", text)] and turn[a:b] == text
+    assert len(ngram_join.shingles(text)) == 1 and windows.scan(decontaminate.words_of(text)) == ([], set())
+    quality_rules.base_counts(text)
+    ordinal_quality.features(text)
+assert len(pieces.kept) + len(bpe.total.__self__) < 100
+"""
+
+
+def test_long_texts_in_bounded_memory():
+    """Texts of 5 MB, of short words and of one word, with 700 MB above what the vocabularies take."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", LONG_TEXTS, root], check=True, timeout=300)
+
+
 @pytest.mark.parametrize("n_grades", [2, 3])
 def test_ordinal_fit_orders_held_out_documents(spark, n_grades):
     rng = np.random.default_rng(0)
