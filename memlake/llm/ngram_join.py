@@ -52,7 +52,7 @@ HEAVY_SHARE = 1000
 #: Shingles in more prefixes than this are indexed in pairs.
 FREQUENT = 64
 #: Tokens (8 bytes each) that a task holds before it counts them, that it holds before it deals them out, and that a group of the shuffle has at most, about.
-COUNTED, HELD, GROUP_TOKENS = 1_000_000, 300_000, 500_000
+COUNTED, HELD, GROUP_TOKENS = 1_000_000, 300_000, 250_000
 #: Documents and tokens of a block that is compared at once, and tokens of the blocks that a task holds at once.
 BLOCK_DOCS, BLOCK_TOKENS, PART_TOKENS = 1024, 1_000_000, 1_000_000
 #: Times that large groups are dealt to blocks at random.
@@ -562,7 +562,8 @@ def row_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     total, n_docs = rows.agg(F.sum("n"), F.count("*")).first()
     reps = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("__doc"), F.coalesce(F.min_by("key", "doc"), F.min("key")).alias("__key"))
     heavy = spark.sparkContext.broadcast(_heavy(found, n_docs))
-    n_parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int((total or 0) * 0.35 / GROUP_TOKENS) + 1)
+    # by the tokens alone: every part passes a row on to every other one that it has tokens for
+    n_parts = int((total or 0) * 0.35 / GROUP_TOKENS) + 1
     blobs = _prefixes(docs, heavy, n_parts, text_col).groupBy("part").applyInArrow(_shared_tokens(n_parts), _BLOB)
     index = C.stored(blobs.groupBy("part").applyInArrow(_index, "key long, side long, node long, n long"), "index")
     sides = [F.count_if(F.col("side") == k) for k in range(3)]
