@@ -1,7 +1,7 @@
 """Retrieval: exact nearest neighbours, BM25, rank fusion, re-ranking, grouping and windows of hits.
 
-A search scans the corpus once for the query's statistics and once for the scores, without a shuffle:
-term counts come of each row's own tokens, and only top-k candidates leave a task.
+bm25 here scans the corpus, for tables that are searched once: term counts come of each row's own tokens,
+without a shuffle, and only top-k candidates leave a task. operators.search has a stored index.
 """
 
 from __future__ import annotations
@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import tokens
+from memlake.operators.upkeep import running
 
 # The usual constants of BM25 and of reciprocal rank fusion, and the default weights.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -46,14 +49,55 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_i
     return vectors.select(id_col, F.round(distance, 6).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, distance, rank) for a bounded set of queries (broadcast, a hint that holds up to the planner's limit)."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("__q"))
-    pairs = vectors.join(F.broadcast(q), F.lit(True)).select("query_id", id_col, F.round(l2(F.col(vec_col).cast("array<double>"), F.col("__q")), 6).alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))).where(F.col("rank") <= k)
+#: Bytes of query vectors that are sent to the tasks at once.
+QUERY_BYTES = 16 << 20
 
 
-def _phrases(query: str) -> list[list[str]]:
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, id, distance, rank) of the k nearest rows of each query.
+
+    The queries are sent out in blocks of QUERY_BYTES at most, dealt by a hash of their ids; a task compares
+    its vectors with a block by one matrix product and passes on no more than k rows for each query.
+    """
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("__q"))
+    size = q.agg(F.sum(8 * F.size("__q"))).first()[0] or 0
+    n = -(-2 * size // QUERY_BYTES) if size > QUERY_BYTES else 1
+    kind = vectors.schema[id_col].dataType.simpleString()
+    parts = []
+    for block in range(n):
+        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).orderBy("query_id").collect()
+        if rows:
+            sent = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows])))
+            parts.append(vectors.select(id_col, vec_col).mapInArrow(_nearest(sent, k, id_col), f"query_id {kind}, {id_col} {kind}, distance double"))
+    if not parts:
+        return vectors.select(F.col(id_col).alias("query_id"), id_col, F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    near = reduce(DataFrame.unionByName, parts)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))).where(F.col("rank") <= k)
+
+
+def _nearest(sent, k: int, id_col: str):
+    def run(batches):
+        ids, q = sent.value
+        squares, best = (q * q).sum(axis=1), [[] for _ in ids]
+        for batch in batches:
+            rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v is not None]
+            if not rows:
+                continue
+            names, v = [i for i, _ in rows], np.array([x for _, x in rows], dtype=np.float64)
+            away = np.sqrt(np.maximum(squares[:, None] + (v * v).sum(axis=1)[None, :] - 2 * q @ v.T, 0)).round(6)
+            for held, row in zip(best, away, strict=True):
+                at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else range(len(row))
+                held += [(float(row[j]), names[j]) for j in at]
+                held.sort()
+                del held[k:]
+        found = [(query, name, d) for query, held in zip(ids, best, strict=True) for d, name in held]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["query_id", id_col, "distance"])
+
+    return run
+
+
+def phrases(query: str) -> list[list[str]]:
     """White-space tokens as phrases of words: VERIFY-CAP-001 is three words in a row."""
     import re
 
@@ -71,30 +115,34 @@ def _phrase_count(words: Column, phrase: list[str]) -> Column:
 
 def bm25(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", fallback: bool = True) -> DataFrame:
     """The k best rows (id, score), the lower score the better: all phrases, or any of them if no row has all."""
-    phrases = _phrases(query)
-    if not phrases:
+    wanted = phrases(query)
+    if not wanted:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    counted = docs.select(id_col, tokens(F.col(text_col)).alias("w")).select(id_col, F.size("w").alias("dl"), *[_phrase_count(F.col("w"), p).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    tf = [F.col(f"tf{i}") for i in range(len(phrases))]
+    counted = docs.select(id_col, tokens(F.col(text_col)).alias("w")).select(id_col, F.size("w").alias("dl"), *[_phrase_count(F.col("w"), p).alias(f"tf{i}") for i, p in enumerate(wanted)])
+    return best(counted, counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl")), len(wanted), k, id_col, fallback)
+
+
+def best(counted: DataFrame, stats: DataFrame, n_phrases: int, k: int, id_col: str, fallback: bool = True) -> DataFrame:
+    """The k best (id, score) of rows (id, dl, tf0, tf1, ..) that hold any phrase, or more; stats: one row (N, avgdl) of the corpus."""
+    tf = [F.col(f"tf{i}") for i in range(n_phrases)]
     both = reduce(lambda a, b: a & b, [t > 0 for t in tf])
-    stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), F.count_if(both).alias("n_all"), *[F.count_if(t > 0).alias(f"n{i}") for i, t in enumerate(tf)])
-    scored = counted.join(F.broadcast(stats), F.lit(True))
+    found = counted.agg(F.count_if(both).alias("n_all"), *[F.count_if(t > 0).alias(f"n{i}") for i, t in enumerate(tf)])
+    scored = counted.join(F.broadcast(stats), F.lit(True)).join(F.broadcast(found), F.lit(True))
     idf = lambda i: F.greatest(F.lit(LEAST_IDF), F.log((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     score = -reduce(lambda a, b: a + b, [idf(i) * t * (K1 + 1) / (t + norm) for i, t in enumerate(tf)])
-    wanted = both | ((F.col("n_all") == 0) & reduce(lambda a, b: a | b, [t > 0 for t in tf])) if fallback and len(phrases) > 1 else both
+    wanted = both | ((F.col("n_all") == 0) & reduce(lambda a, b: a | b, [t > 0 for t in tf])) if fallback and n_phrases > 1 else both
     return scored.where(wanted).select(id_col, F.round(score, 6).alias("score")).orderBy("score", id_col).limit(k)
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, id, tf, dl): the index as a table, for many searches over one corpus."""
-    words = docs.select(id_col, tokens(F.col(text_col)).alias("w"))
-    return words.select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def over(*order: Column) -> Window:
+    """A window over a top-k list."""
+    return Window.orderBy(*order)
 
 
 def ranked(hits: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Add list and rank, from 0; hits are a top-k list."""
-    return hits.withColumns({"list": F.lit(name), "rank": F.row_number().over(Window.orderBy(*order)) - 1})
+    return hits.withColumns({"list": F.lit(name), "rank": F.row_number().over(over(*order)) - 1})
 
 
 def rrf(lists: Sequence[DataFrame], id_col: str, weights: Sequence[float], k: int = RRF_K) -> DataFrame:
@@ -107,8 +155,13 @@ def rrf(lists: Sequence[DataFrame], id_col: str, weights: Sequence[float], k: in
 
 def hybrid_search(docs: DataFrame, vectors: DataFrame, text: str, vector: Sequence[float], limit: int, id_col: str = "doc_id", weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Semantic and keyword candidates (twice the limit of each), fused, scores relative to the best."""
+    return fused_hits(vectors, bm25(docs, text, 2 * limit, id_col), vector, limit, id_col, weights)
+
+
+def fused_hits(vectors: DataFrame, keyword: DataFrame, vector: Sequence[float], limit: int, id_col: str = "doc_id", weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """The nearest vectors and keyword hits (id, score) fused."""
     near = ranked(knn(vectors.withColumnRenamed("vec_id", id_col), vector, 2 * limit, id_col), [F.col("distance"), F.col(id_col)], "vector")
-    words = ranked(bm25(docs, text, 2 * limit, id_col), [F.col("score"), F.col(id_col)], "keyword")
+    words = ranked(keyword, [F.col("score"), F.col(id_col)], "keyword")
     fused = rrf([near, words], id_col, weights)
     best = fused.agg(F.max("fused").alias("best"))
     hits = fused.join(F.broadcast(best), F.lit(True)).withColumn("score", F.round(F.col("fused") / F.col("best"), 6))
@@ -123,7 +176,7 @@ def three_axis(score: Column, age_days: Column, salience: Column, retention: Col
 
 def overlap_rerank(score: Column, text: Column, query: str) -> Column:
     """0.7 of the score and 0.3 of the share of the query's words (three letters at least) in the text."""
-    words = sorted({w for p in _phrases(query) for w in p if len(w) >= 3})
+    words = sorted({w for p in phrases(query) for w in p if len(w) >= 3})
     if not words:
         return score
     shared = F.size(F.array_intersect(F.array_distinct(tokens(text)), F.array(*map(F.lit, words))))
@@ -149,9 +202,7 @@ def windows(hits: DataFrame, chunks: DataFrame, parent: str, index: str, around:
 
 def stop_at_budget(rows: DataFrame, group: Sequence[str], order: Sequence[Column], size: Column, budget: int) -> DataFrame:
     """Rows of each group, in order, up to the first whose running size exceeds the budget."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    running = rows.withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return running.where(F.col("used") <= budget)
+    return running(rows, group, order, size, "used").where(F.col("used") <= budget)
 
 
 def ranking_quality(hits: DataFrame, k: int) -> DataFrame:

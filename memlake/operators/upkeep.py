@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as X
+from memlake.shared import stored
 
 
 def find_entity(entities: DataFrame, wanted: str, id_col: str = "id", name_col: str = "name") -> DataFrame:
@@ -17,10 +18,27 @@ def find_entity(entities: DataFrame, wanted: str, id_col: str = "id", name_col:
     return entities.withColumn("how", how).where("how is not null").orderBy("how", id_col).limit(1)
 
 
+def running(rows: DataFrame, group: Sequence[str], order: Sequence[Column], size: Column, name: str) -> DataFrame:
+    """Add the running sum of size in each group, in order, without a task that holds a whole group.
+
+    Rows are dealt out by ranges of the order and written; the sums of earlier ranges, one number a group
+    and range, are added to those within a range.
+    """
+    held = rows.withColumn("__size", size).repartitionByRange(*[F.col(c) for c in group], *order)
+    held = stored(held.withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = held.groupBy(*group, "__range").agg(F.sum("__size").alias("__sum"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*group, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    keys = [held[c].eqNullSafe(starts[c]) for c in (*group, "__range")]
+    inside = F.sum("__size").over(Window.partitionBy(*[held[c] for c in (*group, "__range")]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return held.join(starts, reduce(lambda a, b: a & b, keys)).select(*[held[c] for c in rows.columns], (F.col("__start") + inside).alias(name))
+
+
 def in_order(ids: DataFrame, cold: DataFrame, key: str, position: str) -> DataFrame:
     """A list without the cold ones, positions closed up."""
     left = ids.join(cold.select(key), key, "left_anti")
-    return left.withColumn(position, F.row_number().over(Window.orderBy(position)) - 1)
+    counted = running(left, [], [F.col(position)], F.lit(1), "__n")
+    return counted.withColumn(position, F.col("__n") - 1).drop("__n")
 
 
 def detail(rows: DataFrame, group: Sequence[str], label: Column) -> DataFrame:

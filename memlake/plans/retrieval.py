@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.operators import retrieval as R
+from memlake.operators import search as S
 from memlake.plans import query
+from memlake.shared import fingerprint, shared_folder
 from memlake.sources.tables import load, messages
 
 QUERY, RARE, MISSING = "the reation", "hein inenan", "hein zzqqzz"
@@ -20,19 +22,45 @@ kw as (select doc_id, round(-(greatest(1e-6, ln((n - na + 0.5) / (na + 0.5))) *
 _KNN = "nn as (select vec_id as doc_id, round(list_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)), 6) as distance from embeddings order by distance, doc_id limit %d)"
 
 
+_indexes: dict[tuple, S.Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> S.Index:
+    """The index of the documents: built by the first search in an application, and anew when the files have changed."""
+    key = spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet")
+    if key not in _indexes:
+        _indexes[key] = S.build(load(spark, sf_dir, "documents"), shared_folder(spark, "index"))
+    return _indexes[key]
+
+
+def _bm25(spark: SparkSession, sf_dir: str, query: str, k: int) -> DataFrame:
+    return S.bm25(spark, index_of(spark, sf_dir), query, k)
+
+
 def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[float]:
     row = load(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
     return list(row[0]) if row else [0.0] * 64
 
 
+@query(r"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents), t as (select doc_id, unnest(w) as term, len(w) as dl from w)
+select term, count(*) as tf, count(distinct doc_id) as df, sum(dl) as lengths from t group by 1
+""")
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index built anew, and what it holds of each term."""
+    index = S.build(load(spark, sf_dir, "documents"), shared_folder(spark, "index"))
+    posted = spark.read.parquet(f"{index.uri}/postings")
+    return posted.groupBy("term").agg(F.sum(F.size("at").cast("long")).alias("tf"), F.count("*").alias("df"), F.sum(F.size("at") * F.col("dl").cast("long")).alias("lengths"))
+
+
 @query(f"with {_BM25 % ('the', 'reation', 20)} select * from kw")
 def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(load(spark, sf_dir, "documents"), QUERY, 20)
+    return _bm25(spark, sf_dir, QUERY, 20)
 
 
 @query(f"with {_BM25 % ('hein', 'zzqqzz', 20)} select * from kw")
 def fts_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(load(spark, sf_dir, "documents"), MISSING, 20)
+    return _bm25(spark, sf_dir, MISSING, 20)
 
 
 @query(r"""
@@ -42,7 +70,7 @@ s as (select count(*) as n, avg(dl) as avgdl, count(*) filter (where a > 0) as n
 select doc_id, round(-(greatest(1e-6, ln((n - na + 0.5) / (na + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from c, s where a > 0 order by score, doc_id limit 20
 """)
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(load(spark, sf_dir, "documents"), "of-the", 20)
+    return _bm25(spark, sf_dir, "of-the", 20)
 
 
 @query(f"with {_KNN % 20} select doc_id as vec_id, distance from nn")
@@ -82,12 +110,12 @@ _HYBRID = f"{_FUSED}, h as (select doc_id, round(fused / (select max(fused) from
 @query(f"with {_FUSED} select * from f")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = R.ranked(R.knn(load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), _vector(spark, sf_dir), 20, "doc_id"), [F.col("distance"), F.col("doc_id")], "vector")
-    words = R.ranked(R.bm25(load(spark, sf_dir, "documents"), QUERY, 20), [F.col("score"), F.col("doc_id")], "keyword")
+    words = R.ranked(_bm25(spark, sf_dir, QUERY, 20), [F.col("score"), F.col("doc_id")], "keyword")
     return R.rrf([near, words], "doc_id", (1.0, 1.0))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hybrid_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), 10)
+    return S.hybrid_search(spark, index_of(spark, sf_dir), load(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir), 10)
 
 
 @query(f"with {_HYBRID} select h.*, d.lang, d.source from h join documents d using (doc_id)")
@@ -200,3 +228,60 @@ def thread_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def thread_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct("position", F.concat(F.col("position").cast("string"), F.lit("\x1f"), F.sha2("text", 256)).alias("t"))))
     return messages(spark, sf_dir).groupBy("thread_id").agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["t"]), "\x1e"), 256).alias("signature"))
+
+
+_TERMS = r"""
+t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents), st as (select count(*) as n, avg(len(w)) as avgdl from t),
+tf as (select doc_id, i, len(w) as dl, len(list_filter(w, lambda x: x = term)) as a from t, q), df as (select i, count(*) filter (where a > 0) as d from tf group by 1),
+al as (select doc_id, min(a) > 0 as each_one, max(a) > 0 as any_one from tf group by 1), na as (select count(*) filter (where each_one) as n_all from al),
+kw as (select doc_id, round(-sum(greatest(1e-6, ln((n - d + 0.5) / (d + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+  from tf join df using (i) join al using (doc_id), st, na where each_one or (n_all = 0 and any_one) group by doc_id order by score, doc_id limit 20),
+l as (select doc_id, 0 as i, row_number() over (order by distance, doc_id) - 1 as rank from nn union all select doc_id, 1, row_number() over (order by score, doc_id) - 1 from kw),
+f as (select doc_id, round(sum(1.0 / (60 + rank + 1)), 8) as fused, min(rank) filter (where i = 0) as r0, min(rank) filter (where i = 1) as r1 from l group by 1),
+h as (select doc_id, round(fused / (select max(fused) from f), 6) as score from f order by fused desc, r0 nulls last, r1 nulls last, doc_id limit 10)
+"""
+
+
+def _route(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """Entities: part names, the first part of each; neighbours: those whose first parts follow or precede it; communities: regions, their nations the summary."""
+    parts = load(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    near = parts.select("id").join(parts.select(F.col("id").alias("other")), F.col("other").between(F.col("id") + 1, F.col("id") + 3)).select(F.col("id").alias("entity_a"), F.col("other").alias("entity_b"), F.col("other").alias("position"))
+    nations = load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), " ").alias("summary"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return S.route(spark, index_of(spark, sf_dir), load(spark, sf_dir, "embeddings"), docs, query, _vector(spark, sf_dir), 10, parts, near, nations.withColumnRenamed("n_regionkey", "community_id"))
+
+
+@query(rf"""
+with e as (select p_name as name, min(p_partkey) as id from part group by 1), x as (select id from e where lower(name) in ('reation', 'small', 'ring', 'reation small', 'small ring', 'reation small ring') order by length(name) desc, name limit 1),
+ns as (select name from e where abs(id - (select id from x)) between 1 and 3 order by case when id < (select id from x) then (select id from x) else id end, id limit 5),
+q as (select row_number() over () as i, term from (select unnest(string_split('reation small ring ' || (select string_agg(name, ' ') from ns), ' ')) as term)),
+{_KNN % 20}, {_TERMS}
+select doc_id::varchar as doc_id, round(0.7 * score + 0.3 * len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{3,}}')), ['reation', 'ring', 'small'])) / 3, 4) as score, 'graph_seeded' as provenance from h join documents using (doc_id)
+""")
+def search_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question that names an entity, seeded with its neighbours, re-ranked."""
+    return _route(spark, sf_dir, "reation small ring")
+
+
+@query(rf"""
+with q as (select * from (values (1, 'what'), (2, 'the'), (3, 'reation')) v(i, term)), {_KNN % 20}, {_TERMS}
+select doc_id::varchar as doc_id, round(0.7 * score + 0.3 * len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{3,}}')), ['what', 'the', 'reation'])) / 3, 4) as score, null::varchar as provenance from h join documents using (doc_id)
+""")
+def search_route_thematic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A broad question: summaries come after the hits, within the limit."""
+    return _route(spark, sf_dir, "what the reation")
+
+
+@query(r"""
+with h as (select doc_id::varchar as doc_id, row_number() over (order by n_chars desc, doc_id) - 1 as place from documents qualify place < 5),
+c as (select n_regionkey as id, len(list_intersect(list(lower(n_name)), ['list', 'france', 'and', 'germany', 'kenya'])) / 6.0 as overlap from nation group by 1)
+select doc_id, round(1.0 / (place + 1), 4) as score, null::varchar as provenance, place from h
+union all select 'community:' || id, round((select max(overlap) from c) * 0.5, 4), 'community_summary', 1000000 + row_number() over (order by overlap desc, id) - 1 from c where overlap > 0
+""")
+def community_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest five documents, then the regions whose nations the question names."""
+    top = load(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(5).select("doc_id", "n_chars")
+    place = F.row_number().over(R.over(F.desc("n_chars"), F.col("doc_id"))) - 1
+    hits = top.withColumn("place", place).select("doc_id", F.round(1.0 / (F.col("place") + 1), 4).alias("score"), F.lit(None).cast("string").alias("provenance"), "place")
+    nations = load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), " ").alias("summary"))
+    return S.community_augment(hits, nations.withColumnRenamed("n_regionkey", "community_id"), "list France and Germany, Kenya", 8)

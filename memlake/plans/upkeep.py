@@ -17,9 +17,9 @@ def entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.find_entity(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), "Supplier 000000007")
 
 
-@query("select doc_id, row_number() over (order by n_chars, doc_id) - 1 as position from documents where doc_id not in (select doc_id from labels where toxic = 1) and n_chars > 8000")
+@query("select doc_id, row_number() over (order by n_chars, doc_id) - 1 as position from documents where doc_id not in (select doc_id from labels where toxic = 1)")
 def drop_cold_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").where("n_chars > 8000").select("doc_id", F.struct("n_chars", "doc_id").alias("position"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.struct("n_chars", "doc_id").alias("position"))
     return U.in_order(docs, load(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "position")
 
 
@@ -96,10 +96,9 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select doc_id, used from (select doc_id, sum(least(length(text), 200)) over (order by n_chars desc, doc_id) as used from documents where lang = 'en' and n_chars > 15000) where used <= 700
+select doc_id, used from (select doc_id, sum(least(length(text), 200)) over (order by n_chars desc, doc_id rows unbounded preceding) as used from documents where lang = 'en') where used <= 2000
 """)
 def core_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates are few by the filter; the block is a running budget over them."""
-    core = load(spark, sf_dir, "documents").where("lang = 'en' and n_chars > 15000").orderBy(F.desc("n_chars"), "doc_id").limit(700)
-    used = F.sum(F.least(F.char_length("text"), F.lit(200))).over(Window.orderBy(F.desc("n_chars"), "doc_id"))
-    return core.withColumn("used", used).where("used <= 700").select("doc_id", "used")
+    """The block is a running budget over all candidates."""
+    core = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "n_chars", F.least(F.char_length("text"), F.lit(200)).alias("size"))
+    return U.running(core, [], [F.desc("n_chars"), F.asc("doc_id")], F.col("size"), "used").where("used <= 2000").select("doc_id", "used")

@@ -57,3 +57,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     uri = shared_folder(df.sparkSession, label)
     df.write.parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
+def fingerprint(spark: SparkSession, uri: str) -> tuple[str, int, int]:
+    """Where a table's files are, their bytes, and when the folder or file was changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString(), store.getContentSummary(path).getLength(), store.getFileStatus(path).getModificationTime()
