@@ -60,3 +60,18 @@ def grounded(names: Column, source: Column) -> Column:
     """The names that stand in the source, whole or by a word of four letters."""
     low = F.lower(F.coalesce(source, F.lit("")))
     return F.filter(names, lambda n: F.contains(low, F.lower(n)) | F.exists(name_parts(n), lambda w: F.contains(low, w)))
+
+
+def org_variants(entities: DataFrame, canonical: list[str], least: float = 60.0) -> DataFrame:
+    """(variant_org, canonical_org, score, entity_count): spellings that are not canonical, with the canonical one most like them.
+
+    Names are counted before they are compared, and the canonical names are a short list.
+    """
+    from memlake.functions.packed import token_set
+
+    counts = entities.where(F.coalesce("org", F.lit("")) != "").groupBy(F.col("org").alias("variant_org")).agg(F.count("*").alias("entity_count"))
+    names = F.array(*[F.lit(c) for c in sorted(canonical) if c not in ("external", "unknown")])
+    pairs = counts.where(~F.col("variant_org").isin(canonical)).withColumn("canonical_org", F.explode(names))
+    scored = pairs.withColumn("score", F.round(token_set(F.lower("variant_org"), F.lower("canonical_org")), 4))
+    best = scored.groupBy("variant_org", "entity_count").agg(F.max("score").alias("score"), F.min_by("canonical_org", F.struct(-F.col("score"), "canonical_org")).alias("canonical_org"))
+    return best.where(F.col("score") >= least).select("variant_org", "canonical_org", "score", "entity_count")

@@ -9,7 +9,7 @@ from memlake.operators.hygiene import upsert
 
 
 class VersionedTable:
-    """A table below a root that the cluster shares. Readers see whole versions; a failed write leaves the old one current."""
+    """A table below a root that the cluster shares. Readers see whole versions; a failed write leaves the old one current; each writer has a version of its own."""
 
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.base = spark, f"{root.rstrip('/')}/{name}"
@@ -29,8 +29,18 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.base}/v{known[-1] if version is None else version}")
 
     def write(self, df: DataFrame) -> int:
+        version = self._claimed()
+        df.write.parquet(f"{self.base}/v{version}")
+        return version
+
+    def _claimed(self) -> int:
+        """A number that no other writer has: its file is created by one alone, whether or not the write then succeeds."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        store = path(self.base).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path(self.base))
         version = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.base}/v{version}")
+        while not store.createNewFile(path(f"{self.base}/_claim{version}")):
+            version += 1
         return version
 
     def upsert(self, new: DataFrame, key: str, hash_col: str) -> int:
