@@ -14,7 +14,31 @@ REPLY_MARKERS = [
     r"(?m)^_{10,}\s*$",
 ]
 CLOSINGS = "regards|kind regards|best regards|best|cheers|thanks|many thanks|thank you|blessings|sincerely|yours"
-IMPERATIVES = "send call email book confirm check review prepare finish write ask arrange follow update schedule pay sign".split()
+IMPERATIVES = (
+    "email send review update check prepare create build investigate follow confirm complete schedule coordinate write draft call contact add remove fix "
+    "test deploy setup configure run submit request provide arrange register migrate upload document implement organise organize present finalise finalize "
+    "publish share order book ensure meet discuss reply respond escalate approve sign process"
+).split()
+WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+NUMBERS = {"a": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7}
+DEADLINES = [
+    r"\bby\s+(next\s+)?(?:Mon(?:day)?|Tue(?:sday)?|Wed(?:nesday)?|Thu(?:rsday)?|Fri(?:day)?|Sat(?:urday)?|Sun(?:day)?)\b",
+    r"\bby\s+(?:EOD|COB)\b",
+    r"\b(?:EOD|COB)\s+(\w+day|tomorrow|today)\b",
+    r"\bby\s+end\s+of\s+(?:the\s+)?(?:week|month|day)\b",
+    r"\bend\s+of\s+(?:the\s+)?month\b",
+    r"\bEOM\b",
+    r"\b(?:this|next)\s+week\b",
+    r"\btomorrow\b",
+    r"\btoday\b",
+    r"\bin\s+\d+\s+(?:days?|weeks?)\b",
+    r"\bin\s+(?:a|one|two|three|four|five|six|seven)\s+(?:days?|weeks?)\b",
+    r"\bnext\s+(?:Mon(?:day)?|Tue(?:sday)?|Wed(?:nesday)?|Thu(?:rsday)?|Fri(?:day)?|Sat(?:urday)?|Sun(?:day)?)\b",
+    r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
+    r"\b\d{4}-\d{2}-\d{2}\b",
+    r"\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2}(?:st|nd|rd|th)?\b",
+]
 BULK_SUBJECT = r"(?i)^(newsletter|digest|weekly|daily)\b"
 # End of fixed values.
 
@@ -41,10 +65,7 @@ def sent_at(header: Column) -> Column:
 def own_text(body: Column) -> Column:
     """The text above the earliest reply marker, without quoted lines."""
     body = F.coalesce(body, F.lit(""))
-    end = F.char_length(body) + 1
-    for m in REPLY_MARKERS:
-        at = F.regexp_instr(body, F.lit(m))
-        end = F.least(end, F.when(at > 0, at).otherwise(end))
+    end = F.least(F.char_length(body) + 1, *[F.nullif(F.regexp_instr(body, F.lit(m)), F.lit(0)) for m in REPLY_MARKERS])
     lines = F.split(F.substring(body, F.lit(1), end - 1), "\n")
     return F.trim(F.array_join(F.filter(lines, lambda x: ~x.rlike(r"^\s*>")), "\n"), F.lit(" \n\r\t"))
 
@@ -65,31 +86,45 @@ def is_bulk(headers: Column, subject: Column) -> Column:
     return F.coalesce(listed, F.lit(False)) | F.coalesce(subject.rlike(BULK_SUBJECT), F.lit(False))
 
 
-def deadline(text: Column, written: Column) -> Column:
-    """A date named in a request, relative to the day it was written; null if none is."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    iso = F.try_to_date(F.regexp_extract(low, r"\b(\d{4}-\d{2}-\d{2})\b", 1), "yyyy-MM-dd")
-    dmy = F.try_to_date(F.regexp_extract(low, r"\b(\d{1,2}/\d{1,2}/\d{4})\b", 1), "d/M/yyyy")
-    days = F.regexp_extract(low, r"\b(?:within|in) (\d{1,3}) days?\b", 1)
-    weekday = F.regexp_extract(low, r"\b(?:by|on|before|next) (monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b", 1)
-    named = F.lit(None).cast("date")
-    for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"):
-        named = F.when(weekday == d, F.next_day(written, d[:3])).otherwise(named)
+def _day_of(phrase: Column, written: Column) -> Column:
+    """The date that a phrase (lower case) names, relative to a day; null if it names none. Dates are day before month; a month's day is the next one to come."""
+    part = lambda pattern, k=1: F.regexp_extract(phrase, pattern, k)
+    iso = F.try_to_date(part(r"(\d{4}-\d{2}-\d{2})"), "yyyy-MM-dd")
+    dmy, year = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$", part(r"\b\d{1,2}[/-]\d{1,2}[/-](\d{2,4})$").try_cast("int")
+    date = lambda y, m, d: F.try_to_date(F.concat_ws("-", y.cast("string"), m.cast("string"), d.cast("string")), "y-M-d")
+    numbered = date(F.when(year < 100, year + 2000).otherwise(year), part(dmy, 2), part(dmy, 1))
+    head, named = part(r"\b(mon|tue|wed|thu|fri|sat|sun)"), F.lit(None).cast("date")
+    for d in WEEKDAYS:
+        named = F.when(head == d[:3], F.next_day(written, d[:3])).otherwise(named)
+    word, count = part(r"\bin\s+(\w+)\s"), F.lit(None).cast("int")
+    for w, n in NUMBERS.items():
+        count = F.when(word == w, n).otherwise(count)
+    ahead = F.coalesce(word.try_cast("int"), count) * F.when(phrase.rlike("weeks?$"), 7).otherwise(1)
+    month, day = F.array_position(F.array(*map(F.lit, MONTHS)), part(r"^([a-z]{3})[a-z]*\s+\d")).cast("int"), part(r"^[a-z]+\s+(\d{1,2})").try_cast("int")
+    this = date(F.year(written), month, day)
     return F.coalesce(
         iso,
-        dmy,
-        F.when(low.rlike(r"\btomorrow\b"), F.date_add(written, 1)),
-        F.when(low.rlike(r"\b(today|by eod|end of day)\b"), written),
-        F.when(days != "", F.date_add(written, F.expr("0") + days.try_cast("int"))),
+        numbered,
+        F.when(phrase.rlike(r"^(by )?end\s+of\s+(the\s+)?month$|^eom$"), F.last_day(written)),
+        F.when(phrase.rlike(r"tomorrow"), F.date_add(written, 1)),
+        F.when(phrase.rlike(r"today|^by\s+(eod|cob)$|end\s+of\s+(the\s+)?day"), written),
+        F.date_add(written, ahead),
+        F.when(month > 0, F.when(this < written, date(F.year(written) + 1, month, day)).otherwise(this)),
+        F.when(phrase.rlike(r"end\s+of\s+(the\s+)?week|this\s+week"), F.when(F.dayofweek(written) == 6, written).otherwise(F.next_day(written, "Fri"))),
+        F.when(phrase.rlike(r"next\s+week"), F.date_add(written, 7)),
         named,
-        F.when(low.rlike(r"\b(end of (the )?month)\b"), F.last_day(written)),
-        F.when(low.rlike(r"\b(end of (the )?week)\b"), F.when(F.dayofweek(written) == 6, written).otherwise(F.next_day(written, "Fri"))),
     )
 
 
+def deadline(text: Column, written: Column) -> Column:
+    """A date named in a request, relative to the day it was written: by the first of the patterns that names one; null if none does."""
+    text = F.coalesce(text, F.lit(""))
+    return F.coalesce(*[F.when(text.rlike(f"(?i){p}"), _day_of(F.lower(F.regexp_extract(text, f"(?i){p}", 0)), written)) for p in DEADLINES])
+
+
 def owner_confidence(sender_is_owner: Column, text: Column) -> Column:
     """How sure it is that the owner is asked: 0.8 of own words, 0.6 of an imperative, else 0."""
-    return F.when(sender_is_owner, 0.8).when(F.lower(F.split(F.trim(text), r"\s+")[0]).isin(IMPERATIVES), 0.6).otherwise(0.0)
+    return F.when(sender_is_owner, 0.8).when(F.lower(F.regexp_replace(F.split(F.trim(text), r"\s+")[0], "[.,:]+$", "")).isin(IMPERATIVES), 0.6).otherwise(0.0)
 
 
 def questions(text: Column, most: int = 5) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,9 +53,17 @@ def fingerprint(text: Column) -> Column:
     return F.when(title == "", "").otherwise(F.sha1(title))
 
 
+def _letters() -> tuple[str, str]:
+    """Letters that are a to z with marks, and what they are without: by their decomposition, to the end of the extended Latin blocks."""
+    pairs = [(c, unicodedata.normalize("NFKD", c)) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower()]
+    pairs = [(c, "".join(x for x in d if not unicodedata.combining(x))) for c, d in pairs]
+    pairs = [(c, d) for c, d in pairs if len(d) == 1 and "a" <= d <= "z"]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
 def slug(name: Column) -> Column:
-    """Lower case with hyphens for runs of other characters, at most 80 long. Latin-1 letters lose their accents."""
-    folded = F.translate(F.lower(F.coalesce(name, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case with hyphens for runs of other characters, at most 80 long. Latin letters lose their marks."""
+    folded = F.translate(F.lower(F.coalesce(name, F.lit(""))), *_letters())
     return F.substring(F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
 
 

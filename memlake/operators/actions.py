@@ -11,10 +11,19 @@ from memlake.functions import text as X
 QUOTAS = {"overdue": 3, "due_today": 3, "upcoming": 2}
 TTL_DAYS, OVERDUE_TTL_DAYS = 120, 730
 WINDOW_DAYS, SAME_WORDS = 7, 0.85
-RESOLVED = r"(?i)\b(done|sorted|completed|resolved|finished|cancelled|canceled)\b"
+RESOLVED_WORDS = ["done", "resolved", "completed", "sorted", "handled"]
+RESOLVED_PHRASES = ["taken care of", "sent through", "no longer needed", "all good", "received, thanks", "received with thanks"]
+NOT_RESOLVED = ["not done", "get it done", "get this done", "well done", "yet to be", "to be done", "isn't done", "still need"]
 # End of fixed values.
 
 
+def signals_resolution(text: Column) -> Column:
+    """A word or phrase that says that something is settled, and none that says that it isn't."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    said = low.rlike(rf"(?U)\b({'|'.join(RESOLVED_WORDS)})\b") | X.any_contained(low, RESOLVED_PHRASES)
+    return said & ~X.any_contained(low, NOT_RESOLVED)
+
+
 def bucket(deadline: Column, as_of: str, ahead: int = 7) -> Column:
     day = F.lit(as_of).cast("date")
     return F.when(deadline < day, "overdue").when(deadline == day, "due_today").when(deadline <= F.date_add(day, ahead), "upcoming")

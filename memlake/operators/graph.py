@@ -25,13 +25,13 @@ def as_of(relations: DataFrame, day: str) -> DataFrame:
 
 
 def hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """(node, depth): nodes within k undirected hops of the seeds (one column)."""
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a"))
-    seen = seeds.toDF("node").distinct().withColumn("depth", F.lit(0))
+    """(node, depth): nodes within k undirected hops of the seeds (one column). Each hop writes the nodes that are new."""
+    both = written(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")), "edges")
+    rim = seen = written(seeds.toDF("node").distinct().withColumn("depth", F.lit(0)), "hops")
     for d in range(1, k + 1):
-        rim = seen.where(F.col("depth") == d - 1).select(F.col("node").alias("x"))
-        found = both.join(rim, "x").select(F.col("y").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = written(seen.union(found.withColumn("depth", F.lit(d))), "hops")
+        found = both.join(rim.select(F.col("node").alias("x")), "x").select(F.col("y").alias("node")).distinct().join(seen, "node", "left_anti")
+        rim = written(found.withColumn("depth", F.lit(d)), "hops")
+        seen = seen.union(rim)
     return seen
 
 

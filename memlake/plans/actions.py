@@ -63,13 +63,17 @@ def action_near_dup_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-with m as (select conv_id, turn from conversations where contains(lower(text), 'tion.'))
+with t as (select conv_id, turn, role, lower(text || case conv_id % 6 + turn % 3 when 1 then ' It is Sorted.' when 2 then ' abandoned' when 3 then ' all good' when 4 then ' all good, but not done' when 5 then ' received, thanks' else '' end) as t from conversations),
+m as (select conv_id, turn from t where (regexp_matches(t, '\b(done|resolved|completed|sorted|handled)\b') or regexp_matches(t, 'taken care of|sent through|no longer needed|all good|received, thanks|received with thanks'))
+  and not regexp_matches(t, 'not done|get it done|get this done|well done|yet to be|to be done|isn''t done|still need'))
 select c.conv_id as thread_id, c.turn as position, exists (select 1 from m where m.conv_id = c.conv_id and m.turn > c.turn) as stale from conversations c where role = 'user'
 """)
 def stale_actions_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A later message of the thread bears the marker: by the thread's last marker, one aggregate instead of a theta join."""
-    m = messages(spark, sf_dir)
-    last = m.where(F.contains(F.lower("text"), F.lit("tion."))).groupBy("thread_id").agg(F.max("position").alias("last"))
+    """A later message of the thread says that it is settled: by the thread's last such message, one aggregate instead of a theta join."""
+    kind = F.col("thread_id") % 6 + F.col("position") % 3
+    said = F.when(kind == 1, " It is Sorted.").when(kind == 2, " abandoned").when(kind == 3, " all good").when(kind == 4, " all good, but not done").when(kind == 5, " received, thanks").otherwise("")
+    m = messages(spark, sf_dir).withColumn("text", F.concat("text", said))
+    last = m.where(A.signals_resolution(F.col("text"))).groupBy("thread_id").agg(F.max("position").alias("last"))
     asked = m.where("role = 'user'").join(last, "thread_id", "left")
     return asked.select("thread_id", "position", F.coalesce(F.col("last") > F.col("position"), F.lit(False)).alias("stale"))
 

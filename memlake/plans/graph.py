@@ -14,22 +14,18 @@ DAY = "1998-06-01"
 _EDGES = "select least('s' || l_suppkey, 'p' || l_partkey) as a, greatest('s' || l_suppkey, 'p' || l_partkey) as b, sum(l_quantity) as weight, count(*) as n from lineitem group by 1, 2"
 
 
-def _heavy(spark: SparkSession, sf_dir: str, least: int = 85) -> DataFrame:
-    return G.edge_weights(relations(spark, sf_dir)).where(F.col("weight") >= least)
-
-
 @query(_EDGES)
 def graph_edges_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.edge_weights(relations(spark, sf_dir))
 
 
 @query(f"""
-with recursive e as (select a, b from ({_EDGES}) where weight >= 85), u as (select a as x, b as y from e union select b, a from e),
+with recursive e as (select a, b from ({_EDGES})), u as (select a as x, b as y from e union select b, a from e),
 h(node, depth) as (select 's1', 0 union select y, depth + 1 from h join u on h.node = u.x where depth < 3)
 select node, min(depth) as depth from h group by 1
 """)
 def graph_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.hops(_heavy(spark, sf_dir), spark.createDataFrame([("s1",)], "node string"), 3)
+    return G.hops(G.edge_weights(relations(spark, sf_dir)), spark.createDataFrame([("s1",)], "node string"), 3)
 
 
 @query(f"""
@@ -42,13 +38,13 @@ def graph_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with recursive e as (select a, b, weight from ({_EDGES}) where weight >= 85), u as (select a as x, b as y from e union select b, a from e),
+with recursive e as ({_EDGES}), u as (select a as x, b as y from e union select b, a from e),
 h(node, depth) as (select 's2', 0 union select y, depth + 1 from h join u on h.node = u.x where depth < 2), n as (select distinct node from h)
 select a, b, weight from e where a in (from n) and b in (from n)
 """)
 def ego_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links among the nodes within two hops."""
-    edges = _heavy(spark, sf_dir)
+    edges = G.edge_weights(relations(spark, sf_dir))
     near = G.hops(edges, spark.createDataFrame([("s2",)], "node string"), 2)
     return edges.join(near.select(F.col("node").alias("a")), "a", "left_semi").join(near.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", "weight")
 
@@ -100,12 +96,12 @@ def entity_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with recursive e as (select a, b from ({_EDGES}) where weight >= 105), u as (select a as x, b as y from e union select b, a from e),
-r(node, other) as (select x, x from u union select r.node, u.y from r join u on r.other = u.x)
-select node, min(other) as component from r group by 1
+with recursive e as ({_EDGES}), u as (select a as x, b as y from e union select b, a from e),
+r(node, component) using key (node) as (select x, x from u group by 1 union (select u.y, min(r.component) from r join u on r.node = u.x join recurring.r as own on own.node = u.y where r.component < own.component group by 1))
+select node, component from r
 """)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(_heavy(spark, sf_dir, 105))
+    return G.components(G.edge_weights(relations(spark, sf_dir)))
 
 
 @query()

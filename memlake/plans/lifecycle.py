@@ -87,21 +87,23 @@ def absence_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with l as (select lower(p_name) as k, p_partkey as id from part where p_partkey % 31 = 0), r as (select lower(p_name) as k, p_partkey as id from part where p_partkey % 29 = 0),
+with n as (select lower(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_size) as k, p_partkey as id from part), l as (select * from n where id % 3 <> 0), r as (select * from n where id % 3 <> 1),
 lo as (select k, min(id) as left_id from l group by 1 having count(*) = 1), ro as (select k, min(id) as right_id from r group by 1 having count(*) = 1) select left_id, right_id from lo join ro using (k)
 """)
 def slug_drift_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part").select(F.lower("p_name").alias("k"), F.col("p_partkey").alias("id"))
-    return L.unique_matches(p.where("id % 31 = 0"), p.where("id % 29 = 0"), "k")
+    """Parts on two sides that overlap, matched where a key is one part's alone on either side."""
+    key = F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_size").cast("string")))
+    p = load(spark, sf_dir, "part").select(key.alias("k"), F.col("p_partkey").alias("id"))
+    return L.unique_matches(p.where("id % 3 <> 0"), p.where("id % 3 <> 1"), "k")
 
 
 @query("""
-with t as (select o_orderkey as task, case when o_orderkey % 4 = 0 then o_orderkey end as ext, o_custkey as fp from orders where o_orderkey % 2 = 0 and o_orderkey < 4000), a as (select o_orderkey as id, o_orderkey as ext, o_custkey as fp from orders where o_orderkey % 3 = 0 and o_orderkey < 4000),
+with t as (select o_orderkey as task, case when o_orderkey % 4 = 0 then o_orderkey end as ext, o_custkey as fp from orders where o_orderkey % 2 = 0), a as (select o_orderkey as id, o_orderkey as ext, o_custkey as fp from orders where o_orderkey % 3 = 0),
 s as (select task, id, 'id' as how from t join a using (ext)), rt as (select *, row_number() over (partition by fp order by task) as n from t where task not in (select task from s)), ra as (select *, row_number() over (partition by fp order by id) as n from a where id not in (select id from s))
 select * from s union all select task, id, case when task is null then 'gone' when id is null then 'new' else 'fingerprint' end from rt full join ra on rt.fp = ra.fp and rt.n = ra.n
 """)
 def task_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").where("o_orderkey < 4000")
+    o = load(spark, sf_dir, "orders")
     tasks = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("task"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey")).alias("ext"), F.col("o_custkey").alias("fp"))
     own = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ext"), F.col("o_custkey").alias("fp"))
     return L.reconcile(tasks, own, "ext", "fp")

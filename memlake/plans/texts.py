@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as X
 from memlake.operators import chunking
 from memlake.plans import query
+from memlake.shared import stored
 from memlake.sources.tables import load, messages
 
 
@@ -153,10 +154,18 @@ def contextual_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", X.context_prefix(F.coalesce(kind, F.lit("")), F.col("source"), when, F.col("lang")).alias("prefix"))
 
 
-@query("select c_custkey as id, split_part(lower(c_name), '#', 1) in ('customer') as named, (c_custkey % 3 = 0) as role from customer")
+_LOCALS = ["office", "Office", "jo", "info", "noreply", "prayer", "officer", "kids", "ann.lee", "do-not-reply", "STAFF", "hello", "billing2"]
+
+
+@query(f"""
+with e as (select c_custkey as id, {_LOCALS}[c_custkey % 13 + 1] || case when c_custkey % 4 = 0 then '+' || c_custkey else '' end || case when c_custkey % 17 <> 0 then '@x.org' else '' end as email from customer)
+select id, contains(email, '@') and regexp_matches(lower(split_part(email, '@', 1)), '^(office|info|noreply|prayer|kids|do-not-reply|staff|hello)([+].*)?$') as role from e
+""")
 def role_mailboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    email = F.when(F.col("c_custkey") % 3 == 0, F.lit("Office+x@example.com")).otherwise(F.lit("jo@example.com"))
-    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.split_part(F.lower("c_name"), F.lit("#"), F.lit(1)) == "customer").alias("named"), X.is_role_mailbox(email).alias("role"))
+    k = F.col("c_custkey")
+    local = F.array(*map(F.lit, _LOCALS))[(k % 13).cast("int")]
+    email = F.concat(local, F.when(k % 4 == 0, F.concat(F.lit("+"), k.cast("string"))).otherwise(""), F.when(k % 17 != 0, "@x.org").otherwise(""))
+    return load(spark, sf_dir, "customer").select(k.alias("id"), X.is_role_mailbox(email).alias("role"))
 
 
 @query("select event_id, event_type, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -187,26 +196,38 @@ dx as (select doc_id, unnest(t) as w from dt), bx as (select item_id, len(t) as
 select dx.doc_id, bx.item_id, count(*) as shared, round(count(*) / max(n), 6) as containment from dx join bx using (w) group by 1, 2 having count(*) >= 0.9 * max(n)
 """)
 def contamination_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of which a document holds nine tenths of the words."""
+    """Items of which a document holds nine tenths of the words: it holds one of the item's rarest tenth and one more, which decide the candidates."""
     words = lambda c: F.array_distinct(X.tokens(F.col(c)))
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.explode(words("text")).alias("w"))
-    items = load(spark, sf_dir, "benchmark").select("item_id", words("text").alias("t")).select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    both = docs.join(items, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    docs = stored(load(spark, sf_dir, "documents").select("doc_id", words("text").alias("d")), "words")
+    items = stored(load(spark, sf_dir, "benchmark").select("item_id", words("text").alias("t")).where(F.size("t") > 0), "items")
+    held = items.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    spread = docs.select(F.explode("d").alias("w"))
+    counts = spread.join(held.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "w"))
+    rare = held.join(counts, "w", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(0.9 * F.col("n") - 1e-9) + 1)
+    met = docs.select("doc_id", F.explode("d").alias("w")).join(rare.select("w", "item_id"), "w").select("doc_id", "item_id").distinct()
+    both = met.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("d", "t")).cast("long").alias("shared"), F.size("t").alias("n"))
     return both.where("shared >= 0.9 * n").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
 
 
-@query()
+@query("""
+with recursive m as (select conv_id as thread_id, turn as position, length(text) as size, row_number() over (partition by conv_id order by turn, length(text)) as rn from conversations),
+p(thread_id, rn, position, size, used, unit) as (select thread_id, rn, position, size, size, 0 from m where rn = 1
+  union all select m.thread_id, m.rn, m.position, m.size, case when p.used + m.size > 2000 then m.size else p.used + m.size end, case when p.used + m.size > 2000 then p.unit + 1 else p.unit end from p join m on m.thread_id = p.thread_id and m.rn = p.rn + 1)
+select thread_id, position, size, unit from p
+""")
 def pack_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pack_by_size(messages(spark, sf_dir).withColumn("size", F.char_length("text")), "thread_id", "position", "size", 2000)
 
 
 @query("""
-select 'doc-' || doc_id || '-0' as chunk_id, d.doc_id, b.bucket from documents d
-join (select distinct lang as bucket, min(doc_id) as lo, max(doc_id) as hi from documents group by lang) b on d.doc_id >= b.lo and d.doc_id < b.hi and b.bucket = d.lang
+with c as (select 'gdrive-f' || (doc_id // 40) || '-' || doc_id % 40 as chunk_id, sha256(text) as content_hash from documents), r as (select * from (values ('gdrive-f1'), ('gdrive-f12'), ('gdrive-f2')) v(root))
+select root, chunk_id, content_hash from c join r on chunk_id >= root || '-' and chunk_id < root || '.'
 """)
 def range_join_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids in the half-open range of their bucket; the bucket is an equality, the range a residual filter."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("bucket"))
-    ranges = docs.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    out = docs.join(ranges, "bucket").where("doc_id >= lo and doc_id < hi")
-    return out.select(F.concat(F.lit("doc-"), "doc_id", F.lit("-0")).alias("chunk_id"), "doc_id", "bucket")
+    """Chunks whose ids begin with a root: not a range of ids, but an equality on the root that an id has."""
+    i = F.col("doc_id")
+    name = F.concat(F.lit("gdrive-f"), F.expr("doc_id div 40").cast("string"), F.lit("-"), (i % 40).cast("string"))
+    chunks = load(spark, sf_dir, "documents").select(name.alias("chunk_id"), X.content_hash(F.col("text")).alias("content_hash")).withColumn("root", X.doc_root(F.col("chunk_id")))
+    roots = spark.range(1).select(F.explode(F.array(*map(F.lit, ("gdrive-f1", "gdrive-f12", "gdrive-f2")))).alias("root"))
+    return chunks.join(F.broadcast(roots), "root").select("root", "chunk_id", "content_hash")

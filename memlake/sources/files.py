@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,9 +41,13 @@ def transcript(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delimited(spark: SparkSession, path: str, separator: str = ",", char_budget: int | None = None) -> DataFrame:
-    """(file, row, cells): rows with something in them, the first one the header, within the budget of characters per file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("row", "line"))
-    cells = F.transform(F.split("line", f"\\Q{separator}\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1), lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"'))
+    """(file, row, cells): rows with something in them, the first one the header, within the budget of characters per file. Quoted cells may hold separators and line feeds; rows are counted without blank lines."""
+    quoted, apart = r'"(?:[^"]++|"")*+"?', re.escape(separator)
+    whole = spark.read.text(path, wholetext=True)
+    lines = F.regexp_extract_all("value", F.lit(rf'(?:[^"\r\n]++|{quoted})++'), F.lit(0))
+    lines = whole.select(F.input_file_name().alias("file"), F.posexplode(lines).alias("row", "line"))
+    parts = F.regexp_extract_all(F.concat("line", F.lit(separator)), F.lit(rf'((?:[^"{apart}]++|{quoted})*+){apart}'), F.lit(1))
+    cells = F.transform(parts, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"'))
     rows = lines.select("file", "row", cells.alias("cells")).where(F.exists("cells", lambda c: c != ""))
     if char_budget is None:
         return rows

@@ -28,9 +28,9 @@ def test_snapshot_and_transcript(spark, tmp_path):
 
 
 def test_delimited(spark, tmp_path):
-    (tmp_path / "t.csv").write_text('a,b\n,\n"x, y",2\n3,4\n')
+    (tmp_path / "t.csv").write_text('a,b\n,\n"x, y",2\n3,4\n\n"p\nq ""r""",5\r\n')
     rows = files.delimited(spark, f"file://{tmp_path}/t.csv").orderBy("row").collect()
-    assert [r.cells for r in rows] == [["a", "b"], ["x, y", "2"], ["3", "4"]]
+    assert [r.cells for r in rows] == [["a", "b"], ["x, y", "2"], ["3", "4"], ['p\nq "r"', "5"]]
     assert files.delimited(spark, f"file://{tmp_path}/t.csv", char_budget=7).count() == 2
 
 
@@ -47,7 +47,7 @@ def test_mail_functions(spark):
         mail.address(F.lit('"Ann" <Ann@X.org>')).alias("a"), mail.display_name(F.lit('"Ann L" <a@x>')).alias("n"), mail.address(F.lit("no address")).alias("none"),
         mail.sent_at(F.lit("Tue, 02 Jun 2026 16:30:01 +0800")).alias("t"), mail.sent_at(F.lit("2026-06-02T01:02:03Z")).alias("i"), mail.sent_at(F.lit("junk")).alias("j"),
         mail.own_text(F.lit(body)).alias("own"), mail.signature(F.lit("Hello there\nmore\nThanks,\nAnn")).alias("sig"),
-        mail.deadline(F.lit("please send by Friday"), day).alias("fri"), mail.deadline(F.lit("due 2026-07-01"), day).alias("iso"), mail.deadline(F.lit("within 3 days"), day).alias("in3"), mail.deadline(F.lit("whenever"), day).alias("never"),
+        mail.deadline(F.lit("please send by Friday"), day).alias("fri"), mail.deadline(F.lit("due 2026-07-01"), day).alias("iso"), mail.deadline(F.lit("in 3 days"), day).alias("in3"), mail.deadline(F.lit("whenever"), day).alias("never"),
         mail.questions(F.lit("Can you come? It is fine. Send it. Can you come?")).alias("q"), mail.owner_confidence(F.lit(False), F.lit("Send it")).alias("o"),
         mail.reuse(F.lit("one two three four five six"), F.lit("one two three")).alias("u"),
     ).first()
