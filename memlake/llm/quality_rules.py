@@ -37,7 +37,9 @@ SHARE = 0.25
 THRESHOLD = -0.12
 #: Fewest words of a document, and the largest percentage of its words in repeated 5-word windows.
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
-#: Trusted ids and digests of repeated texts are broadcast up to this number (some 16 and 60 bytes each); beyond it they are joined by a shuffle.
+#: N-grams that a task holds before it adds them up.
+HELD = 500_000
+#: Trusted ids and digests of repeated texts are broadcast up to this number (some 30 and 120 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
 _MIX, _PAIR = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -101,14 +103,28 @@ def ngram_counts(docs: DataFrame, text_col: str = "text", target_col: str = "is_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        held: list[list[np.ndarray]] = [[], []]  # n-grams of texts that are no targets, and of those that are
+
+        def added() -> None:
+            for flag, grams in enumerate(held):
+                if grams:
+                    got = np.bincount(np.concatenate(grams), minlength=BUCKETS)
+                    raw[:] += got
+                    target[:] += got * flag
+                    grams.clear()
+
+        size = 0
         for batch in batches:
-            for text, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (text or "").encode().split()
+            for text, flag in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = (text.as_py() or "").encode().split()
                 if words:
-                    got = np.bincount(buckets_of(hashed_words(words)), minlength=BUCKETS)
-                    raw += got
-                    if flag:
-                        target += got
+                    grams = buckets_of(hashed_words(words))
+                    held[bool(flag)].append(grams)
+                    size += len(grams)
+                    if size > HELD:
+                        added()
+                        size = 0
+        added()
         at = np.flatnonzero(raw)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])

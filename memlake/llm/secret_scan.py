@@ -34,7 +34,7 @@ except ImportError:  # before Python 3.11
 
 #: Documents of one segment of the postings: no posting list is longer.
 SEGMENT = 20_000
-#: Candidate ids are broadcast up to this number (16 bytes each); beyond it they are joined by a shuffle.
+#: Candidate ids are broadcast up to this number (some 30 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Literal alternatives followed up in a regex; wider ones count as unknown.
 MAX_STRINGS = 64
