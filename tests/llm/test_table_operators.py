@@ -297,6 +297,27 @@ def test_pipeline_against_plain_version(spark, tmp_path):
         assert got[i].ids == sp.encode(text, add_eos=True) and got[i].n_chars == len(text) and got[i].n_tokens == len(got[i].ids)
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Repeated and null ids, null and very long texts, columns named like results, no labels, no benchmark; and no documents."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    words = lambda p, n=30: " ".join(f"{p}{k}" for k in range(n))
+    long = words("long", 300_000)
+    rows = [(1, words("t")), (7, words("t")), (7, words("u")), (8, words("v")), (8, words("w")), (None, words("t")), (None, words("x")), (9, words("x")), (9, words("x")), (3, None), (4, ""), (None, None), (5, "few words"), (6, long), (11, long + " more"), (None, words("y")), (None, words("y"))]
+    docs = [(i, t, None, "s", None, True, 5, "z") for i, t in rows]
+    extra = SCHEMA + ", kept boolean, label long, ids string"
+    spark.createDataFrame(docs, extra).repartition(3).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], extra).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for d in "ab":
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+    kept = pipeline.near_duplicates(spark, pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/a/documents.parquet"), f"{tmp_path}/a"), f"{tmp_path}/a")
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=lambda r: r[1])
+    assert got == [(6, long), (1, words("t")), (7, words("u")), (8, words("v")), (8, words("w")), (9, words("x")), (None, words("y"))] and kept.columns == pipeline.COLUMNS
+    done = pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in done) == sorted((i or 0, len(t)) for i, t in got) and all(r.n_tokens == len(r.ids) for r in done)
+    assert pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_shared_root_is_the_sessions(spark):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert common.shared_root(spark) == root.rstrip("/") if root else common.shared_root(spark).startswith("file:")
