@@ -3,10 +3,17 @@
 Stages take (spark, docs, sf_dir). All but the last return the columns of documents.
 
 quality          documents that the rules reject go
-near_duplicates  of each class of linked documents one row stays, that with the smallest id
+near_duplicates  of each class of linked documents one row stays: that with the smallest id (nulls last), of
+                 equal ids that with the smallest hash of its text
 decontaminate    documents that hold a benchmark window go
 secrets          every span found is masked in the text; n_chars follows
 sentencepiece    ids of the text, with the end id, and their number
+
+Defined results: null and empty texts go in the first stage, as texts of fewer than 10 words do. Rows are
+told apart by id and text, null ids too, so that different texts under one id are different documents; of
+rows equal in both, one stays. Other columns may be null and go along as they are; columns that documents
+don't have by contract are left out. Empty tables give empty tables; without labels the first stage's
+ratios reject nothing, without benchmark items the third lets all pass. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from memlake.llm import decontaminate as windows
 from memlake.llm import entry, ngram_join, quality_rules, secret_scan, sentencepiece_codec
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Ids of documents that go are broadcast up to this number; beyond it they are joined by a shuffle.
+#: Rows (id, text hash) that go are broadcast up to this number (some 40 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
 
