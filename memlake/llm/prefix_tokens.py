@@ -20,8 +20,8 @@ MAX_PAIRS = 1_000_000
 PACKED = 1 << 16
 #: Code points of a text that are looked at together, about: a long text is cut before a space.
 PIECE = 1 << 18
-#: Bytes of strings that a cache holds in each of its two generations, each with some 150 for its entry; longer strings than LONG are not kept.
-CACHE_BYTES, LONG = 32 << 20, 64
+#: Bytes that a cache holds in each of its two generations, with ENTRY for an entry besides its texts; longer strings than LONG are not kept.
+CACHE_BYTES, ENTRY, LONG = 40 << 20, 120, 64
 
 _CUT = re.compile("(?<=[0-9A-Za-z]) ")
 
@@ -45,10 +45,10 @@ class Kept(dict):
         if (got := self.old.get(s)) is None:
             got = self.make(s)
         if len(s) <= LONG:
-            self.held += 4 * len(s) + 150
             if self.held > CACHE_BYTES:
-                self.old, self.held = dict(self), 4 * len(s) + 150
+                self.old, self.held = dict(self), 0
                 self.clear()
+            self.held += ENTRY + (len(s) if s.isascii() else 4 * len(s)) + (len(got) + 33 if isinstance(got, bytes) else 0)
             self[s] = got
         return got
 

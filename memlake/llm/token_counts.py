@@ -190,15 +190,25 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
 
 
 def _cut(bpe: ByteBpe, text: str, limit: int) -> int:
-    """longest(limit), from a table over no more of the text than can hold the limit's tokens.
+    """longest(limit), from a table over the one unit in which the limit falls.
 
-    Every token that is not special has at least one byte and at most a vocabulary entry's length, so a
-    head that already holds more than `limit` tokens before its last unit settles the question.
+    Every token that is not special has at least one byte and at most a vocabulary entry's length, so a head
+    that holds more than `limit` tokens before its last pieces settles the question.
     """
     size = 8 * limit
-    while size < len(text):
-        table = PrefixCounts(bpe, text[:size])
-        if len(table.units) > 2 and table.before[-2] > limit and not any(k in table.special for k in range(len(table.units))) and not (bpe.special and bpe.special.search(text[: size + 64])):
-            return table.longest(limit)
+    while size < len(text) and not (bpe.special and bpe.special.search(text, 0, size + 64)):
+        pieces, n = bpe.pieces(text[:size]), 0
+        for k, p in enumerate(pieces):
+            n += bpe.total(p)
+            if n > limit:
+                break
+        first = last = k
+        while first and pieces[first - 1].isspace():
+            first -= 1
+        while last < len(pieces) - 2 and pieces[last].isspace():
+            last += 1
+        if n > limit and last < len(pieces) - 2:
+            before = n - sum(map(bpe.total, pieces[first : k + 1]))
+            return sum(map(len, pieces[:first])) + PrefixCounts(bpe, "".join(pieces[first : last + 1])).longest(limit - before)
         size *= 4
     return PrefixCounts(bpe, text).longest(limit)
