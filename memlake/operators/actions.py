@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as X
+from memlake.operators.graph import rarest_words
+from memlake.shared import stored
 
 # Quotas, limits and thresholds that results depend on.
 QUOTAS = {"overdue": 3, "due_today": 3, "upcoming": 2}
@@ -55,11 +57,14 @@ def near_duplicates(actions: DataFrame, owner: str, id_col: str, day_col: str, t
     """Pairs of one owner within the window with nearly the same words.
 
     Days are dealt into buckets of the window's width; a row meets its own and the next bucket, so that the
-    interval join is an equality join.
+    interval join is an equality join; and rows meet by the rarest of their words only. Ids are unique.
     """
     words = F.array_distinct(X.tokens(F.col(text_col)))
-    rows = actions.select(owner, F.col(id_col).alias("id"), F.col(day_col).alias("day"), words.alias("w")).withColumn("cell", F.floor(F.unix_date("day") / (window_days + 1)))
-    left = rows.select(owner, F.col("id").alias("a"), F.col("day").alias("day_a"), F.col("w").alias("wa"), "cell")
-    right = rows.select(owner, F.col("id").alias("b"), F.col("day").alias("day_b"), F.col("w").alias("wb"), F.explode(F.array(F.col("cell"), F.col("cell") + 1, F.col("cell") - 1)).alias("cell"))
-    met = left.join(right, [owner, "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("day_a", "day_b")) <= window_days))
-    return met.withColumn("similarity", F.round(X.jaccard(F.col("wa"), F.col("wb")), 6)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    rows = stored(actions.select(F.col(owner).alias("owner"), F.col(id_col).alias("id"), F.col(day_col).alias("day"), words.alias("w")).where(F.size("w") > 0), "actions")
+    rare = rarest_words(rows, ["id"], "w", least, ["owner"]).join(rows.select("id", "day"), "id").withColumn("cell", F.floor(F.unix_date("day") / (window_days + 1)))
+    left = rare.select("owner", "word", F.col("id").alias("a"), F.col("day").alias("day_a"), "cell")
+    right = rare.select("owner", "word", F.col("id").alias("b"), F.col("day").alias("day_b"), F.explode(F.array(F.col("cell"), F.col("cell") + 1, F.col("cell") - 1)).alias("cell"))
+    met = left.join(right, ["owner", "word", "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("day_a", "day_b")) <= window_days)).select("a", "b").distinct()
+    of = lambda side, name: rows.select(F.col("id").alias(side), F.col("w").alias(name))
+    both = met.join(of("a", "wa"), "a").join(of("b", "wb"), "b")
+    return both.withColumn("similarity", F.round(X.jaccard(F.col("wa"), F.col("wb")), 6)).where(F.col("similarity") >= least).select("a", "b", "similarity")

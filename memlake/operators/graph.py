@@ -69,10 +69,7 @@ def text_clusters(texts: DataFrame, least: float = 0.12, size: int = 3) -> DataF
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{4,}(?![\p{L}\p{N}_])"), F.lit(0))))
     rows = written(texts.select("id", words.alias("w")).where(F.size("w") > 0), "words")
     sets = written(rows.groupBy("w").agg(F.min("id").alias("key")), "sets")
-    held = sets.select("key", F.size("w").alias("n"), F.explode("w").alias("word"))
-    counted = held.join(held.groupBy("word").agg(F.count("*").alias("times")), "word")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("times", "word"))
-    prefix = written(counted.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("key", "word"), "prefixes")
+    prefix = written(rarest_words(sets, ["key"], "w", least, []), "prefixes")
     met = prefix.toDF("a", "word").join(prefix.toDF("b", "word"), "word").where("a < b").select("a", "b").distinct()
     of = lambda side, name: sets.select(F.col("key").alias(side), F.col("w").alias(name))
     edges = met.join(of("a", "x"), "a").join(of("b", "y"), "b").where(X.jaccard(F.col("x"), F.col("y")) >= least).select("a", "b")
@@ -89,15 +86,25 @@ def extend_communities(edges: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.groupBy("node").agg(F.min_by("community", F.struct(-F.col("weight"), "community")).alias("community"))
 
 
+def rarest_words(sets: DataFrame, key: list[str], words: str, least: float, within: list[str]) -> DataFrame:
+    """(key.., word) of the rarest words of each set, as many as any two sets of Jaccard `least` share one of at least; how rare a word is counts `within` some columns."""
+    held = sets.select(*key, *[c for c in within if c not in key], F.size(words).alias("__n"), F.explode(words).alias("word"))
+    counted = held.join(held.groupBy(*within, "word").agg(F.count("*").alias("__times")), [*within, "word"])
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("__times", "word"))
+    return counted.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__n") - F.ceil(least * F.col("__n") - 1e-9) + 1).select(*key, *[c for c in within if c not in key], "word")
+
+
 def candidate_pairs(names: DataFrame, least: float = 0.3) -> DataFrame:
     """Pairs (a, b, similarity) of one kind that share a word. Names of equal words are one first, by their smallest id,
-    so that a frequent name is no large block; what equal names have in common is in survivors()."""
+    so that a frequent name is no large block (what equal names have in common is in survivors()); then pairs meet by
+    the rarer of their words only."""
     words = F.array_distinct(F.filter(X.tokens(F.col("name")), lambda w: F.char_length(w) > 1))
     rows = names.select("id", "kind", words.alias("w")).where(F.size("w") > 0)
-    sets = rows.groupBy("kind", F.array_sort("w").alias("w")).agg(F.min("id").alias("id"), F.count("*").alias("names"))
-    blocked = sets.select("kind", "id", "w", F.explode("w").alias("word"))
-    left, right = blocked.select("kind", "word", F.col("id").alias("a"), F.col("w").alias("wa")), blocked.select("kind", "word", F.col("id").alias("b"), F.col("w").alias("wb"))
-    pairs = left.join(right, ["kind", "word"]).where("a < b").groupBy("a", "b").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb"))
+    sets = written(rows.groupBy("kind", F.array_sort("w").alias("w")).agg(F.min("id").alias("id")), "names")
+    rare = written(rarest_words(sets, ["id"], "w", least, ["kind"]), "rare")
+    met = rare.select("kind", "word", F.col("id").alias("a")).join(rare.select("kind", "word", F.col("id").alias("b")), ["kind", "word"]).where("a < b").select("a", "b").distinct()
+    of = lambda side, name: sets.select(F.col("id").alias(side), F.col("w").alias(name))
+    pairs = met.join(of("a", "wa"), "a").join(of("b", "wb"), "b")
     return pairs.select("a", "b", F.round(X.jaccard(F.col("wa"), F.col("wb")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memlake.operators import retrieval as R
 from memlake.operators import search as S
 from memlake.plans import query
-from memlake.shared import fingerprint, shared_folder
+from memlake.shared import exists, fingerprint, shared_folder
 from memlake.sources.tables import load, messages
 
 QUERY, RARE, MISSING = "the reation", "hein inenan", "hein zzqqzz"
@@ -28,7 +28,7 @@ _indexes: dict[tuple, S.Index] = {}
 def index_of(spark: SparkSession, sf_dir: str) -> S.Index:
     """The index of the documents: built by the first search in an application, and anew when the files have changed."""
     key = spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet")
-    if key not in _indexes:
+    if key not in _indexes or not exists(spark, _indexes[key].uri):
         _indexes[key] = S.build(load(spark, sf_dir, "documents"), shared_folder(spark, "index"))
     return _indexes[key]
 
@@ -47,9 +47,8 @@ with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w
 select term, count(*) as tf, count(distinct doc_id) as df, sum(dl) as lengths from t group by 1
 """)
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index built anew, and what it holds of each term."""
-    index = S.build(load(spark, sf_dir, "documents"), shared_folder(spark, "index"))
-    posted = spark.read.parquet(f"{index.uri}/postings")
+    """The index that the searches read, and what it holds of each term."""
+    posted = spark.read.parquet(f"{index_of(spark, sf_dir).uri}/postings")
     return posted.groupBy("term").agg(F.sum(F.size("at").cast("long")).alias("tf"), F.count("*").alias("df"), F.sum(F.size("at") * F.col("dl").cast("long")).alias("lengths"))
 
 

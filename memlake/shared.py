@@ -52,6 +52,11 @@ def delete_folder(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, uri: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back."""
     uri = shared_folder(df.sparkSession, label)
