@@ -18,6 +18,9 @@ NO_ORG = ["external", "unknown", ""]
 REQUESTS, SAMPLE = 10, 40
 SWEEP = 20
 ALIKE, SLICE = 0.75, 10
+CORRECTIONS = 10
+ENTITY_KINDS = ["person", "org", "project", "meeting", "event", "topic"]
+RELATION_KINDS = ["works_at", "reports_to", "manages", "coordinates_with", "mentioned_with"]
 # End of fixed values.
 
 
@@ -113,6 +116,39 @@ def distilled(notes: DataFrame, verdicts: DataFrame, day: str) -> tuple[DataFram
     return done.drop("__v"), both.where("__v = 'promote'").select("doc_id", F.lit("memory_promotion").alias("finding_type"))
 
 
+def sanitized(rows: DataFrame) -> DataFrame:
+    """rows (.., entities, relations, actions) without items that are void by themselves, and `dropped`, how many those were.
+
+    Entities of a kind that isn't known go (none is as good as known), relations with a blank end or of a kind
+    that isn't known, actions without a description. Arrays of structs; null arrays stay null.
+    """
+    said = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    keep = {
+        "entities": lambda e: (F.coalesce(e["type"], F.lit("")) == "") | e["type"].isin(ENTITY_KINDS),
+        "relations": lambda r: said(r["source_name"]) & said(r["target_name"]) & F.coalesce(r["type"].isin(RELATION_KINDS), F.lit(False)),
+        "actions": lambda a: said(a["description"]),
+    }
+    cleaned = {c: _kept(c, test) for c, test in keep.items()}
+    lost = [F.when(F.col(c).isNull(), 0).otherwise(F.size(F.col(c)) - F.size(clean)) for c, clean in cleaned.items()]
+    return rows.withColumns({**cleaned, "dropped": lost[0] + lost[1] + lost[2]})
+
+
+def _kept(column: str, test) -> Column:
+    return F.filter(F.col(column), lambda x: test(x))
+
+
+def corrected(entities: DataFrame, corrections: DataFrame, most: int = CORRECTIONS) -> DataFrame:
+    """(position, id, field, new_value, revert_ref): corrections of roles and organisations of entities that are there, the first `most`, with what each replaces.
+
+    corrections: (position, id, field, new_value); other fields and blank values count for nothing.
+    """
+    wanted = corrections.where(F.col("field").isin("role", "org") & (_given("new_value") != ""))
+    known = wanted.join(entities.select("id", F.col("role").alias("__role"), F.col("org").alias("__org")), "id")
+    first = known.orderBy("position").limit(most)
+    old = F.coalesce(F.when(F.col("field") == "role", F.col("__role")).otherwise(F.col("__org")), F.lit(""))
+    return first.select("position", "id", "field", "new_value", F.concat("field", F.lit(":"), old).alias("revert_ref"))
+
+
 def capped_merges(verdicts: DataFrame, entities: DataFrame, most: int) -> DataFrame:
     """(loser, winner) of the verdicts (a, b, same, sure) that may be carried out: same, both there, of one kind, not of shared origin both, the surest first, each entity in one merge only."""
     of = lambda side: entities.select(F.col("id").alias(side), F.struct("kind", "origin", "degree").alias(f"__{side}"))

@@ -205,3 +205,34 @@ def chunks_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and their vectors; those without one are left out."""
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
     return load(spark, sf_dir, "documents").where("source is not null").select("doc_id", "lang").join(v, "doc_id")
+
+
+@query("""
+with c as (select conv_id, turn, ['person', 'alien', '', 'topic'][turn % 4 + 1] as kind, case when turn % 3 = 0 then '  ' else 'B' end as target, ['works_at', 'likes'][turn % 2 + 1] as relation, case when turn % 5 <> 0 then left(text, 5) end as action from conversations)
+select conv_id, turn, 1 + (kind <> 'alien')::int as entities, case when turn % 6 = 5 then null else (trim(target) <> '' and relation = 'works_at')::int end as relations, (trim(coalesce(action, '')) <> '')::int as actions,
+  (kind = 'alien')::int + case when turn % 6 = 5 then 0 else (not (trim(target) <> '' and relation = 'works_at'))::int end + (trim(coalesce(action, '')) = '')::int as dropped from c
+""")
+def sanitized_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that are void by themselves go, the rest of an extraction stays."""
+    turn = F.col("turn")
+    nth = lambda n, *values: F.array(*map(F.lit, values))[(turn % n).cast("int")]
+    entities = F.array(F.struct(F.lit("A").alias("name"), nth(4, "person", "alien", "", "topic").alias("type")), F.struct(F.lit("B").alias("name"), F.lit(None).cast("string").alias("type")))
+    relations = F.array(F.struct(F.lit("A").alias("source_name"), nth(2, "works_at", "likes").alias("type"), F.when(turn % 3 == 0, "  ").otherwise("B").alias("target_name")))
+    actions = F.array(F.struct(F.when(turn % 5 != 0, F.substring("text", 1, 5)).alias("description")))
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", entities.alias("entities"), F.when(turn % 6 != 5, relations).alias("relations"), actions.alias("actions"))
+    count = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).alias(c)
+    return E.sanitized(rows).select("conv_id", "turn", count("entities"), count("relations"), count("actions"), "dropped")
+
+
+@query("""
+with e as (select s_suppkey as id, 'role' || s_nationkey as role, case when s_suppkey % 2 = 0 then 'org' || s_nationkey end as org from supplier),
+c as (select s_suppkey as position, s_suppkey + s_suppkey % 3 as id, ['role', 'org', 'name'][s_suppkey % 3 + 1] as field, case when s_suppkey % 5 <> 0 then 'new' || s_suppkey else '' end as new_value from supplier)
+select position, id, field, new_value, field || ':' || coalesce(case when field = 'role' then role else org end, '') as revert_ref from c join e using (id) where field <> 'name' and new_value <> '' order by position limit 10
+""")
+def drain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten corrections that may be made, and how to take them back."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    s = load(spark, sf_dir, "supplier")
+    known = s.select(k.alias("id"), F.concat(F.lit("role"), n).alias("role"), F.when(k % 2 == 0, F.concat(F.lit("org"), n)).alias("org"))
+    said = s.select(k.alias("position"), (k + k % 3).alias("id"), F.array(F.lit("role"), F.lit("org"), F.lit("name"))[(k % 3).cast("int")].alias("field"), F.when(k % 5 != 0, F.concat(F.lit("new"), k.cast("string"))).otherwise("").alias("new_value"))
+    return E.corrected(known, said)
