@@ -27,6 +27,8 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python once, wherever the driver was started from."""
+    import atexit
+    import shutil
     import tempfile
     import zipfile
     from pathlib import Path
@@ -36,7 +38,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(context.applicationId)
     here = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="memlake-"), "memlake.zip")
+    folder = tempfile.mkdtemp(prefix="memlake-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder, "memlake.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for path in sorted(here.rglob("*.py")):
             z.write(path, path.relative_to(here.parent))
