@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,15 +44,21 @@ _NINES = bytes(57 if 48 <= b <= 57 else b for b in range(256))
 _LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalpha())
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets and their values."""
+def counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct buckets, how often each occurs, and the number of words."""
     raw = (text or "").encode()
     words = raw.translate(_WORDS).split()
     marks = raw.translate(_NINES, _LETTERS).split()
     found = [*map(zlib.crc32, words), *(zlib.crc32(m, 1) for m in marks), zlib.crc32(b"%d" % len(words).bit_length(), 2)]
     h = np.array(found, dtype=np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - BUCKETS.bit_length() + 1)
     at, n = np.unique(h, return_counts=True)
-    return at.astype(np.int32), np.log1p(n) / np.log(2 + len(words))
+    return at.astype(np.int32), n.astype(np.int32), len(words)
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and their values."""
+    at, n, words = counts(text)
+    return at, np.log1p(n) / np.log(2 + words)
 
 
 @dataclass
@@ -69,13 +76,11 @@ class OrdinalModel:
         return float(self.weights[at] @ x)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> OrdinalModel:
-    """Gradient steps (Adam, over all rows at once) on the cumulative-link likelihood; thresholds are ordered by their positive gaps."""
-    if not rows:
+def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, n_grades: int) -> OrdinalModel:
+    """row, col, val: the features of the rated documents, by document, bucket and value. Gradient steps (Adam, over all rows at once) on the cumulative-link likelihood; thresholds are ordered by their positive gaps."""
+    if not len(grades):
         return OrdinalModel(np.zeros(BUCKETS), np.log(np.arange(1, n_grades) / (n_grades - np.arange(1, n_grades))))
     y = np.asarray(grades)
-    row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
-    col, val = np.concatenate([a for a, _ in rows]), np.concatenate([x for _, x in rows])
     telling = _telling(row, col, val, y, n_grades)[col]
     row, col, val = row[telling], col[telling], val[telling]
     below = np.clip([(y <= k).mean() for k in range(n_grades - 1)], 0.01, 0.99)
@@ -100,7 +105,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     theta = np.concatenate([[p[BUCKETS]], p[BUCKETS] + np.cumsum(np.exp(p[BUCKETS + 1 :]))])
-    return OrdinalModel(p[:BUCKETS], theta, len(rows))
+    return OrdinalModel(p[:BUCKETS], theta, len(y))
 
 
 def _telling(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, n_grades: int) -> np.ndarray:
@@ -124,22 +129,26 @@ def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, text_col: st
 
     def make():
         def work(batch: list) -> list[pa.Array]:
-            got = [_largest(*features(t), max_features) for t in batch]
-            return [pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float64()))]
+            got = [_largest(*counts(t), max_features) for t in batch]
+            return [pa.array([a for a, _, _ in got], pa.list_(pa.int32())), pa.array([n for _, n, _ in got], pa.list_(pa.int32())), pa.array([w for _, _, w in got], pa.int32())]
 
         return work
 
-    fields = [C.field("at", T.ArrayType(T.IntegerType())), C.field("x", T.ArrayType(T.DoubleType()))]
-    rows = C.map_rows(texts, "text", make, fields, ["__id", "__grade"]).toPandas()
-    rows = rows.sort_values("__id", kind="stable")
-    return fit([(np.asarray(a), np.asarray(x)) for a, x in zip(rows["at"], rows["x"], strict=True)], rows["__grade"].to_numpy(dtype=np.int64), n_grades)
+    fields = [C.field("at", T.ArrayType(T.IntegerType())), C.field("n", T.ArrayType(T.IntegerType())), C.field("words", T.IntegerType())]
+    # held once, as Arrow has it; in the order of the ids, so that sums are the same on every run
+    rated = C.map_rows(texts, "text", make, fields, ["__id", "__grade"]).drop("text").toArrow()
+    rated = rated.take(pc.sort_indices(rated, sort_keys=[("__id", "ascending")])).combine_chunks()
+    at, n = rated.column("at").combine_chunks(), rated.column("n").combine_chunks()
+    row = np.repeat(np.arange(len(at), dtype=np.int32), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+    val = np.log1p(n.flatten().to_numpy()) / np.log(2 + rated.column("words").to_numpy())[row]
+    return fit(row, at.flatten().to_numpy(), val, rated.column("__grade").to_numpy().astype(np.int64), n_grades)
 
 
-def _largest(at: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _largest(at: np.ndarray, n: np.ndarray, words: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     if len(at) <= most:
-        return at, x
-    keep = np.sort(np.argsort(-x, kind="stable")[:most])
-    return at[keep], x[keep]
+        return at, n, words
+    keep = np.sort(np.argsort(-n, kind="stable")[:most])
+    return at[keep], n[keep], words
 
 
 def classify(docs: DataFrame, model: OrdinalModel, cut: int, text_col: str = "text", keep: float = KEEP, carry: list[str] | None = None) -> DataFrame:
