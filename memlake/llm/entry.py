@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm import chat_format as op5
 from memlake.llm import common as C
+from memlake.llm import conversation_trie as op11
 from memlake.llm import decontaminate as op7
 from memlake.llm import kd_shards as op4
 from memlake.llm import ngram_join as op1
@@ -104,6 +105,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), carry=["doc_id"])
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations, turns = op11.regenerated(table(spark, sf_dir, "conversations"))
+    return op11.prefix_trie(conversations, turns).drop("prefix")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: f for name, f in globals().items() if name.startswith("op") and "_" in name and callable(f)}
     return own | {"pipeline": pipeline}

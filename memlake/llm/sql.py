@@ -83,3 +83,37 @@ select page_id, payload_bytes, payload_digest, case when first is null or first
   case when first <> page_id then first end as refers_to
 from p left join f using (payload_digest)
 """
+
+ORACLES["op11_conversation_trie"] = """
+with r as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as place
+  from conversations where conv_id is not null
+), digits as (select conv_id, place, sha256(length(role) || ':' || role || text) as t, strlen(text) as b from r
+), bytes as (
+  select conv_id, list_transform(range(1, length(conv_id::varchar) + 1), lambda k: ascii((conv_id::varchar)[k])) as cs from (select distinct conv_id from r)
+), crcs as (
+  -- CRC-32 of the decimal digits, bit by bit
+  select conv_id, xor(list_reduce(cs, lambda crc, c: list_reduce(range(8), lambda x, _: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(crc, c)), 4294967295::bigint), 4294967295) % 9 as h from bytes
+), named as (select conv_id, conv_id - conv_id % 5 as base, h from crcs
+), taken as (select n.conv_id, n.h, least(n.h, coalesce(max(d.place), 0)) as m from named n left join digits d on d.conv_id = n.base group by n.conv_id, n.h
+), turns as (
+  select n.conv_id, d.place as depth, d.t, d.b from named n join digits d on d.conv_id = n.base and d.place <= n.h
+  union all select n.conv_id, d.place - n.h + n.m, d.t, d.b from taken n join digits d on d.conv_id = n.conv_id and d.place > n.h
+), paths as (
+  select conv_id, depth, b, string_agg(t, '') over (partition by conv_id order by depth) as prefix, count(*) over (partition by conv_id) as n from turns
+  union all select conv_id, 0, 0, '', coalesce(n, 0) from named left join (select conv_id, count(*) as n from turns group by 1) using (conv_id)
+), nodes as (
+  select depth, prefix, min(conv_id) as conv_id, count(*) as n_convs, any_value(b) as b, substr(prefix, 1, length(prefix) - 64) as parent,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = depth), '')) as ends_sha256
+  from paths group by depth, prefix
+), kids as (select depth - 1 as depth, parent as prefix, count(*) as n_children from nodes where depth > 0 group by all
+), known as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids using (depth, prefix)
+), above as (
+  select p.depth, p.prefix, sum((k.n_children = 0)::int) as n_leaves, sum((k.n_convs - 1) * k.b) as saved_tokens
+  from known k join paths p on p.conv_id = k.conv_id and p.depth <= k.depth group by all
+)
+select k.conv_id::bigint as conv_id, k.depth::bigint as depth, p.conv_id::bigint as parent_conv_id, k.n_convs::bigint as n_convs, k.n_children::bigint as n_children,
+  a.n_leaves::bigint as n_leaves, a.saved_tokens::bigint as saved_tokens, k.ends_sha256
+from known k join above a using (depth, prefix) left join nodes p on k.depth > 0 and p.depth = k.depth - 1 and p.prefix = k.parent
+"""
