@@ -12,6 +12,7 @@ from memlake.llm import chat_format as op5
 from memlake.llm import common as C
 from memlake.llm import conversation_trie as op11
 from memlake.llm import decontaminate as op7
+from memlake.llm import frequent_baskets as op12
 from memlake.llm import kd_shards as op4
 from memlake.llm import ngram_join as op1
 from memlake.llm import ordinal_quality as op3
@@ -110,6 +111,23 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11.prefix_trie(conversations, turns).drop("prefix")
 
 
+def op12_frequent_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined, n_baskets = op12.itemsets(table(spark, sf_dir, "sale_lines").select("sale_id", "item_id"))
+    sets = C.stored(op12.closed(mined), "closed")
+    found = op12.rules(sets, mined, n_baskets)
+    line = F.concat_ws(":", F.col("item").cast("string"), F.col("without").cast("string"), F.col("own").cast("string"))
+    held = found.groupBy("items").agg(F.count("*").alias("n"), F.min(F.struct("without", "item"))["item"].alias("best_item"), F.sort_array(F.collect_list(F.struct("item", line.alias("line")))).alias("rules"))
+    listed = F.concat_ws(";", F.transform("rules", lambda r: r["line"]))
+    return sets.join(held.hint("merge"), "items", "left").select(
+        F.concat_ws(",", F.transform(F.sort_array("items"), lambda i: i.cast("string"))).alias("items"),
+        "n_items",
+        "support",
+        F.coalesce("n", F.lit(0).cast("long")).alias("n_rules"),
+        "best_item",
+        F.sha2(F.coalesce(listed, F.lit("")), 256).alias("rules_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: f for name, f in globals().items() if name.startswith("op") and "_" in name and callable(f)}
     return own | {"pipeline": pipeline}

@@ -117,3 +117,31 @@ select k.conv_id::bigint as conv_id, k.depth::bigint as depth, p.conv_id::bigint
   a.n_leaves::bigint as n_leaves, a.saved_tokens::bigint as saved_tokens, k.ends_sha256
 from known k join above a using (depth, prefix) left join nodes p on k.depth > 0 and p.depth = k.depth - 1 and p.prefix = k.parent
 """
+
+ORACLES["op12_frequent_baskets"] = """
+with recursive b as (select distinct sale_id, item_id from sale_lines where sale_id is not null and item_id is not null),
+n as (select count(distinct sale_id)::bigint as baskets from b),
+f as (select item_id, count(*)::bigint as s, list(sale_id) as tids from b group by 1 having count(*) >= 8 and count(*) * 5000 >= (select baskets from n)),
+fb as (select sale_id, item_id from b semi join f using (item_id)),
+pr as (
+  select x.item_id as lo, y.item_id as hi from fb x join fb y on x.sale_id = y.sale_id and x.item_id < y.item_id
+  group by all having count(*) >= 8 and count(*) * 5000 >= (select baskets from n)
+), sets as (
+  select [item_id] as items, item_id as last, s, tids from f
+  union all
+  select items, last, len(tids)::bigint as s, tids
+  from (select list_append(sets.items, f.item_id) as items, f.item_id as last, list_intersect(sets.tids, f.tids) as tids from sets join pr on pr.lo = sets.last join f on f.item_id = pr.hi)
+  where len(tids) >= 8 and len(tids) * 5000 >= (select baskets from n)
+), named as (select array_to_string(items, ',') as name, items, s from sets
+), less as (
+  select name, s, items[k] as c, array_to_string(list_concat(items[1:k - 1], items[k + 1:]), ',') as rest from (select *, unnest(range(1, len(items) + 1)) as k from named where len(items) > 1)
+), open as (select distinct l.rest as name from less l join named p on p.name = l.rest and p.s = l.s
+), held as (
+  select l.name, l.c, p.s as a, f.s as own from less l join named p on p.name = l.rest join f on f.item_id = l.c, n
+  where 100 * l.s >= 10 * p.s and l.s * baskets > p.s * f.s
+), r as (
+  select name, count(*)::bigint as n_rules, (arg_min(c, {'a': a, 'c': c}))::bigint as best_item, sha256(string_agg(c || ':' || a || ':' || own, ';' order by c)) as rules_sha256 from held group by 1
+)
+select named.name as items, len(items)::bigint as n_items, s::bigint as support, coalesce(n_rules, 0) as n_rules, best_item, coalesce(rules_sha256, sha256('')) as rules_sha256
+from named anti join open using (name) left join r using (name)
+"""
