@@ -12,6 +12,7 @@ from memlake.llm import chat_format as op5
 from memlake.llm import common as C
 from memlake.llm import conversation_trie as op11
 from memlake.llm import decontaminate as op7
+from memlake.llm import edit_fingerprints as op13
 from memlake.llm import frequent_baskets as op12
 from memlake.llm import kd_shards as op4
 from memlake.llm import ngram_join as op1
@@ -128,6 +129,10 @@ def op12_frequent_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.beside_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: f for name, f in globals().items() if name.startswith("op") and "_" in name and callable(f)}
     return own | {"pipeline": pipeline}
