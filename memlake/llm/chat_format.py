@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memlake.llm import common as C
 
@@ -85,23 +86,34 @@ def _marked(mark: re.Pattern, formatted: str, at: int) -> re.Match:
     raise ValueError(f"no mark after {at}")
 
 
-def events_of_rows(rows: DataFrame) -> DataFrame:
-    """The log of plain rows (conv_id, turn, role, text): each opens a message and streams its text in deltas."""
+def events_of_rows(rows: DataFrame, revised: bool = False) -> DataFrame:
+    """The log of plain rows (conv_id, turn, role, text): each opens a message and streams its text in deltas, cut in one pass.
+
+    revised: the log also tells how messages came about, and folds to the same rows. By the hash of role and
+    text a third of them has a draft that is regenerated, and beside it a message that is deleted; a third opens with a draft
+    that is edited. Drafts are the first delta.
+    """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    n = F.greatest(F.lit(1), F.ceil(F.char_length("__text") / DELTA_CHARS)).cast("int")
-    part = F.substring(F.col("__text"), (F.col("part") - 1) * DELTA_CHARS + 1, F.lit(DELTA_CHARS))
     base = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("__role"), text.alias("__text"), F.monotonically_increasing_id().alias("message"))
-    base = base.withColumn("tie", F.xxhash64("__role", "__text"))
-    return base.select("*", F.explode(F.sequence(F.lit(0), n)).alias("part")).select(
-        "conv_id",
-        "turn",
-        "tie",
-        "message",
-        "part",
-        F.when(F.col("part") == 0, F.lit("open")).otherwise(F.lit("delta")).alias("kind"),
-        F.when(F.col("part") == 0, F.col("__role")).alias("role"),
-        F.when(F.col("part") > 0, part).otherwise(F.lit("")).alias("text"),
-    )
+    cut = F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
+    base = base.withColumns({"tie": F.xxhash64("__role", "__text"), "parts": cut})
+
+    def event(kind: str, said: Column | str = "", withdrawn: bool = False) -> Column:
+        words = said if isinstance(said, Column) else F.lit(said)
+        return F.struct(F.lit(kind).alias("kind"), F.when(F.lit(kind == "open"), F.col("__role")).alias("role"), words.alias("text"), F.lit(withdrawn).alias("withdrawn"))
+
+    deltas = lambda parts: F.transform(parts, lambda p: event("delta", p))
+    draft = F.coalesce(F.get("parts", F.lit(0)), F.lit(""))
+    plain = F.concat(F.array(event("open")), deltas("parts"))
+    events = plain
+    if revised:
+        again = F.concat(F.array(event("open", draft, True), event("delete", "", True), event("open"), event("delta", draft), event("regenerate")), deltas("parts"))
+        mended = F.concat(F.array(event("open", F.concat(draft, F.lit("?"))), event("edit", draft)), deltas(F.slice("parts", F.lit(2), F.greatest(F.size("parts"), F.lit(1)))))
+        third = F.pmod("tie", F.lit(3))
+        events = F.when(third == 0, again).when(third == 1, mended).otherwise(plain)
+    each = base.select("conv_id", "turn", "tie", "message", F.posexplode(events).alias("part", "event"))
+    message = F.when(F.col("event.withdrawn"), -1 - F.col("message")).otherwise(F.col("message"))
+    return each.select("conv_id", "turn", "tie", message.alias("message"), "part", "event.kind", "event.role", "event.text")
 
 
 _ORDER = ["conv_id", "turn", "tie", "message", "part"]
@@ -134,7 +146,7 @@ def format_chats(events: DataFrame, segment_chars: int = SEGMENT_CHARS, loss_rol
     A conversation's segments follow one another in the order of `segment`; most conversations have one.
     """
     C.small_batches(events.sparkSession)
-    id_type = events.schema["conv_id"].dataType.simpleString()
+    id_type, id_arrow = _types(events)
     log = events.select(*_ORDER, "kind", "role", "text").repartitionByRange(*_ORDER[:4]).sortWithinPartitions(*_ORDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +163,7 @@ def format_chats(events: DataFrame, segment_chars: int = SEGMENT_CHARS, loss_rol
 
         def batch() -> pa.RecordBatch:
             kinds = [None, pa.int64(), pa.int64(), pa.string(), _LOSS]
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) if k else pa.array(c, _arrow(id_type)) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "segment", "n_turns", "formatted", "loss"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, k or id_arrow) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "segment", "n_turns", "formatted", "loss"])
             rows.clear()
             return out
 
@@ -177,14 +189,16 @@ def format_chats(events: DataFrame, segment_chars: int = SEGMENT_CHARS, loss_rol
     return log.mapInArrow(run, FORMATTED.format(id=id_type))
 
 
-def _arrow(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+def _types(df: DataFrame) -> tuple[str, pa.DataType]:
+    """The type of conv_id, as Spark and as Arrow name it."""
+    kind = df.schema["conv_id"].dataType
+    return kind.simpleString(), to_arrow_type(kind)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Of each conversation, read back from its segments as they follow one another: its turns, loss text and length."""
     C.small_batches(formatted.sparkSession)
-    id_type = formatted.schema["conv_id"].dataType.simpleString()
+    id_type, id_arrow = _types(formatted)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +227,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         return (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5])
 
     def _rows(done: list[tuple]) -> pa.RecordBatch:
-        kinds = [_arrow(id_type), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [id_arrow, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
     ordered = formatted.select("conv_id", "segment", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "segment")

@@ -72,7 +72,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
-    return op5.digests(op5.format_chats(op5.events_of_rows(rows)))
+    return op5.digests(op5.format_chats(op5.events_of_rows(rows, revised=True)))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
