@@ -5,9 +5,10 @@ thresholds. A document gets its expected grade and the tail probability P(grade
 selected. Features: words (letters and digits, A-Z lower-cased), what is left of words without letters
 (digits as 9), and the length's order of magnitude; each bucket has log(1 + count) / log(2 + words).
 
-The fit takes at most `max_rows` rated documents, those of the smallest id hashes, and of each at most
-`max_features` features, those of the largest values; so the sample is the same on every run and its
-features (not texts) fit the driver. All documents are scored, by all their features.
+The fit takes rated documents in the order of their id hashes, at most `max_rows` of them and no more than have
+`max_cells` features together (the first one always); each of them with all its features. So the sample is the
+same on every run, and its features (not texts) fit the driver: some 40 bytes each while the fit runs, 0.5 GB in
+all. All documents are scored, by all their features.
 
 Defined results: a null or empty text has the length feature only. Ratings whose document is missing and
 null ratings are passed over; an id rated more than once counts with its lowest grade, and an id of
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 from memlake.llm import common as C
 
 BUCKETS = 1 << 16
-MAX_ROWS, MAX_FEATURES = 12_000, 2048
+#: Rated documents of the fit, and features of them all: the bounds of the sample.
+MAX_ROWS, MAX_CELLS = 12_000, 12_000_000
 STEPS, RATE, SHRINK = 250, 0.08, 1e-4
 #: Buckets take part in the fit if their score statistic at zero weights is this large for some grade, and they occur in this many rated documents.
 LEAST_Z, LEAST_ROWS = 5.0, 5
@@ -119,7 +121,7 @@ def _telling(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, n
     return (largest >= LEAST_Z) & (np.bincount(col, minlength=BUCKETS) >= LEAST_ROWS)
 
 
-def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, text_col: str = "text", id_col: str = "doc_id", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> OrdinalModel:
+def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, text_col: str = "text", id_col: str = "doc_id", max_rows: int = MAX_ROWS, max_cells: int = MAX_CELLS) -> OrdinalModel:
     """ratings: (id, grade from 0 to n_grades - 1)."""
     rated = ratings.toDF("__id", "__grade").where("__id is not null and __grade is not null").groupBy("__id").agg(F.min("__grade").alias("__grade"))
     sample = rated.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
@@ -129,14 +131,21 @@ def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, text_col: st
 
     def make():
         def work(batch: list) -> list[pa.Array]:
-            got = [_largest(*counts(t), max_features) for t in batch]
+            got = [counts(t) for t in batch]
             return [pa.array([a for a, _, _ in got], pa.list_(pa.int32())), pa.array([n for _, n, _ in got], pa.list_(pa.int32())), pa.array([w for _, _, w in got], pa.int32())]
 
         return work
 
     fields = [C.field("at", T.ArrayType(T.IntegerType())), C.field("n", T.ArrayType(T.IntegerType())), C.field("words", T.IntegerType())]
+    counted = C.stored(C.map_rows(texts, "text", make, fields, ["__id", "__grade"]).drop("text").withColumn("place", F.xxhash64("__id")), "rated")
+    # at most max_rows sizes: up to which place all features fit
+    sizes = sorted(map(tuple, counted.select("place", "__id", F.size("at")).collect()))
+    fits = 1 + int(np.searchsorted(np.cumsum([n for *_, n in sizes][1:]) + (sizes[0][2] if sizes else 0), max_cells, side="right"))
+    if fits < len(sizes):
+        place, last, _ = sizes[fits - 1]
+        counted = counted.where((F.col("place") < place) | ((F.col("place") == place) & (F.col("__id") <= last)))
     # held once, as Arrow has it; in the order of the ids, so that sums are the same on every run
-    rated = C.map_rows(texts, "text", make, fields, ["__id", "__grade"]).drop("text").toArrow()
+    rated = counted.drop("place").toArrow()
     rated = rated.take(pc.sort_indices(rated, sort_keys=[("__id", "ascending")])).combine_chunks()
     at, n = rated.column("at").combine_chunks(), rated.column("n").combine_chunks()
     row = np.repeat(np.arange(len(at), dtype=np.int32), pc.list_value_length(at).to_numpy(zero_copy_only=False))
@@ -144,13 +153,6 @@ def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, text_col: st
     return fit(row, at.flatten().to_numpy(), val, rated.column("__grade").to_numpy().astype(np.int64), n_grades)
 
 
-def _largest(at: np.ndarray, n: np.ndarray, words: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    if len(at) <= most:
-        return at, n, words
-    keep = np.sort(np.argsort(-n, kind="stable")[:most])
-    return at[keep], n[keep], words
-
-
 def classify(docs: DataFrame, model: OrdinalModel, cut: int, text_col: str = "text", keep: float = KEEP, carry: list[str] | None = None) -> DataFrame:
     """Add expected_grade, tail_probability (of a grade of cut at least) and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,10 +1,12 @@
 """Operators on single texts, against plain versions or the libraries."""
 
 import hashlib
+import math
 import os
 import re
 import subprocess
 import sys
+import zlib
 from collections import Counter
 
 import ahocorasick  # noqa: F401
@@ -107,6 +109,80 @@ def test_quality_verdicts_do_not_depend_on_the_corpus_size(spark):
     assert verdicts[0] == {(i, i % 5 != 4) for i in range(60)}
 
 
+def plain_grams(text):
+    """Buckets of words and of pairs, in whole numbers."""
+    u = [zlib.crc32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    every = u + [(a * 0x85EBCA6B % 2**32) ^ ((b + 0x9E3779B1) % 2**32) for a, b in zip(u, u[1:])]
+    return [x * 0x9E3779B1 % 2**32 >> 16 for x in every]
+
+
+def plain_verdicts(rows):
+    """rows (text, target): of each distinct text its mean ratio without itself, and whether it is kept."""
+    flags = {}
+    for text, flag in rows:
+        if text is not None:
+            flags[text] = flags.get(text, False) or flag
+    grams = {t: Counter(plain_grams(t)) for t in flags}
+    raw = sum(grams.values(), Counter())
+    target = sum((g for t, g in grams.items() if flags[t]), Counter())
+    out = {}
+    for text, own in grams.items():
+        n = sum(own.values())
+        n_raw, n_target = sum(raw.values()) - n, sum(target.values()) - n * flags[text]
+        total = 0.0
+        for b, k in own.items():
+            r, t = raw[b] - k, target[b] - k * flags[text]
+            if r > 0 and n_target > 0:
+                total += k * math.log((t / n_target / (r / n_raw) + 0.25) / 1.25)
+        words, _, _, _, repeated = plain_base(text)
+        mean = total / n if n else 0.0
+        out[text] = mean, words >= 10 and 100 * repeated <= 20 * words and mean >= -0.12
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_quality_verdict_against_a_plain_version(spark, seed):
+    """Row by row: texts near the line, repeated rows of mixed flags, a text that is the only target, hot words."""
+    rng = np.random.default_rng(seed)
+    good, bad = [f"g{k}" for k in range(40)], [f"b{k}" for k in range(40)]
+    rows = []
+    for i in range(150):
+        share = (i % 11) / 10
+        text = " ".join(rng.choice(good if rng.random() < share else bad) for _ in range(rng.integers(5, 60)))
+        rows.append((text, bool(share > 0.6 and rng.random() < 0.5)))
+    rows += [(rows[3][0], True), (rows[3][0], False), *[(rows[70][0], False)] * 20, (None, True), ("", True), ("é ü 漢 " * 9, False)]
+    if seed == 2:  # one target only
+        rows = [(t, k == 140) for k, (t, _) in enumerate(rows)]
+    docs = spark.createDataFrame([(i, t, None) for i, (t, _) in enumerate(rows)], "doc_id long, text string, kept boolean").repartition(4)
+    targets = spark.createDataFrame([(i,) for i, (_, flag) in enumerate(rows) if flag], "i long")
+    want = plain_verdicts(rows)
+    got = quality_rules.quality_rules(docs, targets).collect()
+    means = [want[r.text][0] for r in got if r.text]
+    assert len(got) == len(rows) and (seed == 2 or min(abs(m + 0.12) for m in means) < 0.02)
+    for r in got:
+        mean, kept = want.get(r.text, (0.0, False))
+        assert r.kept == kept or abs(mean + 0.12) < 1e-9, (r.text, mean)
+    assert seed == 2 or 0.1 < sum(r.kept for r in got) / len(got) < 0.9
+
+
+def test_ordinal_fit_takes_features_whole(spark):
+    """The sample is bounded by its features together; no document loses any of its own."""
+    wide = " ".join(f"v{k}" for k in range(9000))
+    docs = spark.createDataFrame([(i, f"{'fine' if i % 2 else 'awful'} {wide if i % 7 == 0 else 'plain words'}") for i in range(60)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, grade int")
+    seen = []
+    whole = ordinal_quality.fit
+    try:
+        ordinal_quality.fit = lambda row, col, val, grades, n: seen.append((np.bincount(row), len(grades))) or whole(row, col, val, grades, n)
+        ordinal_quality.fit_ratings(docs, ratings, 2)
+        ordinal_quality.fit_ratings(docs, ratings, 2, max_cells=20_000)
+        ordinal_quality.fit_ratings(docs, ratings, 2, max_cells=1)
+    finally:
+        ordinal_quality.fit = whole
+    assert seen[0][1] == 60 and sorted(seen[0][0])[-9] > 8000
+    assert 1 < seen[1][1] < 60 and seen[1][0].sum() <= 20_000 and seen[2][1] == 1
+
+
 #: The contract's kinds, then the added ones.
 PLAIN_RULES = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
