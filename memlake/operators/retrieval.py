@@ -123,16 +123,29 @@ def bm25(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col:
 
 
 def best(counted: DataFrame, stats: DataFrame, n_phrases: int, k: int, id_col: str, fallback: bool = True) -> DataFrame:
-    """The k best (id, score) of rows (id, dl, tf0, tf1, ..) that hold any phrase, or more; stats: one row (N, avgdl) of the corpus."""
+    """The k best (id, score) of rows (id, dl, tf0, tf1, ..) that hold all phrases, or any of them if no row has all; stats: one row (N, avgdl) of the corpus."""
+    return best_of(counted.join(F.broadcast(stats), F.lit(True)), F.col("N"), F.col("avgdl"), n_phrases, k, id_col, fallback)
+
+
+def best_of(counted: DataFrame, n_docs: Column, mean: Column, n_phrases: int, k: int, id_col: str, fallback: bool = True, known: dict[int, int] | None = None) -> DataFrame:
+    """As best, the corpus' size and mean length given; known: of some phrases how many documents have them, others are counted.
+
+    Rows with all phrases come first in one list of k, so that whether there are any needs no pass of its own.
+    """
+    known = known or {}
     tf = [F.col(f"tf{i}") for i in range(n_phrases)]
-    both = reduce(lambda a, b: a & b, [t > 0 for t in tf])
-    found = counted.agg(F.count_if(both).alias("n_all"), *[F.count_if(t > 0).alias(f"n{i}") for i, t in enumerate(tf)])
-    scored = counted.join(F.broadcast(stats), F.lit(True)).join(F.broadcast(found), F.lit(True))
-    idf = lambda i: F.greatest(F.lit(LEAST_IDF), F.log((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)))
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    every = reduce(lambda a, b: a & b, [t > 0 for t in tf])
+    some = reduce(lambda a, b: a | b, [t > 0 for t in tf])
+    unknown = [i for i in range(n_phrases) if i not in known]
+    scored = counted.join(F.broadcast(counted.agg(*[F.count_if(tf[i] > 0).alias(f"n{i}") for i in unknown])), F.lit(True)) if unknown else counted
+    df = lambda i: F.lit(known[i]) if i in known else F.col(f"n{i}")
+    idf = lambda i: F.greatest(F.lit(LEAST_IDF), F.log((n_docs - df(i) + 0.5) / (df(i) + 0.5)))
+    norm = K1 * (1 - B + B * F.col("dl") / mean)
     score = -reduce(lambda a, b: a + b, [idf(i) * t * (K1 + 1) / (t + norm) for i, t in enumerate(tf)])
-    wanted = both | ((F.col("n_all") == 0) & reduce(lambda a, b: a | b, [t > 0 for t in tf])) if fallback and n_phrases > 1 else both
-    return scored.where(wanted).select(id_col, F.round(score, 6).alias("score")).orderBy("score", id_col).limit(k)
+    wanted = some if fallback and n_phrases > 1 else every
+    top = scored.where(wanted).select(id_col, F.round(score, 6).alias("score"), every.alias("all")).orderBy(F.desc("all"), "score", id_col).limit(k)
+    whole = F.max("all").over(Window.partitionBy(F.lit(1)))  # of a top-k list
+    return top.withColumn("whole", whole).where(F.col("all") == F.col("whole")).orderBy("score", id_col).select(id_col, "score")
 
 
 def over(*order: Column) -> Window:

@@ -38,7 +38,7 @@ class Index:
 
     def postings(self, spark: SparkSession, words: Sequence[str]) -> DataFrame:
         """(term, id, dl, at) of some terms."""
-        buckets = [_bucket(F.lit(w)) for w in words]
+        buckets = [bucket(F.lit(w)) for w in words]
         return spark.read.schema(f"term string, {self.id_col} {self.id_type}, dl int, at array<int>, bucket int").parquet(f"{self.uri}/postings").where(F.col("bucket").isin(*buckets) & F.col("term").isin(*words)).drop("bucket")
 
     def stats(self, spark: SparkSession) -> DataFrame:
@@ -46,24 +46,39 @@ class Index:
         return spark.read.schema("N long, avgdl double").parquet(f"{self.uri}/stats")
 
 
-def _bucket(term: Column) -> Column:
+def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def build(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Write the index of docs. The only shuffle deals out words by bucket and part."""
-    words = docs.select(id_col, tokens(F.col(text_col)).alias("w"))
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     stats = words.agg(F.count("*").alias("N"), F.avg(F.size("w")).alias("avgdl")).withColumn("avgdl", F.coalesce("avgdl", F.lit(0.0)))
     stats.write.parquet(f"{uri}/stats")
     n_docs = docs.sparkSession.read.parquet(f"{uri}/stats").first()["N"]
-    each = words.select(id_col, F.size("w").alias("dl"), F.posexplode("w").alias("place", "term"))
-    part = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n_docs // PART_DOCS)))).cast("int")
-    dealt = each.withColumns({"bucket": _bucket(F.col("term")), "part": part}).repartition("bucket", "part")
-    posted = dealt.groupBy("bucket", "part", "term", id_col).agg(F.max("dl").alias("dl"), F.sort_array(F.collect_list("place")).alias("at"))
-    posted.drop("part").sortWithinPartitions("bucket", "term", id_col).write.partitionBy("bucket").parquet(f"{uri}/postings")
+    write_postings(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), f"{uri}/postings", n_docs, id_col)
     return Index(uri, id_col, docs.schema[id_col].dataType.simpleString())
 
 
+def write_postings(docs: DataFrame, uri: str, n_docs: int | None = None, id_col: str = "id") -> None:
+    """Postings of docs (id, text): a document's words are sorted and put together in its row, so that the shuffle has one row for each of its terms."""
+    n_docs = docs.count() if n_docs is None else n_docs
+    words = docs.select("id", F.array_sort(F.transform(tokens(F.col("text")), lambda w, k: F.struct(w.alias("term"), k.alias("place")))).alias("w"))
+    # where a term begins among the sorted words
+    starts = F.filter(F.transform("w", lambda x, k: F.when((k == 0) | (x["term"] != F.get("w", k - 1)["term"]), k)), lambda k: k.isNotNull())
+    named = words.where(F.size("w") > 0).select("id", "w", F.size("w").alias("dl"), starts.alias("starts"))
+    ends = lambda k: F.coalesce(F.get("starts", k + 1), F.col("dl"))
+    terms = F.transform("starts", lambda s, k: F.struct(F.get("w", s)["term"].alias("term"), F.transform(F.slice("w", s + 1, ends(k) - s), lambda x: x["place"]).alias("at")))
+    write_sorted(named.select("id", "dl", F.inline(terms)), uri, n_docs, id_col)
+
+
+def write_sorted(posted: DataFrame, uri: str, n_docs: int, id_col: str = "id") -> None:
+    """Write postings (term, id, dl, at) by bucket; parts of a bucket by the id's hash."""
+    part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_docs // PART_DOCS)))).cast("int")
+    dealt = posted.withColumns({"bucket": bucket(F.col("term")), "part": part}).repartition("bucket", "part")
+    dealt.select("term", F.col("id").alias(id_col), "dl", "at", "bucket").sortWithinPartitions("bucket", "term", id_col).write.partitionBy("bucket").parquet(uri)
+
+
 def phrase_count(places: Sequence[Column]) -> Column:
     """How often words follow one another, of the places of each."""
     if len(places) == 1:
@@ -78,11 +93,15 @@ def bm25(spark: SparkSession, index: Index, query: str, k: int, fallback: bool =
     words = sorted({w for p in phrases for w in p})
     if not words:
         return index.postings(spark, [""]).select(index.id_col, F.lit(0.0).alias("score")).limit(0)
-    none = F.array().cast("array<int>")
-    held = index.postings(spark, words).groupBy(index.id_col).agg(F.max("dl").alias("dl"), *[F.coalesce(F.max(F.when(F.col("term") == w, F.col("at"))), none).alias(f"at{i}") for i, w in enumerate(words)])
+    return R.best(counted(index.postings(spark, words), phrases, index.id_col), index.stats(spark), len(phrases), k, index.id_col, fallback)
+
+
+def counted(postings: DataFrame, phrases: Sequence[Sequence[str]], id_col: str) -> DataFrame:
+    """(id, dl, tf0, tf1, ..): how often each phrase stands in each document that has one of its words."""
+    none, words = F.array().cast("array<int>"), sorted({w for p in phrases for w in p})
+    held = postings.groupBy(id_col).agg(F.max("dl").alias("dl"), *[F.coalesce(F.max(F.when(F.col("term") == w, F.col("at"))), none).alias(f"at{i}") for i, w in enumerate(words)])
     place = {w: F.col(f"at{i}") for i, w in enumerate(words)}
-    counted = held.select(index.id_col, "dl", *[phrase_count([place[w] for w in p]).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    return R.best(counted, index.stats(spark), len(phrases), k, index.id_col, fallback)
+    return held.select(id_col, "dl", *[phrase_count([place[w] for w in p]).alias(f"tf{i}") for i, p in enumerate(phrases)])
 
 
 def hybrid_search(spark: SparkSession, index: Index, vectors: DataFrame, text: str, vector: Sequence[float], limit: int, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as X
+from memlake.operators import communities as M
 from memlake.operators import graph as G
 from memlake.plans import query
 from memlake.sources.tables import load, relations
@@ -104,6 +105,26 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.components(G.edge_weights(relations(spark, sf_dir)))
 
 
+@query(f"""
+with e as ({_EDGES}), m as (select sum(weight) as m from e), k as (select 's' || s_suppkey as node, 'n' || s_nationkey as community from supplier union all select 'p' || p_partkey, 'n' || (p_size % 25) from part),
+ends as (select a as node, weight from e union all select b, weight from e), d as (select community, count(distinct node) as n_nodes, sum(weight) as degree from ends join k using (node) group by 1),
+i as (select x.community, sum(weight) as inside from e join k x on x.node = a join k y on y.node = b where x.community = y.community group by 1)
+select community, n_nodes, round(coalesce(inside, 0), 2) as inside, round(degree, 2) as degree, round(coalesce(inside, 0) / m - (degree / (2 * m)) ** 2, 9) as share from d left join i using (community), m
+""")
+def partition_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modularity of a given partition of the graph: suppliers by nation, parts by size."""
+    own = load(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.concat(F.lit("n"), "s_nationkey").alias("community"))
+    parts = load(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.concat(F.lit("n"), F.col("p_size") % 25).alias("community"))
+    found = M.modularity(G.edge_weights(relations(spark, sf_dir)), own.unionByName(parts))
+    return found.select("community", "n_nodes", F.round("inside", 2).alias("inside"), F.round("degree", 2).alias("degree"), F.round("share", 9).alias("share"))
+
+
+@query()
+def communities_by_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the largest component; tests hold their modularity against SQL and against a plain version's."""
+    return M.communities(M.largest_component(G.edge_weights(relations(spark, sf_dir))), resolution=1.0)
+
+
 @query()
 def community_label_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.label_propagation(G.edge_weights(relations(spark, sf_dir)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.operators import retrieval as R
 from memlake.operators import search as S
+from memlake.operators import segments as G
 from memlake.plans import query
 from memlake.shared import exists, fingerprint, shared_folder
 from memlake.sources.tables import load, messages
@@ -52,6 +53,58 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posted.groupBy("term").agg(F.sum(F.size("at").cast("long")).alias("tf"), F.count("*").alias("df"), F.sum(F.size("at") * F.col("dl").cast("long")).alias("lengths"))
 
 
+#: The documents after the batches of kept_up: those that came late are there, the withheld are changed, the rejected gone but for those that came back.
+_KEPT_UP = r"""
+l as (select doc_id, min(quality) as quality, max(toxic) as toxic from labels group by 1),
+final as (
+  select doc_id, case when toxic = 1 then 'the reation was withheld. ' || coalesce(text, '') else text end as text
+  from documents left join l using (doc_id) where quality is distinct from 0 or toxic = 1
+), w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from final)"""
+
+
+def kept_up(spark: SparkSession, sf_dir: str) -> G.SegmentedIndex:
+    """An index of the documents after four batches: all but those of one language; those, and the toxic ones withheld; without any that were rated bad; the toxic ones among them again."""
+    key = "kept up", spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet")
+    if key not in _indexes or not exists(spark, _indexes[key].uri):
+        docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+        rated = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        late = F.coalesce(F.col("lang"), F.lit("")) == "de"
+        toxic = docs.join(rated.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.concat(F.lit("the reation was withheld. "), F.coalesce("text", F.lit(""))))
+        index = G.SegmentedIndex(spark, shared_folder(spark, "segments"))
+        index.apply(docs.where(~late))
+        index.apply(docs.where(late).join(toxic, "doc_id", "left_anti").select("doc_id", "text").unionByName(toxic.select("doc_id", "text")))
+        index.apply(docs.limit(0), rated.where("quality = 0").select("doc_id"))
+        index.apply(toxic.join(rated.where("quality = 0"), "doc_id", "left_semi"))
+        _indexes[key] = index
+    return _indexes[key]
+
+
+@query(f"""
+with {_KEPT_UP}
+select term, count(*)::bigint as df from (select unnest(list_distinct(w)) as term from w) group by 1
+""")
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each term after batches of adds, changes and deletes: sums over segments, none of which was written again."""
+    return kept_up(spark, sf_dir).terms()
+
+
+@query(f"with {_KEPT_UP}, {_BM25 % ('the', 'reation', 20)} select * from kw".replace("t as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents)", "t as (select * from w)"))
+def index_upkeep_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over the segments finds what a full index of the final documents would."""
+    return kept_up(spark, sf_dir).bm25(QUERY, 20).withColumnRenamed("id", "doc_id")
+
+
+@query(f"""
+with {_KEPT_UP}
+select term, count(*)::bigint as tf, count(distinct doc_id) as df, sum(dl)::bigint as lengths from (select doc_id, unnest(w) as term, len(w) as dl from w) group by 1
+""")
+def index_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the postings of the merged segments hold of each term."""
+    index = kept_up(spark, sf_dir)
+    index.merge(all_of_them=True)
+    return index.found().groupBy("term").agg(F.sum(F.size("at").cast("long")).alias("tf"), F.count("*").alias("df"), F.sum(F.size("at") * F.col("dl").cast("long")).alias("lengths"))
+
+
 @query(f"with {_BM25 % ('the', 'reation', 20)} select * from kw")
 def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, QUERY, 20)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from memlake.operators.hygiene import upsert
 
 
+class StaleVersion(RuntimeError):
+    """Another writer was first."""
+
+
 class VersionedTable:
     """A table below a root that the cluster shares. Readers see whole versions; a failed write leaves the old one current; each writer has a version of its own."""
 
@@ -28,16 +32,29 @@ class VersionedTable:
             raise FileNotFoundError(self.base)
         return self.spark.read.parquet(f"{self.base}/v{known[-1] if version is None else version}")
 
-    def write(self, df: DataFrame) -> int:
-        version = self._claimed()
-        df.write.parquet(f"{self.base}/v{version}")
+    def write(self, df: DataFrame, after: int | None = None) -> int:
+        """Write a version. after: the version that df was made from (0: none); if another follows it or is being written, StaleVersion."""
+        version = self._claimed(after)
+        try:
+            df.write.parquet(f"{self.base}/v{version}")
+        except Exception:
+            self._remove(f"_claim{version}")
+            raise
         return version
 
-    def _claimed(self) -> int:
-        """A number that no other writer has: its file is created by one alone, whether or not the write then succeeds."""
+    def _remove(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _claimed(self, after: int | None = None) -> int:
+        """A number that no other writer has: its file is created by one alone, and goes if the write fails."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         store = path(self.base).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         store.mkdirs(path(self.base))
+        if after is not None:
+            if (self.versions() or [0])[-1] != after or not store.createNewFile(path(f"{self.base}/_claim{after + 1}")):
+                raise StaleVersion(f"{self.base} has gone on from version {after}")
+            return after + 1
         version = (self.versions() or [0])[-1] + 1
         while not store.createNewFile(path(f"{self.base}/_claim{version}")):
             version += 1
