@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,42 @@ class VersionedTable:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class TableSet:
+    """Tables that change together: a version names a folder of each, and is written when all of them are.
+
+    Readers see all tables of one version. A commit that fails on the way, or that was prepared on an older
+    version, leaves the last one as it is; tables that a commit doesn't give keep their folders.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.versions = VersionedTable(spark, self.root, "versions")
+
+    def version(self) -> int:
+        """The last version; 0 before the first."""
+        return (self.versions.versions() or [0])[-1]
+
+    def folders(self, version: int | None = None) -> dict[str, str]:
+        if not self.version():
+            return {}
+        return {r.table: r.folder for r in self.versions.read(version).collect()}
+
+    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        """A table; None where there is none yet."""
+        folder = self.folders(version).get(name)
+        return self.spark.read.parquet(folder) if folder else None
+
+    def commit(self, tables: dict[str, DataFrame], after: int | None = None) -> int:
+        """Write tables and make them current together. after: the version that they were made from."""
+        after = self.version() if after is None else after
+        folders = self.folders()
+        for name, df in tables.items():
+            folders[name] = f"{self.root}/{name}/{uuid.uuid4().hex}"
+            df.write.parquet(folders[name])
+        rows = self.spark.createDataFrame(sorted(folders.items()), "table string, folder string").coalesce(1)
+        return self.versions.write(rows, after=after)
+
+
 def manifest(df: DataFrame, key: str) -> DataFrame:
     """One row: the number of rows and a digest that does not depend on their order."""
     rows = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"))
