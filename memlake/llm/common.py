@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,33 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def release() -> None:
+    """Give free memory back: workers are used again, and what one task held would count beside all later ones."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with memory given back when a task ends."""
+
+    def to_the_end(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return to_the_end
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """df without the columns of these names, in any case of letters: an operator's results replace them."""
     gone = {n.lower() for n in names}
@@ -39,7 +68,7 @@ def map_rows(
     """Add columns that a Python function makes of text_col and of the columns in also, batch by batch.
 
     make() runs once per task and returns a function from lists of values (None for null), one list per
-    column, to one Arrow array per field. carry names the columns that go along (None: all); a text that
+    column, to one Arrow array per field; its attribute close, if it has one, is called at the task's end. carry names the columns that go along (None: all); a text that
     goes along is sent once. Columns named like a field are replaced.
     """
     small_batches(df.sparkSession)
@@ -56,8 +85,10 @@ def map_rows(
         for batch in batches:
             made = work(*[batch.column(k).to_pylist() for k in at])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=[*kept, *names])
+        if close := getattr(work, "close", None):
+            close()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def field(name: str, kind: T.DataType) -> T.StructField:

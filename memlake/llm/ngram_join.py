@@ -217,7 +217,7 @@ def _nodes(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(columns, names=["doc", "key", "n", "node", "shingle", "times"])
 
-    return C.stored(docs.select(id_col, text_col, text_key(text_col).alias("key")).mapInArrow(run, f"doc {kind}, key long, n long, node long, shingle long, times long"), "nodes")
+    return C.stored(docs.select(id_col, text_col, text_key(text_col).alias("key")).mapInArrow(C.released(run), f"doc {kind}, key long, n long, node long, shingle long, times long"), "nodes")
 
 
 def _heavy(found: DataFrame, n_docs: int) -> np.ndarray:
@@ -294,7 +294,7 @@ def _prefixes(docs: DataFrame, heavy, n_parts: int, text_col: str) -> DataFrame:
         if h_node:
             yield from passed_on()
 
-    return docs.select(text_col).mapInArrow(run, _BLOB)
+    return docs.select(text_col).mapInArrow(C.released(run), _BLOB)
 
 
 def _unpacked(table: pa.Table, kind: int, *types) -> list[np.ndarray]:
@@ -417,7 +417,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> Dat
                     sets.append(t.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
-    return C.stored(texts.select("text").mapInArrow(run, "node long, tokens binary"), "sets")
+    return C.stored(texts.select("text").mapInArrow(C.released(run), "node long, tokens binary"), "sets")
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:

@@ -52,6 +52,10 @@ class Kept(dict):
             self[s] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
 
 NEVER = float("inf")
 

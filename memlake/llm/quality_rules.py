@@ -129,7 +129,7 @@ def ngram_counts(docs: DataFrame, text_col: str = "text", target_col: str = "is_
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
-    part = docs.select(text_col, target_col).mapInArrow(run, "bucket int, raw long, target long")
+    part = docs.select(text_col, target_col).mapInArrow(C.released(run), "bucket int, raw long, target long")
     return part.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 

@@ -139,6 +139,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", add_eos: bool = T
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(data))])
             return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(map(model.decode, data), pa.string())]
 
+        work.close = model.kept.forget
         return work
 
     return C.map_rows(docs, text_col, make, [C.field("ids", T.ArrayType(T.IntegerType())), C.field("decoded", T.StringType())], carry)
