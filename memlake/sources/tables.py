@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:

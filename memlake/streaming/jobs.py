@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memlake.shared import shared_folder
+from memlake.sources.tables import load
 
 
 def event_stream(spark: SparkSession, root: str, schema: T.StructType, name: str = "events") -> DataFrame:
@@ -17,6 +18,14 @@ def event_stream(spark: SparkSession, root: str, schema: T.StructType, name: str
     return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A stream of one table below root, a file or a folder of files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.parquet")
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    files = spark.readStream.schema(load(spark, root, name).schema).option("maxFilesPerTrigger", 8)
+    return files.parquet(path.toString()) if folder else files.option("pathGlobFilter", f"{name}.parquet").parquet(root)
+
+
 def run_available(stream: DataFrame, mode: str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Run a stream over all that is available now into the shared folder and return what it wrote, after `then`.
 
