@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake import plans
-from memlake.plans import actions, entities, extraction, graph, hygiene, ingest, keys, lifecycle, memory, retrieval, selectors, streams, texts, upkeep  # noqa: F401  they register their queries
+from memlake.plans import actions, entities, extraction, graph, hygiene, ingest, keys, layers, lifecycle, memory, retrieval, selectors, streams, texts, upkeep  # noqa: F401  they register their queries
 
 FLAGSHIP = "hybrid_search"
 
