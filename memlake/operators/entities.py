@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.functions import text as X
 from memlake.operators.graph import components
@@ -160,10 +161,15 @@ def capped_merges(verdicts: DataFrame, entities: DataFrame, most: int) -> DataFr
     return plain.orderBy(F.desc("sure"), "loser").limit(most).select("loser", "winner")
 
 
+def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """For a broadcast if it has at most so many rows; else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def backfilled(entities: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities with blank orgs filled by the domain of their address, counts of domains that are unknown)."""
     at = F.lower(F.regexp_extract(_given("email"), "@(.+)$", 1))
-    both = entities.withColumn("__domain", at).join(F.broadcast(domains.select(F.col("domain").alias("__domain"), F.col("org").alias("__org"))), "__domain", "left")
+    both = entities.withColumn("__domain", at).join(_small(domains.select(F.col("domain").alias("__domain"), F.col("org").alias("__org"))), "__domain", "left")
     blank = _given("org") == ""
     unknown = both.where(blank & F.col("__org").isNull() & (F.col("__domain") != "")).groupBy(F.col("__domain").alias("domain")).agg(F.count("*").alias("n"))
     return both.withColumn("org", F.when(blank, F.coalesce("__org", "org")).otherwise(F.col("org"))).drop("__domain", "__org"), unknown
@@ -189,22 +195,33 @@ def attended(events: DataFrame, owner: str) -> DataFrame:
 def first_shown(recalls: DataFrame, hours: int = 24) -> DataFrame:
     """recalls (session, doc_id, ts) with shown: whether the document was not shown in the session within the hours before. What is passed over doesn't prolong the time.
 
-    The fold runs over the times of one document in one session.
+    Times stream by in order, and the fold holds one of them: a session may be as long as it likes.
     """
-    lists = recalls.groupBy("session", "doc_id").agg(F.sort_array(F.collect_list("ts")).alias("t"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<boolean>").alias("shown"))
+    rows = recalls.select("session", "doc_id", "ts", F.unix_micros("ts").alias("us"))
+    ordered = rows.repartition("session", "doc_id").sortWithinPartitions("session", "doc_id", F.col("us").asc_nulls_last())
+    span = hours * 3_600_000_000
 
-    def step(a, t):
-        fresh = a["last"].isNull() | (t >= a["last"] + F.expr(f"interval {hours} hours"))
-        return F.struct(F.when(fresh, t).otherwise(a["last"]).alias("last"), F.concat(a["shown"], F.array(fresh)).alias("shown"))
+    def run(batches):
+        at, last = None, None
+        for batch in batches:
+            shown = []
+            for session, doc, us in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                if at is None or (session, doc) != at:
+                    at, last = (session, doc), None
+                fresh = us is not None and (last is None or us >= last + span)
+                if fresh:
+                    last = us
+                shown.append(fresh)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shown, pa.bool_())], names=["session", "doc_id", "ts", "shown"])
 
-    folded = lists.select("session", "doc_id", "t", F.aggregate("t", start, step, lambda a: a["shown"]).alias("shown"))
-    return folded.select("session", "doc_id", F.inline(F.arrays_zip(F.col("t").alias("ts"), F.col("shown").alias("shown"))))
+    return ordered.mapInArrow(run, T.StructType([*rows.schema.fields[:3], T.StructField("shown", T.BooleanType())]))
 
 
 def to_publish(outbox: DataFrame, stamps: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of the outbox that aren't stamped as sent, each once."""
-    return outbox.dropDuplicates([key]).join(stamps.select(key), key, "left_anti")
+    """Rows of the outbox that aren't stamped as sent, each once: of rows with one key the smallest, column by column."""
+    rest = [c for c in outbox.columns if c != key]
+    one = outbox.groupBy(key).agg(F.min(F.struct(*rest)).alias("__r")).select(key, "__r.*") if rest else outbox.distinct()
+    return one.join(stamps.select(key), key, "left_anti").select(outbox.columns)
 
 
 def vector_clusters(vectors: DataFrame, least: float = ALIKE, most: int = SLICE, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 2 << 20) -> DataFrame:

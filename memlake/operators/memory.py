@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ HOT_STRENGTH, COLD_SALIENCE = 7.0, 3.5
 # End of fixed values.
 
 
+#: Proposals of a gamma draw: all are rejected once in 10^15 draws or less; the mode stands in then.
+GAMMA_TRIES = 12
+
+
 def age_days(as_of: str, ts: Column) -> Column:
     return (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(ts)) / 86400e6
 
@@ -61,6 +67,39 @@ def arm_posterior(outcomes: DataFrame, arm: str, good: Column, prior: tuple[floa
     return counts.withColumn("mean", F.round(F.col("alpha") / (F.col("alpha") + F.col("beta")), 6))
 
 
+def _uniform(seed: int, *key: Column) -> Column:
+    """From (0, 1): the same for a seed and a key on any partitioning."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11) + 0.5) / float(1 << 53)
+
+
+def _gamma(shape: Column, seed: int, key: Column) -> Column:
+    """A draw of Gamma(shape, 1), shape of 1 and more: the first of GAMMA_TRIES proposals that is accepted (each is by 95 % and more)."""
+    d = shape - 1.0 / 3.0
+    c = 1.0 / F.sqrt(9.0 * d)
+
+    def proposal(k: Column) -> Column:
+        normal = F.sqrt(-2.0 * F.log(_uniform(seed, key, k, F.lit(1)))) * F.cos(2.0 * math.pi * _uniform(seed, key, k, F.lit(2)))
+        v = F.pow(1.0 + c * normal, F.lit(3.0))
+        u = _uniform(seed, key, k, F.lit(3))
+        return F.when((v > 0) & (F.log(u) < 0.5 * normal * normal + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300)))), d * v)
+
+    tried = F.filter(F.transform(F.sequence(F.lit(0), F.lit(GAMMA_TRIES - 1)), proposal), lambda x: x.isNotNull())
+    return F.coalesce(F.get(tried, F.lit(0)), d)
+
+
+def thompson(arms: DataFrame, arm: str, seed: int, rounds: int = 1) -> DataFrame:
+    """(round, arm, draw, chosen): a Beta draw of each arm's posterior in each round, and the arm of the largest draw (ties: the smallest arm).
+
+    arms (arm, alpha, beta), both 1 and more. A draw hangs on the seed, the round and the arm only. Arms without alpha or beta are at their mean, 0.5.
+    """
+    each = arms.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))) if rounds else arms.limit(0).withColumn("round", F.lit(0))
+    key = F.xxhash64(F.col("round"), F.col(arm).cast("string"))
+    a, b = (_gamma(F.greatest(F.col(c).cast("double"), F.lit(1.0)), seed + k, key) for k, c in enumerate(("alpha", "beta")))
+    drawn = each.select("round", arm, F.round(F.coalesce(a / (a + b), F.lit(0.5)), 9).alias("draw"))
+    best = drawn.groupBy("round").agg(F.min_by(arm, F.struct(-F.col("draw"), arm)).alias("__best"))
+    return drawn.join(best, "round").select("round", arm, "draw", (F.col(arm) == F.col("__best")).alias("chosen"))
+
+
 def noise_floor(metrics: DataFrame, ts: str, value: str, least: float = 0.05) -> DataFrame:
     """Twice the deviation of the daily means, `least` at least."""
     daily = metrics.groupBy(F.to_date(ts).alias("day")).agg(F.avg(value).alias("m"))

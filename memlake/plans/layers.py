@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.operators import contributions as C
 from memlake.operators import layers as L
 from memlake.plans import query
 from memlake.sources.tables import load
@@ -85,3 +86,37 @@ def snapshot_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = L.imported(local, shared.drop("master", "told"), none, spark.createDataFrame([], "id string, merged_into string"), 1)
     gone = shared.where("not told").select("id", F.when(F.col("master") != F.col("id"), F.col("master")).alias("merged_into"))
     return L.imported(first, shared.where("told").drop("master", "told"), none, gone, 2).entities.select("id", "origin")
+
+
+_KEY = b"fleet secret".ljust(64, b"\0")
+
+
+@query(rf"""
+with e as (
+  select 'c' || client_id as id, name, 'person' as kind, case when source = 'partner' then 'shared' else 'local' end as origin from clients
+  union all select 'v' || vendor_id, name, 'org', 'local' from vendors
+), fit as (
+  select id, kind, trim(regexp_replace(name, '\s+', ' ', 'g')) as name from e
+  where origin = 'local' and regexp_full_match(trim(regexp_replace(name, '\s+', ' ', 'g')), '[\p{{L}} .,''\-]{{1,40}}')
+    and len(list_filter(regexp_extract_all(trim(name), '[^.,\s]+'), lambda w: not regexp_matches(w, '^\p{{Lu}}'))) = 0 and len(regexp_extract_all(trim(name), '[^.,\s]+')) > 0
+), docs as (select sale_id, bool_and(coalesce(status, 'held') <> 'held') as warm from sales where sale_id is not null group by 1),
+r as (
+  select distinct 'c' || client_id as a, case l.flag when 'kept' then 'buys from' else 'returns to' end as relation, 'v' || vendor_id as b, s.sold_at::date as valid_from,
+    sha256(unhex('{bytes(b ^ 0x5C for b in _KEY).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in _KEY).hex()}') || encode('sale-' || s.sale_id)))) as source_ref
+  from sale_lines l join sales s on s.sale_id = l.sale_id join docs d on d.sale_id = s.sale_id and d.warm where l.flag in ('kept', 'returned')
+), t as (select r.*, x.name as xn, y.name as yn from r join fit x on x.id = r.a join fit y on y.id = r.b)
+select distinct kind, subject, relation, object, name, entity_kind, '' as aliases, confidence, valid_from, source_ref from (
+  select 'entity' as kind, a as subject, null as relation, null as object, xn as name, 'person' as entity_kind, 1.0 as confidence, valid_from, source_ref from t
+  union all select 'entity', b, null, null, yn, 'org', 1.0, valid_from, source_ref from t)
+union all select 'relation', a, relation, b, null, null, null, 0.8, valid_from, source_ref from t
+""")
+def contribution_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who buys from whom, as claims that may leave: by kind of relation, from sales that aren't on hold, of entities that aren't from partners."""
+    lines, sales = load(spark, sf_dir, "sale_lines").select("sale_id", "vendor_id", "flag"), load(spark, sf_dir, "sales")
+    verb = F.when(F.col("flag") == "kept", "buys from").when(F.col("flag") == "returned", "returns to").otherwise("swaps with")
+    document = F.concat(F.lit("sale-"), F.col("sale_id").cast("string"))
+    told = lines.join(sales.select("sale_id", "client_id", "sold_at"), "sale_id").select(F.concat(F.lit("c"), F.col("client_id").cast("string")).alias("a"), verb.alias("relation"), F.concat(F.lit("v"), F.col("vendor_id").cast("string")).alias("b"), document.alias("doc_id"), F.col("sold_at").cast("date").alias("valid_from"), F.lit(0.8).alias("confidence"), F.lit(None).cast("string").alias("origin"))
+    clients = load(spark, sf_dir, "clients").select(F.concat(F.lit("c"), F.col("client_id").cast("string")).alias("id"), "name", F.lit("person").alias("kind"), "email", F.lit(None).cast("string").alias("aliases"), F.when(F.col("source") == "partner", "shared").otherwise("local").alias("origin"))
+    vendors = load(spark, sf_dir, "vendors").select(F.concat(F.lit("v"), F.col("vendor_id").cast("string")).alias("id"), "name", F.lit("org").alias("kind"), F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("aliases"), F.lit("local").alias("origin"))
+    cold = sales.select(document.alias("doc_id"), (F.coalesce("status", F.lit("held")) == "held").alias("cold"))
+    return C.contributions(told, clients.unionByName(vendors), cold, ["buys from", "returns to"], "fleet secret")

@@ -68,6 +68,16 @@ def bandit_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.arm_posterior(events, "arm", F.col("event_type").isin("purchase", "signup"))
 
 
+@query("select user_id % 5 as arm, 200 as rounds, (count(*) filter (where event_type in ('purchase', 'signup')) + 1.0) / (count(*) + 2.0) between 0 and 1 as mean_within from events group by 1")
+def bandit_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred rounds of Thompson sampling: each arm's mean draw is within four standard errors of its posterior's mean."""
+    arms = bandit_posterior(spark, sf_dir).select("arm", F.col("alpha").cast("double").alias("alpha"), F.col("beta").cast("double").alias("beta"))
+    drawn = M.thompson(arms, "arm", 7, 200).groupBy("arm").agg(F.count("*").cast("int").alias("rounds"), F.avg("draw").alias("m"))
+    a, b = F.col("alpha"), F.col("beta")
+    error = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)) / 200)
+    return drawn.join(arms, "arm").select("arm", "rounds", (F.abs(F.col("m") - a / (a + b)) <= 4 * error).alias("mean_within"))
+
+
 @query("select count(*) as days, round(avg(m), 6) as baseline, round(greatest(0.05, 2 * stddev_pop(m)), 6) as floor from (select ts::date as day, avg(value) as m from events group by 1)")
 def drift_noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.noise_floor(load(spark, sf_dir, "events"), "ts", "value")

@@ -39,12 +39,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return _folders[-1]
 
 
-def remove_stored(spark: SparkSession) -> int:
-    """Delete what this process has put into the shared folder: to be called when no result is read any more."""
-    n = len(_folders)
-    while _folders:
-        delete_folder(spark, _folders.pop())
-    return n
+def remove_stored(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Delete what this process has put into the shared folder: to be called when no result is read any more. keep: labels that stay."""
+    gone = [f for f in _folders if not f.rpartition("/")[2].startswith(tuple(f"{k}-" for k in keep))]
+    for folder in gone:
+        _folders.remove(folder)
+        delete_folder(spark, folder)
+    return len(gone)
 
 
 def delete_folder(spark: SparkSession, uri: str) -> None:
@@ -65,7 +66,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, uri: str) -> tuple[str, int, int]:
-    """Where a table's files are, their bytes, and when the folder or file was changed."""
+    """Where a table's files are, their bytes, and when the last of them was changed."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return store.makeQualified(path).toString(), store.getContentSummary(path).getLength(), store.getFileStatus(path).getModificationTime()
+    files = [store.getFileStatus(path), *(store.listStatus(path) if store.getFileStatus(path).isDirectory() else [])]
+    return store.makeQualified(path).toString(), store.getContentSummary(path).getLength(), max(f.getModificationTime() for f in files)
