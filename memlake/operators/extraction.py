@@ -1,6 +1,7 @@
-"""Extractions of threads, applied to the graph: entities, links, relations, topics, digests and actions in one version.
+"""Extractions of threads, applied to the graph: entities, links, relations, topics, digests, actions and
+the ids of actions that were dropped, in one version.
 
-An extraction is one nested row a thread (EXTRACTION). Applying a batch writes all six tables as one version
+An extraction is one nested row a thread (EXTRACTION). Applying a batch writes all of these tables as one version
 of a TableSet: readers see all of it or nothing. Every row is keyed by what it says (links by message and
 entity, relations by source and triple, actions by thread and words), so that a batch applied again changes
 nothing, and counts are taken from keys instead of being counted up.
@@ -49,6 +50,7 @@ TABLES = {
     "relations": "thread_id string, a string, relation string, b string, strength double, valid_from date",
     "topics": "message_id string, topic string",
     "digests": "thread_id string, message_id string, day date, org string, content_type string, summary string, topics string",
+    "dropped": "action string",
     "actions": "action string, thread_id string, owner string, owner_entity string, text string, norm string, due date, day date, status string, resolved_by string",
 }
 
@@ -156,9 +158,13 @@ def kept_in_order(pairs: DataFrame) -> DataFrame:
     return ordered.select("component", "early", "late").mapInArrow(run, "id string")
 
 
-def merged_actions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored actions and those of new ones that aren't much the same as one kept before them."""
-    fresh = stored(new.join(old.select("action"), "action", "left_anti"), "fresh")
+def merged_actions(old: DataFrame, new: DataFrame, dropped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored actions and those of new ones that aren't much the same as one kept before them; and the ids of all that were dropped.
+
+    What was dropped once is not asked again, though what it was held against may be done by now.
+    """
+    known = old.select("action").unionByName(dropped)
+    fresh = stored(new.join(known, "action", "left_anti"), "fresh")
     both = old.where("status = 'open'").select("action", "owner", "norm", "day", F.lit(0).alias("turn")).unionByName(fresh.select("action", "owner", "norm", "day", F.lit(1).alias("turn")))
     dated = both.where("day is not null")
     # equal owner, words and day: whatever becomes of the first, the others go
@@ -167,8 +173,9 @@ def merged_actions(old: DataFrame, new: DataFrame) -> DataFrame:
     again = dated.where("turn = 1").join(first.select("owner", "norm", "day", "id"), ["owner", "norm", "day"]).where("action <> id").select(F.col("action").alias("id"))
     pairs = stored(much_the_same(first), "pairs")
     gone = again.unionByName(kept_in_order(pairs)) if pairs.head(1) else again
+    gone = stored(gone.select(F.col("id").alias("action")).distinct(), "gone")
     names = [c.split()[0] for c in TABLES["actions"].split(", ")]
-    return old.select(names).unionByName(fresh.join(gone.distinct(), fresh["action"] == gone["id"], "left_anti").select(names))
+    return old.select(names).unionByName(fresh.join(gone, "action", "left_anti").select(names)), dropped.unionByName(gone)
 
 
 def apply(tables: TableSet, batch: DataFrame, as_of: str) -> int:
@@ -203,8 +210,9 @@ def apply(tables: TableSet, batch: DataFrame, as_of: str) -> int:
     digests = found.select("thread_id", "message_id", "day", "org", "content_type", "summary", F.array_join(tags, ", ").alias("topics"))
     digests = digests.unionByName(old["digests"].join(found.select("thread_id"), "thread_id", "left_anti"))
     closed = found.select("thread_id", "message_id", F.explode(F.coalesce("resolved", F.array().cast("array<string>"))).alias("what")).groupBy("thread_id", X.normalised_title(F.col("what")).alias("norm")).agg(F.min("message_id").alias("by"))
-    actions = merged_actions(old["actions"], proposed(found, as_of)).join(closed, ["thread_id", "norm"], "left")
+    actions, dropped = merged_actions(old["actions"], proposed(found, as_of), old["dropped"])
+    actions = actions.join(closed, ["thread_id", "norm"], "left")
     open_one = (F.col("status") == "open") & F.col("by").isNotNull()
     actions = actions.withColumns({"resolved_by": F.when(open_one, F.col("by")).otherwise(F.col("resolved_by")), "status": F.when(open_one, "done").otherwise(F.col("status"))})
-    made = {"entities": entities, "links": links, "relations": relations, "topics": topics, "digests": digests, "actions": actions}
+    made = {"entities": entities, "links": links, "relations": relations, "topics": topics, "digests": digests, "dropped": dropped, "actions": actions}
     return tables.commit({n: df.select([c.split()[0] for c in TABLES[n].split(", ")]) for n, df in made.items()}, after=version)
