@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community): each round takes the label of the largest weight among neighbours and itself, ties to the smallest; odd and even nodes by turns."""
+    """(node, community): each round takes the label of the largest weight among neighbours and itself, ties to the smallest; odd and even nodes by turns. It stops after `rounds`, settled or not."""
     both = written(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").union(edges.select("b", "a", "weight")), "edges")
     now = written(both.select(F.col("x").alias("node")).distinct().withColumn("community", F.col("node")), "communities")
     for turn in range(rounds):
