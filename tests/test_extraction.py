@@ -108,6 +108,25 @@ def test_actions_are_held_against_those_kept_before(spark, seed):
     assert got == plain_kept([(r[0], r[2], r[5], r[7]) for r in rows])
 
 
+def test_pairs_leave_their_join_decided(spark):
+    """Titles go along with the words: what meets but isn't much the same is never written or joined again."""
+    rows = [(k, "o", f"send {w} report", DAY + timedelta(k % 3)) for k, w in enumerate(["large", "old", "large", "first"])]
+    pairs = X.much_the_same(spark.createDataFrame(rows, "n long, owner string, norm string, day date"))
+    assert [tuple(r) for r in pairs.collect()] == [(0, 2)]
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_owners_by_any_honorific_and_twice_named(spark, tmp_path):
+    """The owner is the first of the extraction's people with the owner's name; relations take the smallest entity of a name."""
+    tables = TableSet(spark, f"file://{tmp_path}/t")
+    twice = [{"name": n, "kind": k, "org": None, "email": None} for n, k in (("Dr. Ada  Byron", "person"), ("ada byron", "org"), ("Ada Byron", "org"), ("Loom", None))]
+    tie = [{"a": "Mr ADA BYRON", "relation": "owns", "b": "loom", "strength": 1.0}]
+    X.apply(tables, batch(spark, said("t1", DAY, "one thing", owner="Prof. X", entities=twice, relations=tie), said("t2", DAY, "another", owner=" Sister Ada Byron", entities=twice, relations=tie), said("t3", DAY, "third", entities=None, relations=None)), str(DAY))
+    made = state(tables)
+    assert {a[1]: a[3] for a in made["actions"]} == {"t1": None, "t2": "person:ada-byron", "t3": None}
+    assert {r[:4] for r in made["relations"]} == {(t, "org:ada-byron", "owns", "person:loom") for t in ("t1", "t2")}
+
+
 def test_within_an_extraction(spark):
     lists = [["send report", "Send the report", "send report today", "call", "", None, "recall it"], [], ["a b c d", "a b c e", "f g h n j k l", "f g h n j k m"]]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(lists)], "id int, texts array<string>")
