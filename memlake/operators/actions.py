@@ -56,15 +56,20 @@ def first_of_each(actions: DataFrame, key: list[str], id_col: str) -> DataFrame:
 def near_duplicates(actions: DataFrame, owner: str, id_col: str, day_col: str, text_col: str, window_days: int = WINDOW_DAYS, least: float = SAME_WORDS) -> DataFrame:
     """Pairs of one owner within the window with nearly the same words.
 
-    Days are dealt into buckets of the window's width; a row meets its own and the next bucket, so that the
-    interval join is an equality join; and rows meet by the rarest of their words only. Ids are unique.
+    Equal sets of words of one owner are one first: which sets are much the same is found among these, by the rarest
+    of their words. Rows then meet by set and by cell of days of the window's width, in their own and the next ones:
+    an equality join that makes each pair once, so that pairs are neither shuffled nor joined again. Ids are unique.
     """
-    words = F.array_distinct(X.tokens(F.col(text_col)))
+    words = F.array_sort(F.array_distinct(X.tokens(F.col(text_col))))
     rows = stored(actions.select(F.col(owner).alias("owner"), F.col(id_col).alias("id"), F.col(day_col).alias("day"), words.alias("w")).where(F.size("w") > 0), "actions")
-    rare = rarest_words(rows, ["id"], "w", least, ["owner"]).join(rows.select("id", "day"), "id").withColumn("cell", F.floor(F.unix_date("day") / (window_days + 1)))
-    left = rare.select("owner", "word", F.col("id").alias("a"), F.col("day").alias("day_a"), "cell")
-    right = rare.select("owner", "word", F.col("id").alias("b"), F.col("day").alias("day_b"), F.explode(F.array(F.col("cell"), F.col("cell") + 1, F.col("cell") - 1)).alias("cell"))
-    met = left.join(right, ["owner", "word", "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("day_a", "day_b")) <= window_days)).select("a", "b").distinct()
-    of = lambda side, name: rows.select(F.col("id").alias(side), F.col("w").alias(name))
-    both = met.join(of("a", "wa"), "a").join(of("b", "wb"), "b")
-    return both.withColumn("similarity", F.round(X.jaccard(F.col("wa"), F.col("wb")), 6)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    sets = stored(rows.groupBy("owner", "w").agg(F.min("id").alias("key")), "sets")
+    rare = stored(rarest_words(sets, ["key"], "w", least, ["owner"]), "rare")
+    met = rare.select("owner", "word", F.col("key").alias("x")).join(rare.select("owner", "word", F.col("key").alias("y")), ["owner", "word"]).select("x", "y").distinct()
+    of = lambda side: sets.select(F.col("key").alias(side), F.col("w").alias(f"w{side}"))
+    alike = met.join(of("x"), "x").join(of("y"), "y").select("x", "y", F.round(X.jaccard(F.col("wx"), F.col("wy")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    alike = stored(alike, "alike")
+    cell = F.floor(F.unix_date("day") / (window_days + 1))
+    named = stored(rows.join(sets, ["owner", "w"]).select("key", "id", "day", cell.alias("cell")), "named")
+    left = named.join(alike, F.col("key") == F.col("x")).select(F.col("y").alias("key"), F.col("id").alias("a"), F.col("day").alias("day_a"), "similarity", F.explode(F.array(F.col("cell"), F.col("cell") + 1, F.col("cell") - 1)).alias("cell"))
+    right = named.select("key", F.col("id").alias("b"), F.col("day").alias("day_b"), "cell")
+    return left.join(right, ["key", "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("day_a", "day_b")) <= window_days)).select("a", "b", "similarity")

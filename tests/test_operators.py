@@ -112,3 +112,14 @@ def test_text_clusters_against_brute_force(spark):
     want = {(i, v) for i, v in label.items() if sets[i] and sum(x == v for x in label.values()) > 2}
     got = graph.text_clusters(spark.createDataFrame(rows, "id long, text string"), least=0.3).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and {(204, 204), (206, 204)} <= want and len({v for _, v in want}) > 2
+
+
+def test_near_duplicates_are_paired_once(spark):
+    """Equal words within an owner are one set first; pairs are made by the last of two joins, and neither told apart nor joined again."""
+    rows = [(k, k % 2, date(2024, 1, 1 + k % 20), ["send the report", "Report the send!", "call"][k % 3]) for k in range(60)]
+    near = actions.near_duplicates(spark.createDataFrame(rows, "i long, o long, d date, t string"), "o", "i", "d", "t")
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Aggregate" not in plan
+    kind = lambda k: k % 3 == 2
+    want = [(a[0], b[0], 1.0) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and kind(a[0]) == kind(b[0]) and abs((a[2] - b[2]).days) <= 7]
+    assert sorted(map(tuple, near.collect())) == sorted(want)
