@@ -51,13 +51,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, community): each round takes the label of the largest weight among neighbours and itself, ties to the smallest; odd and even nodes by turns. It stops after `rounds`, settled or not."""
-    both = written(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").union(edges.select("b", "a", "weight")), "edges")
+    both = written(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").union(edges.select("b", "a", "weight")).where("x is not null and y is not null"), "edges")
     now = written(both.select(F.col("x").alias("node")).distinct().withColumn("community", F.col("node")), "communities")
     for turn in range(rounds):
-        votes = both.join(now.toDF("y", "l"), "y").groupBy("x", "l").agg(F.sum("weight").alias("w"))
+        # only those whose turn it is are voted for
+        asked = both.where(F.pmod(F.xxhash64("x"), F.lit(2)) == turn % 2)
+        votes = asked.join(now.toDF("y", "l"), "y").groupBy("x", "l").agg(F.sum("weight").alias("w"))
         best = votes.groupBy(F.col("x").alias("node")).agg(F.min_by("l", F.struct(-F.col("w"), "l")).alias("l"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-        now = written(now.join(best, "node").select("node", F.when(moves, F.col("l")).otherwise(F.col("community")).alias("community")), "communities")
+        now = written(now.join(best, "node", "left").select("node", F.coalesce("l", "community").alias("community")), "communities")
     return now
 
 
