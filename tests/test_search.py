@@ -124,3 +124,17 @@ def test_running_sums(spark):
     for g, o, i, s in sorted(rows, key=lambda r: (-r[1], r[2])):
         sums[g] = want[i] = sums.get(g, 0) + s
     assert {r.i: r.used for r in got} == want and len(got) == 500
+
+
+def test_a_long_document_takes_time_by_its_length(spark, tmp_path):
+    """Copying all words for each term took the square: 60,000 different words some minutes."""
+    import time
+
+    words = [f"w{i:x}" for i in range(60_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "w1 x w1"), (3, None)], "doc_id long, text string")
+    began = time.monotonic()
+    index = S.build(docs, f"file://{tmp_path}/i")
+    assert time.monotonic() - began < 30
+    held = index.postings(spark, ["w1", "wea5f"]).orderBy("term", "doc_id").collect()
+    assert [(r.term, r.doc_id, r.dl, r["at"]) for r in held] == [("w1", 1, 60_000, [1]), ("w1", 2, 3, [0, 2]), ("wea5f", 1, 60_000, [59_999])]
+    assert tuple(index.stats(spark).first()) == (3, 60_003 / 3)
