@@ -1,7 +1,7 @@
 """A search index that is kept up without being rebuilt: segments, lists of what is gone, and merges.
 
 Each batch of changes is a segment: postings of its documents (by a hash of the term), a forward table (id,
-words, terms; by a hash of the id), the ids whose older rows are gone, and the change of each term's number of
+words, terms and their places; by a hash of the id), the ids whose older rows are gone, and the change of each term's number of
 documents. Nothing written before is touched. A row counts if no later segment has its id among the gone.
 The corpus' size, mean length and each term's document count are sums over segments, so a search reads the
 buckets of its terms and what is gone, and never counts documents.
@@ -24,7 +24,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions.text import tokens
 from memlake.operators import retrieval as R
 from memlake.operators import search as S
 from memlake.shared import delete_folder
@@ -104,11 +103,12 @@ class SegmentedIndex:
         number = known[-1].segment + 1 if known else 1
         folder = f"{self.uri}/segment-{number}-{uuid.uuid4().hex[:12]}"
         docs = docs.select(F.col(id_col).cast(self.id_type).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-        one = docs.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-        S.write_postings(one, f"{folder}/postings")
-        words = one.select("id", tokens(F.col("text")).alias("w"))
-        forward = words.select("id", F.size("w").alias("dl"), F.array_distinct("w").alias("terms"), _slot(F.col("id")).alias("slot"))
-        forward.repartition("slot").write.partitionBy("slot").parquet(f"{folder}/forward")
+        # texts are dealt out once, by slot; what else there is of them is made from the forward table
+        one = docs.withColumn("slot", _slot(F.col("id"))).repartition("slot").groupBy("slot", "id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        held = S.with_terms(one.select("id", "text")).withColumn("slot", _slot(F.col("id")))
+        held.select("id", "dl", F.col("terms.term").alias("terms"), F.col("terms.at").alias("at"), "slot").write.partitionBy("slot").parquet(f"{folder}/forward")
+        placed = self.spark.read.schema(f"id {self.id_type}, dl int, terms array<string>, at array<array<int>>, slot int").parquet(f"{folder}/forward")
+        S.write_sorted(placed.select("id", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("at").alias("at")))), f"{folder}/postings", placed.count())
         new = self.spark.read.schema(f"id {self.id_type}, dl int, terms array<string>, slot int").parquet(f"{folder}/forward")
         ids = new.select("id")
         if deleted is not None:

@@ -81,3 +81,12 @@ def test_a_commit_on_an_older_version_is_refused(spark, tmp_path, monkeypatch):
         index.apply(spark.createDataFrame([(3, "alpha")], SCHEMA))
     monkeypatch.setattr(index, "_commit", whole)
     same(spark, index, {1: "alpha", 2: "alpha"})
+
+
+def test_postings_are_made_of_the_forward_table(spark, tmp_path):
+    """Texts are dealt out and cut once."""
+    index = G.SegmentedIndex(spark, f"file://{tmp_path}/i")
+    folder = index.apply(spark.createDataFrame([(1, "beta alpha beta"), (1, None), (2, None)], SCHEMA).where("doc_id = 2 or text is not null")).folder
+    held = spark.read.schema("id long, dl int, terms array<string>, at array<array<int>>").parquet(f"{folder}/forward").select("id", "dl", "terms", "at").orderBy("id").collect()
+    assert [tuple(r) for r in held] == [(1, 3, ["alpha", "beta"], [[1], [0, 2]]), (2, 0, [], [])]
+    assert [tuple(r) for r in index.found().select("term", "id", "dl", "at").orderBy("term").collect()] == [("alpha", 1, 3, [1]), ("beta", 1, 3, [0, 2])]
