@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -57,12 +58,23 @@ def test_route(spark, docs, index):
     assert {r.provenance for r in go("red ring")} == {"graph_seeded"} and len(go("red ring")) == 5
     assert {r.provenance for r in go("alpha", rewrite=lambda q: asked.append(q) or "beta")} == {None} and not asked
     assert len(go("what gamma")) == 5
+    nearest = {str(r.vec_id) for r in R.knn(vectors, [0.0] * 4, 5).collect()}
+    for lonely in ("gamma zzz", "zzz"):  # an entity without neighbours, no entity
+        rows = S.route(spark, index, vectors, docs, lonely, [0.0] * 4, 5, names, near.limit(0), themes, only_seeded=True).collect()
+        assert {r.doc_id for r in rows} == nearest and {r.provenance for r in rows} == {"graph_seeded"}
     hits = spark.createDataFrame([("1", 0.5, None, 0), ("2", 0.4, None, 1)], "doc_id string, score double, provenance string, place int")
     rows = S.community_augment(hits, themes, "what gamma of it", 9).collect()
     assert [(r.doc_id, r.provenance) for r in rows] == [("1", None), ("2", None), ("community:7", "community_summary")]
     assert S.community_augment(hits, themes, "none gamma", 3).count() == 3
 
 
+def test_scores_between_two_places_are_rounded_as_in_sql(spark):
+    scores = [0.7625, 0.9685] + [round(61 / (61 + r), 6) for r in range(20)]
+    got = spark.createDataFrame([(s, k) for s in scores for k in range(4)], "s double, k int").select("s", "k", S.mixed(F.col("s"), F.col("k"), 3).alias("x")).collect()
+    duck = duckdb.connect()
+    assert all(r.x == duck.execute("select round(0.7 * ?::double + 0.3 * len(range(?)) / 3, 4)", [r.s, r.k]).fetchone()[0] for r in got)
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(200, 8)).round(2)
