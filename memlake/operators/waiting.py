@@ -11,9 +11,9 @@ time the smallest id. Rows without id or time are passed over, rows without pers
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,57 +62,75 @@ def replies(waits: DataFrame, messages: DataFrame, window_days: int = WINDOW_DAY
     return best.where(within).select("id", F.col("best.id").alias("cleared_by"), F.col("best.ts").alias("cleared_at"))
 
 
-_STATE = "wait array<long>, since array<long>, best_at array<long>, best array<long>, said_at array<long>, said array<long>"
+_STATE = "keys array<string>, waits binary, said binary"
+#: Groups of keys that have one state each: a key of its own would cost a call of Python and a row of state.
+BUCKETS = 1024
 
 
-def clear_waiting(waits: DataFrame, messages: DataFrame, window_days: int = WINDOW_DAYS, late: str = "3 days") -> DataFrame:
+def clear_waiting(waits: DataFrame, messages: DataFrame, window_days: int = WINDOW_DAYS, late: str = "3 days", buckets: int = BUCKETS) -> DataFrame:
     """A stream of (id, cleared_by, cleared_at_us): the best message for a wait so far; the smallest time of an id counts.
 
     Of each key the state holds the waits whose window the watermark has not passed, with what ended them, and messages that are newer
-    than the watermark, for waits that arrive after them; a timer lets go of waits that nobody answered.
+    than the watermark, for waits that arrive after them; a timer lets go of waits that nobody answered. Keys are dealt to
+    buckets by their hash, and a bucket's keys are looked at together; a stream that goes on keeps its number of buckets.
     """
     span = window_days * _DAY
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [list(x) if x is not None else [] for x in state.get] if state.exists else [[] for _ in range(6)]
-        wait = {i: [at, best_at, best] for i, at, best_at, best in zip(*held[:4], strict=True)}
-        said = sorted(zip(held[4], held[5], strict=True))
-        better: dict[int, tuple[int, int]] = {}
-
-        def look(i: int, rows: list[tuple[int, int]]) -> None:
-            at, best_at, best = wait[i]
-            k = bisect_right(rows, (at, float("inf")))
-            if k < len(rows) and rows[k][0] - at <= span and (best_at < 0 or rows[k] < (best_at, best)):
-                wait[i][1:] = better[i] = rows[k]
+    def first_after(waits: np.ndarray, said: np.ndarray) -> np.ndarray:
+        """For each wait (key, id, since, ..) the place in said (key, at, id), sorted, of the first message of its key after it; len(said): none."""
+        n = len(said)
+        key, at = np.concatenate([said[:, 0], waits[:, 0]]), np.concatenate([said[:, 1], waits[:, 2]])
+        # messages of the wait's own time come before it
+        order = np.lexsort((np.arange(len(key)), at, key))
+        following = np.minimum.accumulate(np.where(order < n, order, n)[::-1])[::-1]
+        place = np.empty(len(key), "int64")
+        place[order] = following
+        found = place[n:]
+        same = np.zeros(len(found), bool)
+        same[found < n] = said[found[found < n], 0] == waits[found < n, 0]
+        return np.where(same, found, n)
 
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, held = [], [b"", b""]
+        if state.exists:
+            keys, *held = state.get
+        wait, said = (np.frombuffer(bytes(x), "int64").reshape(-1, width) for x, width in zip(held, (5, 3), strict=True))
+        better = np.zeros(0, bool)
         if not state.hasTimedOut:
-            for frame in frames:
-                us = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-                asked = frame["kind"].to_numpy() == "wait"
-                ids = frame["id"].to_numpy()
-                new = sorted(zip(us[~asked].tolist(), ids[~asked].tolist(), strict=True))
-                if new:
-                    for i in wait:
-                        look(i, new)
-                    said = sorted({*said, *new})
-                for i, at in zip(ids[asked].tolist(), us[asked].tolist(), strict=True):
-                    if i not in wait:
-                        wait[i] = [at, -1, -1]
-                        look(i, said)
+            rows = pd.concat(list(frames))
+            codes, keys = pd.factorize(np.concatenate([np.array(keys, object), rows["key"].to_numpy(object)]))
+            n_held = len(codes) - len(rows)
+            wait, said = wait.copy(), said.copy()
+            for x in (wait, said):
+                x[:, 0] = codes[:n_held][x[:, 0]]
+            asked, ids = rows["asked"].to_numpy(bool), rows["id"].to_numpy("int64")
+            new = np.stack([codes[n_held:], ids, rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")], 1)
+            none = np.full((int(asked.sum()), 2), -1)
+            wait = pd.DataFrame(np.concatenate([wait, np.concatenate([new[asked], none], 1)])).drop_duplicates([0, 1, 2]).to_numpy()
+            said = pd.DataFrame(np.concatenate([said, new[~asked][:, [0, 2, 1]]])).drop_duplicates().sort_values([0, 1, 2]).to_numpy()
+            found = first_after(wait, said)
+            at, by = np.append(said[:, 1], 0)[found], np.append(said[:, 2], 0)[found]
+            in_time = (found < len(said)) & (at - wait[:, 2] <= span)
+            better = in_time & ((wait[:, 3] < 0) | (at < wait[:, 3]) | ((at == wait[:, 3]) & (by < wait[:, 4])))
+            wait[better, 3], wait[better, 4] = at[better], by[better]
+            out = wait[better]
         passed = state.getCurrentWatermarkMs() * 1000
-        wait = {i: w for i, w in wait.items() if w[0] + span >= passed}
-        said = [m for m in said if m[0] >= passed]
-        if wait or said:
-            state.update((list(wait), *([w[k] for w in wait.values()] for k in range(3)), [a for a, _ in said], [i for _, i in said]))
-            ends = [w[0] + span for w in wait.values()] + [a for a, _ in said]
-            state.setTimeoutTimestamp(max(min(ends), passed) // 1000 + 1)
+        wait, said = wait[wait[:, 2] + span >= passed], said[said[:, 1] >= passed]
+        if len(wait) or len(said):
+            used, back = np.unique(np.concatenate([wait[:, 0], said[:, 0]]), return_inverse=True)
+            wait, said = wait.copy(), said.copy()
+            wait[:, 0], said[:, 0] = back[: len(wait)], back[len(wait) :]
+            state.update(([keys[i] for i in used.tolist()], wait.tobytes(), said.tobytes()))
+            ends = min(x.min() for x in (wait[:, 2] + span, said[:, 1]) if len(x))
+            state.setTimeoutTimestamp(int(max(ends, passed)) // 1000 + 1)
         elif state.exists:
             state.remove()
-        if better:
-            yield pd.DataFrame({"id": list(better), "cleared_by": [b for _, b in better.values()], "cleared_at_us": [a for a, _ in better.values()]})
+        if better.any():
+            yield pd.DataFrame({"id": out[:, 1], "cleared_by": out[:, 4], "cleared_at_us": out[:, 3]})
 
     rows = keyed(waits, "wait").unionByName(keyed(messages, "message")).withWatermark("ts", late)
-    return rows.groupBy("key").applyInPandasWithState(step, "id long, cleared_by long, cleared_at_us long", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", (F.col("kind") == "wait").alias("asked"), "id", "ts")
+    return dealt.groupBy("bucket").applyInPandasWithState(step, "id long, cleared_by long, cleared_at_us long", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_waiting(stream: DataFrame, folder: str) -> DataFrame:

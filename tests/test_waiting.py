@@ -60,3 +60,20 @@ def test_stream_equals_batch_across_a_restart(spark, tmp_path):
             found = {r.id: (r.cleared_by, r.cleared_at) for r in got}
             assert k == parts - 1 or 0 < len(found) < len(whole)
     assert found == whole
+
+
+def test_state_is_a_row_for_a_bucket_and_a_wait_may_have_two_times(spark, tmp_path):
+    rng = random.Random(5)
+    pick = lambda: rng.choice([("p%d" % rng.randrange(40), None), (None, "name %s" % rng.choice("abcdefgh"))])
+    waits = [(i % 50, *pick(), DAY0 + timedelta(minutes=rng.randrange(60 * 24 * 20))) for i in range(100)]
+    waits += [(60, "p1", None, DAY0 + timedelta(days=2)), (60, "p1", None, DAY0), (61, "p9x", None, DAY0)]
+    messages = [(1000 + i, *pick(), DAY0 + timedelta(minutes=rng.randrange(60 * 24 * 40))) for i in range(200)] + [(999, "p1", None, DAY0 + timedelta(minutes=1)), (998, "p9x", None, DAY0), (997, "p9x", None, DAY0 + timedelta(days=30))]
+    for name, rows in (("waits", waits), ("messages", messages)):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    streams = [spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/{n}") for n in ("waits", "messages")]
+    cleared = W.clear_waiting(*streams, buckets=3)
+    found = {r.id: (r.cleared_by, r.cleared_at) for r in W.run_waiting(cleared, f"file://{tmp_path}/run").collect()}
+    assert found == {r.id: (r.cleared_by, r.cleared_at) for r in W.replies(*[spark.createDataFrame(r, SCHEMA) for r in (waits, messages)]).collect()}
+    assert found[60][0] == 999 and found[61][0] == 997
+    state = spark.read.format("statestore").load(f"file://{tmp_path}/run/checkpoint")
+    assert 0 < state.count() <= 3
