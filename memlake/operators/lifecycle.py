@@ -102,6 +102,23 @@ def quoted_back(snippets: DataFrame, responses: DataFrame, key: str, least: floa
     return both.withColumn("reuse", F.round(reuse(F.col("text"), F.col("__r")), 6)).where(F.col("reuse") >= least).drop("__r")
 
 
+#: Rows of a task that brings pairs together.
+TASK_ROWS = 250_000
+
+
+def met_together(rows: DataFrame, least: int) -> DataFrame:
+    """(a, b, together): pairs a < b that stand together in `least` groups; rows (s, o) of members and groups, repeated or not.
+
+    Tasks are as many as rows and pairs ask for, so that none holds more for larger tables; nothing merges them again.
+    """
+    n = -(-rows.count() // TASK_ROWS) or 1
+    p = rows.repartition(n, "o").distinct()
+    met = p.toDF("a", "o").join(p.toDF("b", "o").hint("merge"), "o").where("a < b")
+    # some three pairs a row, where a group has seven
+    pairs = met.select("a", "b").repartition(4 * n, "a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
+
+
 def column_totals(cells: DataFrame, table: str, column: str, value: str) -> DataFrame:
     """Sums of the columns of which half the values are numbers, ids (whole numbers of one width from three digits on) left out."""
     number = F.expr(f"try_cast(replace(replace({value}, ',', ''), '$', '') as double)")

@@ -143,10 +143,9 @@ def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 with p as (select distinct l_suppkey as s, l_orderkey as o from lineitem) select x.s as a, y.s as b, count(*) as together from p x join p y on x.o = y.o and x.s < y.s group by 1, 2 having count(*) >= 30
 """)
 def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers met in one order. A group is an order, of few lines by its schema."""
-    p = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("o")).distinct()
-    met = p.toDF("a", "o").join(p.toDF("b", "o"), "o").where("a < b")
-    return met.groupBy("a", "b").agg(F.count("*").alias("together")).where("together >= 30")
+    """Suppliers met in one order. A group is an order, of few lines by its schema; tasks grow in number with the lines, not in size."""
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("o"))
+    return L.met_together(lines, 30)
 
 
 @query("""

@@ -1,6 +1,7 @@
 """Edge cases of the operators: nulls, empty tables, ties."""
 
 import random
+from collections import Counter
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -123,3 +124,20 @@ def test_near_duplicates_are_paired_once(spark):
     kind = lambda k: k % 3 == 2
     want = [(a[0], b[0], 1.0) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and kind(a[0]) == kind(b[0]) and abs((a[2] - b[2]).days) <= 7]
     assert sorted(map(tuple, near.collect())) == sorted(want)
+
+
+def test_tasks_of_pairs_grow_in_number_with_the_rows(spark, monkeypatch):
+    from memlake.operators import lifecycle
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(12), rng.randrange(60)) for _ in range(400)]
+    rows += rows[:50] + [(None, 1), (1, None)]
+    groups = {}
+    for s, o in rows:
+        if s is not None and o is not None:
+            groups.setdefault(o, set()).add(s)
+    want = Counter((a, b) for g in groups.values() for a in g for b in g if a < b)
+    monkeypatch.setattr(lifecycle, "TASK_ROWS", 50)
+    found = lifecycle.met_together(spark.createDataFrame(rows, "s long, o long"), 8)
+    assert {(r.a, r.b): r.together for r in found.collect()} == {k: n for k, n in want.items() if n >= 8}
+    assert found.rdd.getNumPartitions() == 4 * 10
