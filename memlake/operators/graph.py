@@ -35,18 +35,45 @@ def hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return seen
 
 
+#: Nodes with a new label that are sent to all tasks; more are joined by a shuffle.
+SENT_NODES = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable; minima over neighbours, with pointer jumps."""
-    both = written(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "edges")
-    now = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("component")), "components")
+    """(node, component): the smallest node reachable.
+
+    In each round every node takes the smallest of its neighbours and itself, chains are followed to their ends, and edges are
+    set to what their ends have become: loops and repetitions go, so that later rounds have few edges. Edges may be repeated.
+    """
+    rest = written(edges.select("a", "b").where("a is not null and b is not null"), "edges")
+    now = None
     while True:
-        near = both.join(now.toDF("y", "c"), "y").groupBy(F.col("x").alias("node")).agg(F.min("c").alias("c"))
-        step = now.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        far = step.join(now.toDF("component", "__c"), "component", "left").select("node", "old", F.coalesce(F.least("component", "__c"), "component").alias("component"))
-        done = written(far, "components")
-        now = done.select("node", "component")
-        if not done.where("old <> component").head(1):
+        ends = rest.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e")).select("e.*")
+        least = written(ends.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("component")), "components")
+        if now is None:
+            now = least
+        moved = least.where("node <> component")
+        n = moved.count()
+        if not n:
             return now
+        sent = F.broadcast if n <= SENT_NODES else lambda rows: rows
+        moved = _followed(moved, sent)
+        step = lambda rows, c: rows.join(sent(moved.toDF(c, "__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")  # noqa: E731, B023
+        now = written(step(now, "component").select("node", "component"), "components")
+        # once one end is set, what is repeated goes before the other is
+        half = step(rest, "a").where("a <> b")
+        half = half if n <= SENT_NODES else half.distinct()
+        rest = written(step(half, "b").where("a <> b").select("a", "b").distinct(), "edges")
+
+
+def _followed(moved: DataFrame, sent) -> DataFrame:
+    """(node, component) with components that moved themselves followed to the end, by pointer doubling."""
+    while True:
+        far = moved.join(sent(moved.toDF("component", "__far")), "component", "left")
+        done = written(far.select("node", F.coalesce("__far", "component").alias("component"), F.col("__far").isNotNull().alias("further")), "moved")
+        moved = done.select("node", "component")
+        if not done.where("further").head(1):
+            return moved
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:

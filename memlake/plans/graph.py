@@ -102,7 +102,7 @@ r(node, component) using key (node) as (select x, x from u group by 1 union (sel
 select node, component from r
 """)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(G.edge_weights(relations(spark, sf_dir)))
+    return G.components(relations(spark, sf_dir).select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b")))
 
 
 @query(f"""

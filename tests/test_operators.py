@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from memlake.functions import text as X
@@ -78,6 +79,23 @@ def test_graph_iterations(spark):
     assert graph.components(chain.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_components_of_repeated_edges_in_few_rounds(spark, monkeypatch, sent):
+    rng = random.Random(sent)
+    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] * 2 + [(7, 7), (200, 200), (None, 3), (3, None)]
+    label = {v: v for a, b in pairs for v in (a, b) if None not in (a, b)}
+    for _ in label:
+        for a, b in pairs:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    kept = []
+    monkeypatch.setattr(graph, "SENT_NODES", sent)
+    monkeypatch.setattr(graph, "written", lambda df, name, write=graph.written: (kept.append((name, out := write(df, name))), out)[1])
+    assert {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == label
+    sizes = [df.count() for name, df in kept if name == "edges"]
+    assert sizes[0] == 122 and sizes[1] < 60 and sizes[-1] == 0
+
+
 def test_interval_join_meets_over_cells(spark):
     rows = spark.createDataFrame([(1, i, f"2024-01-{d:02d}", "same words here") for i, d in enumerate([1, 8, 9, 16, 30])], "o long, i long, d string, t string").withColumn("d", F.to_date("d"))
     got = {(r.a, r.b) for r in actions.near_duplicates(rows, "o", "i", "d", "t").collect()}
