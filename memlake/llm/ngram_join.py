@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm import common as C
@@ -57,8 +57,8 @@ COUNTED, HELD, GROUP_TOKENS = 1_000_000, 300_000, 250_000
 BLOCK_DOCS, BLOCK_TOKENS, PART_TOKENS = 1024, 1_000_000, 1_000_000
 #: Times that large groups are dealt to blocks at random.
 SALTED = 2
-#: Node ids are broadcast up to this number (some 30 bytes each); beyond it they are joined by a shuffle.
-MAX_BROADCAST_IDS = 500_000
+#: Hashes of rows are broadcast up to this number (one long, some 50 bytes each), and rows of blocks (some 100 bytes); beyond it they are joined by a shuffle.
+MAX_BROADCAST_IDS, MAX_BROADCAST_ROWS = 4_000_000, 500_000
 #: Bits of a bitmap.
 LEAST_BITS, MOST_BITS = 1024, 1 << 16
 #: Bytes of words, with some 150 a word for the table, whose hashes a task keeps; longer words than this are not kept; bytes of text cut into words at once; nodes that a task remembers.
@@ -399,12 +399,11 @@ def _index(table: pa.Table) -> pa.Table:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(node, tokens) of the documents wanted (__doc, __key; one per node). Rows equal in id and text each give the set."""
+    """(node, tokens) of the documents wanted (__doc, __key; one per node). Rows equal in id and text each give the set; one whose hash is as a wanted one's may come along."""
+    wanted = wanted.select(F.xxhash64("__doc", "__key").alias("__of")).distinct()
     if wanted.count() <= MAX_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    wanted = wanted.toDF("__wanted", "__of")
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"), text_key(text_col).alias("__key"))
-    texts = rows.join(wanted, F.col("__doc").eqNullSafe(F.col("__wanted")) & (F.col("__key") == F.col("__of")), "left_semi")
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), text_key(text_col)).alias("__of")).join(wanted, "__of", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = _Words(), _Seen()
@@ -488,8 +487,10 @@ def _closed(table: pa.Table) -> pa.Table:
 def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between labels, of rows (block, node, n, label, side): the blocks are dealt out to parts of bounded size."""
     spark = blocks.sparkSession
-    total = blocks.agg(F.sum("n")).first()[0] or 0
+    total, n_rows = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_TOKENS + 1)
+    # the sets are long: where the blocks' rows are few, those go to them
+    blocks = F.broadcast(blocks) if n_rows <= MAX_BROADCAST_ROWS else blocks
     rows = blocks.join(sets, "node").select(F.pmod("block", F.lit(n_parts)).cast("int").alias("part"), "block", "node", "label", "side", "tokens")
     return C.stored(rows.groupBy("part").applyInArrow(_closed, "a long, b long").distinct(), "links")
 
@@ -504,10 +505,18 @@ def _relabelled(labels: DataFrame | None, new: DataFrame) -> DataFrame:
     return C.stored(known.unionByName(fresh), "labels")
 
 
-def _linked(docs: DataFrame, index: DataFrame, reps: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(node, label) of the nodes that have links; index has (key, node, n, rep)."""
-    # keys with the same representative hold much the same documents: they make one group
-    groups = index.select("rep", "node", "n").distinct()
+def _met(index: DataFrame) -> DataFrame:
+    """(rep, node, n) of keys that bring two documents together, once each: keys with the same representative hold much the same documents.
+
+    Most keys are of one document, so that counting them first and joining the counts would move them all twice."""
+    of_key = Window.partitionBy("key")
+    sides = [F.count_if(F.col("side") == k).over(of_key) for k in range(3)]
+    met = (sides[2] > 1) | ((sides[0] > 0) & (sides[1] > 0))
+    return index.select("node", "n", met.alias("met"), F.min(F.xxhash64("node")).over(of_key).alias("rep")).where("met").select("rep", "node", "n").distinct()
+
+
+def _linked(docs: DataFrame, groups: DataFrame, reps: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(node, label) of the nodes that have links; groups has (rep, node, n), each once."""
     sizes = groups.groupBy("rep").agg(F.count("*").alias("__m"), F.sum("n").alias("__tokens"))
     n_blocks = F.greatest(F.ceil(F.col("__m") / BLOCK_DOCS), F.ceil(F.col("__tokens") / BLOCK_TOKENS)).cast("long")
     groups = C.stored(groups.join(sizes.select("rep", n_blocks.alias("n_blocks")), "rep"), "groups")
@@ -565,11 +574,8 @@ def row_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     # by the tokens alone: every part passes a row on to every other one that it has tokens for
     n_parts = int((total or 0) * 0.35 / GROUP_TOKENS) + 1
     blobs = _prefixes(docs, heavy, n_parts, text_col).groupBy("part").applyInArrow(_shared_tokens(n_parts), _BLOB)
-    index = C.stored(blobs.groupBy("part").applyInArrow(_index, "key long, side long, node long, n long"), "index")
-    sides = [F.count_if(F.col("side") == k) for k in range(3)]
-    met = (sides[2] > 1) | ((sides[0] > 0) & (sides[1] > 0))
-    shared = index.groupBy("key").agg(met.alias("met"), F.min(F.xxhash64("node")).alias("rep")).where("met").select("key", "rep")
-    labels = _linked(docs, index.join(shared, "key"), reps, text_col, id_col)
+    index = blobs.groupBy("part").applyInArrow(_index, "key long, side long, node long, n long")
+    labels = _linked(docs, C.stored(_met(index), "met"), reps, text_col, id_col)
     comp = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = comp.groupBy("label").agg(F.min("__doc").alias("component_id"))
     comp = comp.join(least, "label").select("node", "label", "component_id")

@@ -97,6 +97,26 @@ def test_block_pairs_meet_once(spark, monkeypatch):
     assert sorted((a, b) for _, a, b in met) == sorted(want)
 
 
+def test_index_keys_move_once(spark):
+    """Keys that bring two documents together, and one move of the index alone by key."""
+    rows = [(1, 2, 10, 5), (1, 2, 11, 5), (2, 2, 10, 5), (3, 0, 12, 6), (3, 1, 10, 5), (4, 0, 12, 6), (4, 0, 13, 6), (5, 2, 10, 5), (5, 2, 11, 5)]
+    met = ngram_join._met(spark.createDataFrame(rows, "key long, side long, node long, n long"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 1 and "Join" not in plan
+    hashed = {k: spark.range(1).select(F.xxhash64(F.lit(k).cast("long"))).first()[0] for k in (10, 11, 12)}
+    want = {(min(hashed[a], hashed[b]), node, n) for a, b in ((10, 11), (10, 12)) for node, n in ((10, 5), (11, 5), (12, 6)) if node in (a, b)}
+    assert sorted(tuple(r) for r in met.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_ngram_join_by_broadcast_and_by_shuffle(spark, monkeypatch, bound):
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST_IDS", bound)
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST_ROWS", bound)
+    rows = corpus(5, 20, 6, 0.02)
+    got = sorted(tuple(r) for r in ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute_classes(rows)
+
+
 def test_words_of_long_texts(monkeypatch):
     text = " ".join(f"Wörter{k % 97}\t{k}" for k in range(3000)) + " "
     whole = ngram_join.shingles(text)
