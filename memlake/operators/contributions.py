@@ -44,8 +44,9 @@ def contributions(relations: DataFrame, entities: DataFrame, documents: DataFram
     warm = documents.groupBy("doc_id").agg(F.bool_and(~F.coalesce("cold", F.lit(True))).alias("warm")).where("warm").select("doc_id")
     local = relations.where((F.coalesce("origin", F.lit("local")) == "local") & F.col("relation").isin(*allowed) & (F.col("doc_id") != ""))
     fit = shareable(entities, kinds)
-    end = lambda side: fit.select(F.col("entity").alias(side), F.struct("entity", "name", "entity_kind", "aliases").alias(f"{side}_end"))
-    told = local.join(warm, "doc_id").join(end("a"), "a").join(end("b"), "b").withColumn("ref", K.source_ref(secret, F.col("doc_id").cast("string")))
+    end = lambda side: fit.select(F.col("entity").alias(side), F.struct("name", "entity_kind", "aliases").alias(f"{side}_end"))
+    # documents come last: equal claims stand on one document, so rows dealt by it become claims, once each, where they are
+    told = local.select("a", "relation", "b", "doc_id", "valid_from", "confidence").join(end("a"), "a").join(end("b"), "b").join(warm, "doc_id")
     text = lambda c: F.col(c) if isinstance(c, str) else F.lit(None).cast("string")
 
     def claim(kind: str, subject: str, end_col: str | None):
@@ -53,5 +54,6 @@ def contributions(relations: DataFrame, entities: DataFrame, documents: DataFram
         confidence = F.lit(1.0) if end_col else F.coalesce("confidence", F.lit(1.0)).cast("double")
         return F.struct(F.lit(kind).alias("kind"), F.col(subject).alias("subject"), text(None if end_col else "relation").alias("relation"), text(None if end_col else "b").alias("object"), named("name").alias("name"), named("entity_kind").alias("entity_kind"), named("aliases").alias("aliases"), confidence.alias("confidence"))
 
-    each = told.select("valid_from", F.col("ref").alias("source_ref"), F.explode(F.array(claim("entity", "a", "a_end"), claim("entity", "b", "b_end"), claim("relation", "a", None))).alias("c"))
-    return each.select("c.*", "valid_from", "source_ref").distinct()
+    each = told.select("doc_id", "valid_from", F.explode(F.array(claim("entity", "a", "a_end"), claim("entity", "b", "b_end"), claim("relation", "a", None))).alias("c"))
+    once = each.select("c.*", "valid_from", "doc_id").distinct()
+    return once.withColumn("source_ref", K.source_ref(secret, F.col("doc_id").cast("string"))).drop("doc_id")

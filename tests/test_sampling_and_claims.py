@@ -59,6 +59,22 @@ def test_nothing_leaves_without_secret_list_or_a_single_entity(spark):
     assert claims(spark, [GOOD], [("p", "Ann Lee", "person", None, None, None)] * 2 + [("o", "Engines", "org", None, None, None)]) == []
 
 
+def test_claims_are_not_moved_any_more(spark):
+    """Relations are dealt by document, a row each; what is made of them, three rows each, stays there and is told once."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        people = [("p", "Ann Lee", "person", None, None, None), ("o", "Engines", "org", None, None, None)]
+        relations = [GOOD, GOOD, ("o", "works at", "p", "d1", None, 0.7, None), ("p", "works at", "o", "d5", None, 0.7, None)]
+        documents = spark.createDataFrame([("d1", False), ("d5", False)], "doc_id string, cold boolean")
+        got = C.contributions(spark.createDataFrame(relations, RELATION), spark.createDataFrame(people, ENTITY), documents, ["works at"], "s")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and "Exchange" not in plan[: plan.index("Generate")]
+        assert sorted((r.kind, r.subject) for r in got.collect()) == [("entity", "o")] * 2 + [("entity", "p")] * 2 + [("relation", "o")] + [("relation", "p")] * 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_first_shown_streams_by(spark):
     rows = [("s", "d", 0), ("s", "d", 23), ("s", "d", 24), ("s", "d", 47), ("s", "d", 49), ("s", "e", 1), ("t", "d", 1), (None, "d", 5), (None, "d", 6)]
     df = spark.createDataFrame(rows, "session string, doc_id string, h int").select("session", "doc_id", F.timestamp_seconds(F.col("h") * 3600).alias("ts"))
