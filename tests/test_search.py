@@ -150,3 +150,12 @@ def test_a_long_document_takes_time_by_its_length(spark, tmp_path):
     held = index.postings(spark, ["w1", "wea5f"]).orderBy("term", "doc_id").collect()
     assert [(r.term, r.doc_id, r.dl, r["at"]) for r in held] == [("w1", 1, 60_000, [1]), ("w1", 2, 3, [0, 2]), ("wea5f", 1, 60_000, [59_999])]
     assert tuple(index.stats(spark).first()) == (3, 60_003 / 3)
+
+
+def test_words_are_cut_once_for_the_postings(spark, monkeypatch):
+    """A filter on what inline unfolds was pushed below the sorting of the words, which it repeated for each word."""
+    seen = []
+    monkeypatch.setattr(S, "write_sorted", lambda posted, *a: seen.append(posted))
+    S.write_postings(spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "c")], "id long, text string"), "unused")
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted(map(tuple, seen[0].collect())) == [(1, 3, "a", [1]), (1, 3, "b", [0, 2]), (4, 1, "c", [0])]
