@@ -132,3 +132,49 @@ def test_within_an_extraction(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(lists)], "id int, texts array<string>")
     got = {r.id: [x["at"] for x in r.kept] for r in df.select("id", X.distinct_in_order(F.transform("texts", lambda t: F.coalesce(t, F.lit("")))).alias("kept")).collect()}
     assert got == {0: [0, 3], 1: [], 2: [0, 1, 2]}
+
+
+@pytest.mark.parametrize("most", [64, 3])
+def test_pairs_in_place_are_those_by_words(spark, monkeypatch, most):
+    """Two rows for each go to the tasks that compare them, and cells with more than IN_PLACE meet by words; the pairs are the same."""
+    rng = random.Random(most)
+    words = ["send", "mend", "report", "loom", "first", "large"]
+    rows = {(rng.choice(["hot", "hot", "a", "b"]), " ".join(rng.sample(words, rng.randrange(1, 6))), DAY + timedelta(rng.randrange(60))) for _ in range(150)}
+    first = spark.createDataFrame([(n, *r, (1, r[2], f"a{n:03d}")) for n, r in enumerate(sorted(rows))], "n long, owner string, norm string, day date, place struct<turn:int,day:date,action:string>").repartition(3)
+    want = {frozenset(map(int, p)) for p in X.much_the_same(first.drop("place")).collect()}
+    monkeypatch.setattr(X, "IN_PLACE", most)
+    near = X.near_in_place(first).collect()
+    assert any(r.b is None for r in near) == (most == 3)
+    if most == 64:
+        assert {frozenset((r.a, r.b)) for r in near} == want and len(near) == len(want)
+    order = [n for n, r in sorted(enumerate(sorted(rows)), key=lambda x: (x[1][2], f"a{x[0]:03d}"))]
+    got = X.paired(first).collect()
+    assert len(got) == len(want) > 20 and all(r.early < r.late for r in got)
+    late = {n: max(order.index(x) for x in p) for n, p in enumerate(want)}
+    assert sorted(r.action for r in got) == sorted(f"a{order[k]:03d}" for k in late.values())
+    plan = X.near_in_place(first)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join " not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_one_a_thread_moves_only_threads_with_several(spark, tmp_path):
+    """Of several extractions of a thread that with the latest lead counts; without such nothing is shuffled but ids, and nothing is left in the shared folder."""
+    from memlake import shared
+
+    tables = TableSet(spark, f"file://{tmp_path}/t")
+    before = list(shared._folders)
+    X.apply(tables, batch(spark, said("t1", DAY, "one thing", summary="old"), said("t1", DAY + timedelta(4), "two things", summary="new"), said("t2", DAY, "three things")), str(DAY))
+    assert {(d[0], d[1], d[5]) for d in state(tables)["digests"]} == {("t1", "m-t1", "new"), ("t2", "m-t2", "s")}
+    assert shared._folders == before
+    alone = shared.stored(X.led(batch(spark, said("t1", DAY), said("t2", DAY))).withColumn("people", X.people(F.col("entities"))), "alone")
+    assert X.one_a_thread(alone, "people") is alone
+
+
+def test_costly_arrays_are_made_once(spark):
+    """A filter on what explode gives made the texts' list a second time; an entity's name was cut for each use."""
+    found = X.led(batch(spark, said("t1", DAY, "one thing"))).withColumn("people", X.people(F.col("entities")))
+    plan = X.proposed(found.drop("entities"), str(DAY))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+    assert [(p["id"], p["entity"]) for p in found.first()["people"]] == [("person:ada-byron", "person:ada-byron"), ("org:engines", "org:engines"), (None, None)]
+    twice = batch(spark, said("t1", DAY, entities=[{"name": "Pastor Dr. Č. Ann", "kind": None, "org": None, "email": None}, {"name": "a@b.cd", "kind": "org", "org": None, "email": None}]))
+    got = twice.select(X.people(F.col("entities")).alias("p")).first().p
+    assert [(p["name"], p["id"], p["entity"]) for p in got] == [("Dr. Č. Ann", "person:dr-c-ann", "person:c-ann"), ("a@b.cd", "org:a-b-cd", None)]
