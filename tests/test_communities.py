@@ -79,3 +79,12 @@ def test_resolution_loops_and_nothing(spark):
     assert M.communities(df.limit(0)).count() == 0
     far = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0), ("d", "e", 1.0)], SCHEMA)
     assert {r.a for r in M.largest_component(far).collect()} == {"c", "d"}
+
+
+def test_no_round_is_made_twice(spark, monkeypatch):
+    """The better start's round is the first of its moves."""
+    seen, made = [], M._round
+    monkeypatch.setattr(M, "_round", lambda links, now, *a: seen.append(now) or made(links, now, *a))
+    df = spark.createDataFrame([("a", "b", 5.0), ("b", "c", 5.0), ("a", "c", 5.0), ("c", "d", 1.0), ("d", "e", 5.0), ("e", "f", 5.0), ("d", "f", 5.0)], SCHEMA)
+    assert {r.node: r.community for r in M.communities(df).collect()} == dict.fromkeys("abc", "a") | dict.fromkeys("def", "d")
+    assert len({id(now) for now in seen}) == len(seen)
